@@ -150,29 +150,39 @@ def unit_vectors(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataF
     return src.mapInArrow(pack, "id string, vec binary")
 
 
-def _classes(units: DataFrame, k: int) -> DataFrame:
-    """One row per distinct vector: vid, vec, copies, ids (its k + 1 smallest)."""
-    rank = Window.partitionBy("vid").orderBy("id")
-    vid = units.select(F.xxhash64("vec").alias("vid"), "id", "vec").dropDuplicates(["vid", "id"])
-    heads = vid.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k + 1)
-    ids = heads.groupBy("vid").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("vec").alias("vec"))
-    return ids
-
-
 class Index:
-    """The vectors of a table with their leaves. dim numbers a vector; copies of one vector share a row."""
+    """The usable vectors of a table and their tree.
+
+    units has (id, vid, vec): vid numbers a vector, so copies share it. Copies are reduced to one per batch
+    before anything is shuffled and to one per leaf after; ids come back at the end.
+    """
 
     def __init__(self, df: DataFrame, id_col: str = "chunk_id", vector_col: str = "content_vector", dim: int = 64, k: int = 5, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS) -> None:
         self.dim, self.k, self.id_col = dim, k, id_col
-        self.members = materialize(unit_vectors(df, id_col, vector_col, dim).select("id", F.xxhash64("vec").alias("vid"), "vec"))
-        self.classes = materialize(_classes(self.members.select("id", "vec"), k))
-        n = self.classes.count()
-        picked = self.classes.select("vid", "vec").orderBy(F.xxhash64("vid", F.lit(11))).limit(sample).select("vec").toArrow() if n else None
-        x = _matrix(picked.column("vec"), dim) if n else np.zeros((0, dim), dtype=np.float32)
-        self.n = n
-        leaf_size = max(LEAF_SAMPLE, int(leaf_rows * len(x) / n)) if n else 1
+        self.units = materialize(unit_vectors(df, id_col, vector_col, dim).select("id", F.xxhash64("vec").alias("vid"), "vec"))
+        self.n = self.units.count()
+        x = self._sample(11, sample)[1]
+        leaf_size = max(LEAF_SAMPLE, int(leaf_rows * len(x) / self.n)) if self.n else 1
         self.tree = fit_tree(x, leaf_size)
-        self.homed = materialize(self._visits(self.classes.select("vid", "vec"), 1, 0.0))
+
+    def _sample(self, seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """vid and vector of the rows of smallest id hash, at most size, on the driver."""
+        got = self.units.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(size).select("vid", "vec").toArrow()
+        return got.column("vid").to_numpy(), _matrix(got.column("vec"), self.dim)
+
+    def blocks(self, asked: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The queries (vid, vec) in blocks of at most about size, on the driver one after the other."""
+        asked = materialize(asked.select("vid", "vec"))
+        n = max(1, math.ceil(asked.count() / size * 1.2))
+        for i in range(n):
+            got = asked.where(F.pmod(F.xxhash64("vid"), F.lit(n)) == i).toArrow()
+            yield got.column("vid").to_numpy(), _matrix(got.column("vec"), self.dim)
+
+    def ids(self) -> DataFrame:
+        """(vid, ids): the k + 1 smallest ids of each vector."""
+        w = Window.partitionBy("vid").orderBy("id")
+        heads = self.units.select("vid", "id").distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= self.k + 1)
+        return heads.groupBy("vid").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
     def _visits(self, vectors: DataFrame, leaves: int, gap: float) -> DataFrame:
         """(vid, vec, leaf, turn) for the first leaves of every vector that are at most gap farther than the first."""
@@ -182,6 +192,8 @@ class Index:
             for b in batches:
                 if not b.num_rows:
                     continue
+                first = np.unique(b.column("vid").to_numpy(), return_index=True)[1]
+                b = b.take(pa.array(first))
                 seen, far = visit(tree, _matrix(b.column("vec"), dim), leaves)
                 row, turn = np.nonzero(far - far[:, :1] <= gap)
                 at = pa.array(row)
@@ -189,46 +201,49 @@ class Index:
 
         return vectors.mapInArrow(run, "vid long, vec binary, leaf int, turn int")
 
-    def brute_force(self, queries: DataFrame, min_cosine: float = -2.0, limit: int = 5000) -> DataFrame:
-        """(q, b, cosine, leaf): the k most similar distinct vectors of each query (vid, vec), by full comparison.
+    def brute_force(self, qid: np.ndarray, q: np.ndarray, min_cosine: float = -2.0, limit: int = 5000) -> DataFrame:
+        """(q, b, cosine, leaf): the k most similar distinct vectors of each query, by full comparison.
 
-        The queries, at most limit, are sent to every task; larger sets must be passed in blocks.
+        The queries (vids and vectors), at most limit, are sent to every task; larger sets go in blocks.
         """
-        got = queries.select("vid", "vec").limit(limit + 1).toArrow()
-        if got.num_rows > limit:
+        if len(q) > limit:
             raise ValueError(f"more than {limit} queries")
-        q, qid, k, dim = _matrix(got.column("vec"), self.dim), got.column("vid").to_numpy(), self.k, self.dim
+        tree, k, dim = self.tree, self.k, self.dim
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows and len(q):
-                    ids = b.column("vid").to_numpy()
-                    rows = _best(q, qid, _matrix(b.column("vec"), dim), ids, k, min_cosine)
-                    leaf = b.column("leaf").to_numpy()
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[rows[0]]), pa.array(ids[rows[1]]), pa.array(rows[2].astype(np.float64)), pa.array(leaf[rows[1]])], ["q", "b", "cosine", "leaf"])
+                    ids, first = np.unique(b.column("vid").to_numpy(), return_index=True)
+                    x = _matrix(b.column("vec"), dim)[first]
+                    i, j, c = _best(q, qid, x, ids, k, min_cosine)
+                    hit, at = np.unique(j, return_inverse=True)
+                    leaf = visit(tree, x[hit], 1)[0][:, 0][at] if len(hit) else np.empty(0, dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(ids[j]), pa.array(c.astype(np.float64)), pa.array(leaf.astype(np.int32))], ["q", "b", "cosine", "leaf"])
 
-        return self._top(self.homed.select("vid", "vec", "leaf").mapInArrow(run, "q long, b long, cosine double, leaf int"))
+        return self._top(self.units.select("vid", "vec").mapInArrow(run, "q long, b long, cosine double, leaf int"))
 
     def _top(self, found: DataFrame) -> DataFrame:
+        """The k best of each query; a pair met in several batches counts once."""
+        once = found.groupBy("q", "b").agg(*[F.max(c).alias(c) for c in found.columns[2:]])
         w = Window.partitionBy("q").orderBy(F.desc("cosine"), "b")
-        return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= self.k).drop("r")
+        return once.withColumn("r", F.row_number().over(w)).where(F.col("r") <= self.k).drop("r")
 
     def calibrate(self, recall: float, min_cosine: float = -2.0, queries: int = CALIBRATION) -> tuple[int, float]:
         """(leaves, gap): how far to widen visits so that the given share of true neighbours of sample queries is met.
 
         leaves bounds the number of visits, gap how much farther than the first leaf's centroid a leaf may be.
         """
-        asked = materialize(self.classes.select("vid", "vec").orderBy(F.xxhash64("vid", F.lit(12))).limit(queries))
-        true = self.brute_force(asked, min_cosine).select("q", "leaf").toPandas()
+        qid, q = self._sample(12, queries)
+        qid, first = np.unique(qid, return_index=True)
+        q = q[first]
+        true = self.brute_force(qid, q, min_cosine).select("q", "leaf").toPandas()
         if true.empty:
             return min(4, self.tree.leaves), 4.0
-        got = asked.toArrow()
-        order, far = visit(self.tree, _matrix(got.column("vec"), self.dim), self.tree.leaves)
+        order, far = visit(self.tree, q, self.tree.leaves)
         turn, gap = np.empty_like(order), np.empty_like(far)
         np.put_along_axis(turn, order, np.arange(order.shape[1], dtype=order.dtype)[None, :].repeat(len(order), 0), axis=1)
         np.put_along_axis(gap, order, far - far[:, :1], axis=1)
-        place = {v: i for i, v in enumerate(got.column("vid").to_pylist())}
-        at = true["q"].map(place).to_numpy(), true["leaf"].to_numpy()
+        at = np.searchsorted(qid, true["q"].to_numpy()), true["leaf"].to_numpy()
         turns, gaps = turn[at], gap[at]
         share = recall
         while True:  # each bound alone loses a little; both together must keep the wanted share
@@ -241,17 +256,17 @@ class Index:
     def search(self, leaves: int, gap: float, min_cosine: float = -2.0, queries: DataFrame | None = None) -> DataFrame:
         """(q, b, cosine): the most similar distinct vectors found for every query (all vectors by default)."""
         k, dim = self.k, self.dim
-        base = self.homed.select("leaf", "vid", "vec")
-        asked = self.classes.select("vid", "vec") if queries is None else queries.select("vid", "vec")
-        visits = self._visits(asked, leaves, gap)
+        all_rows = self.units.select("vid", "vec")
         if queries is None:
-            rows = base.withColumn("role", F.lit(2)).unionByName(visits.where("turn > 0").select("leaf", "vid", "vec", F.lit(1).alias("role")))
+            rows = self._visits(all_rows, leaves, gap).select("leaf", "vid", "vec", F.when(F.col("turn") == 0, 2).otherwise(1).alias("role"))
         else:
-            rows = base.withColumn("role", F.lit(0)).unionByName(visits.select("leaf", "vid", "vec", F.lit(1).alias("role")))
+            asked = self._visits(queries.select("vid", "vec"), leaves, gap).select("leaf", "vid", "vec", F.lit(1).alias("role"))
+            rows = self._visits(all_rows, 1, 0.0).select("leaf", "vid", "vec", F.lit(0).alias("role")).unionByName(asked)
 
         def run(table: pa.Table) -> pa.Table:
             x, ids, role = _matrix(table.column("vec"), dim), table.column("vid").to_numpy(), table.column("role").to_numpy()
             held, asks = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
+            held, asks = (r[np.unique(ids[r], return_index=True)[1]] for r in (held, asks))
             out = []
             for q_rows, b_rows in _cells(x, held, asks, leaves):
                 i, j, c = _best(x[q_rows], ids[q_rows], x[b_rows], ids[b_rows], k, min_cosine)
@@ -260,14 +275,14 @@ class Index:
             return pa.table({"q": pa.array(cols[0].astype(np.int64)), "b": pa.array(cols[1].astype(np.int64)), "cosine": pa.array(cols[2].astype(np.float64))})
 
         found = rows.groupBy("leaf").applyInArrow(run, "q long, b long, cosine double")
-        return self._top(found.distinct())
+        return self._top(found)
 
     def neighbours(self, found: DataFrame, min_cosine: float = -2.0, queries: DataFrame | None = None) -> DataFrame:
         """(id, neighbour, cosine, position): found vectors as ids; copies come first, ties by id."""
-        members = self.members.select("id", "vid").distinct()
+        members = self.units.select("id", "vid").distinct()
         if queries is not None:
             members = members.join(queries.select("vid").distinct(), "vid", "left_semi")
-        ids = self.classes.select("vid", "ids")
+        ids = materialize(self.ids())
         own = members.join(ids, "vid").select("id", F.explode("ids").alias("neighbour"), F.lit(1.0).alias("cosine"))
         far = found.where(F.col("cosine") >= min_cosine).join(ids.withColumnRenamed("vid", "b"), "b").select(F.col("q").alias("vid"), F.explode("ids").alias("neighbour"), "cosine")
         w = Window.partitionBy("vid").orderBy(F.desc("cosine"), "neighbour")
@@ -334,7 +349,7 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "chunk_id", vector_
     """(index, asked, neighbours): k most similar vectors for the ids in queries, against all vectors."""
     index = Index(df, id_col, vector_col, dim, k)
     ids = queries.select(F.col(id_col).cast("string").alias("id")).distinct()
-    asked = index.members.join(ids, "id", "left_semi").select("vid", "vec").dropDuplicates(["vid"])
+    asked = index.units.join(ids, "id", "left_semi").select("vid", "vec").dropDuplicates(["vid"])
     if not index.n:
         return index, asked, df.sparkSession.createDataFrame([], "id string, neighbour string, cosine double, position int")
     found = index.search(*index.calibrate(recall), queries=asked)

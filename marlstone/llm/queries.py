@@ -42,10 +42,9 @@ def p2_recall(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").select("chunk_id", "content_vector")
     index, asked, _ = knntree.nearest(chunks, _every_hundredth(chunks))
     found = index.search(*index.calibrate(0.95), queries=asked).select("q", "b", F.lit(1).alias("hit"))
-    blocks = max(1, -(-asked.count() // 4000))
     true = None
-    for i in range(blocks):
-        part = index.brute_force(asked.where(F.pmod(F.col("vid"), F.lit(blocks)) == i)).select("q", "b")
+    for vids, vectors in index.blocks(asked, 4000):
+        part = index.brute_force(vids, vectors).select("q", "b")
         true = part if true is None else true.unionByName(part)
     both = true.join(found, ["q", "b"], "left")
     return both.agg(F.countDistinct("q").alias("queries"), F.count("*").alias("true_neighbours"), F.count("hit").alias("found")).withColumn("recall", F.round(F.col("found") / F.col("true_neighbours"), 4))
