@@ -25,7 +25,7 @@ from marlstone.session import materialize
 #: Large leaves keep the shuffle small: a query is sent to every leaf it visits, and comparing within a leaf is a matrix product.
 SAMPLE, LEAF_ROWS, BRANCH, LEAF_SAMPLE = 40_000, 8192, 24, 16
 #: Queries of the calibration, and leaf rows above which a leaf is split inside its task.
-CALIBRATION, LOCAL_ROWS = 1000, 65_536
+CALIBRATION, LOCAL_ROWS = 4000, 65_536
 
 
 @dataclass
@@ -336,7 +336,7 @@ def _cells(x: np.ndarray, held: np.ndarray, asks: np.ndarray, leaves: int) -> It
             yield who, rows
 
 
-def similar_pairs(df: DataFrame, id_col: str = "chunk_id", vector_col: str = "content_vector", dim: int = 64, k: int = 5, min_cosine: float = 0.9, recall: float = 0.99) -> DataFrame:
+def similar_pairs(df: DataFrame, id_col: str = "chunk_id", vector_col: str = "content_vector", dim: int = 64, k: int = 5, min_cosine: float = 0.9, recall: float = 0.998) -> DataFrame:
     """(id_a, id_b): pairs of which at least one is among the other's k most similar and whose cosine is min_cosine or more."""
     index = Index(df, id_col, vector_col, dim, k)
     if not index.n:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -129,6 +130,19 @@ def line_shape(line: str, tokens: list[str], letters: int, cjk: int, digits: int
     return 4 if size > 48 else 5
 
 
+def delimiters(line: str) -> int:
+    """Commas and semicolons without a blank after them."""
+    return line.count(",") - line.count(", ") + line.count(";") - line.count("; ")
+
+
+def row_columns(lines: list[str]) -> int:
+    """The count of delimiters that most lines share, as rows of separated values do; 0 where they don't."""
+    if len(lines) < 3:
+        return 0
+    n, lines_with = Counter(map(delimiters, lines)).most_common(1)[0]
+    return n if n > 1 and lines_with >= 0.7 * len(lines) else 0
+
+
 def read_lines(text: str, words: WordList) -> tuple[list[tuple[int, int, int]], dict[str, float]]:
     """(shape, common step, characters) of each line that isn't blank, and the statistics of the text."""
     seen = []
@@ -157,7 +171,8 @@ def read_lines(text: str, words: WordList) -> tuple[list[tuple[int, int, int]],
     repeated = len(parts) > 3 and distinct < 0.34
     bare = text.strip()
     nothing = len(seen) == 1 and (bare.lower() in NOTHING or len(bare) < 4 and not any(map(str.isalpha, bare)))
-    out = [(0 if repeated or nothing else line_shape(*x), 0 if not x[5] else 1 if x[5] < 0.1 else 2 if x[5] < 0.25 else 3, len(x[0])) for x in seen]
+    columns = row_columns([x[0] for x in seen])
+    out = [(0 if repeated or nothing else 1 if columns and delimiters(x[0]) == columns else line_shape(*x), 0 if not x[5] else 1 if x[5] < 0.1 else 2 if x[5] < 0.25 else 3, len(x[0])) for x in seen]
     return out, {
         "n_lines": len(seen),
         "n_words": n_words,
