@@ -47,8 +47,8 @@ PATTERN = re.compile(
     r"|(?P<hcode><(?P<htag>pre|syntaxhighlight|source)(?=[\s>])[^<>]*>(?P<hbody>.*?)(?:</(?P=htag)\s*>|\Z))"
     r"|(?P<script><(?P<stag>script|style)\b[^<>]*>.*?(?:</(?P=stag)\s*>|\Z))"
     rf"|(?P<texmath>\\begin\{{(?P<menv>{MATH_ENVS})\*?\}}(?P<mbody>.*?)(?:\\end\{{(?P=menv)\*?\}}|\Z))"
-    r"|(?P<dmath>\$\$(?=[^$])(?P<dbody>.+?)\$\$|\\\[(?P<dbody2>.+?)\\\]|<math\b[^<>]*>(?P<dbody3>.+?)(?:</math\s*>|\Z))"
-    r"|(?P<imath>\\\((?P<ibody>.+?)\\\)|(?<![\\$\w])\$(?=[^\s$])(?P<ibody2>[^$\n]{0,300}?[^\s$\\])\$(?![\d$]))"
+    r"|(?P<dmath>\$\$(?=[^$])(?P<dbody>.{1,4000}?)\$\$|\\\[(?P<dbody2>.{1,4000}?)\\\]|<math\b[^<>]*>(?P<dbody3>.+?)(?:</math\s*>|\Z))"
+    r"|(?P<imath>\\\((?P<ibody>.{1,2000}?)\\\)|(?<![\\$\w])\$(?=[^\s$])(?P<ibody2>[^$\n]{0,300}?[^\s$\\])\$(?![\d$]))"
     rf"|(?P<texlist>\\begin\{{(?:{LIST_ENVS})\*?\}}(?:\[[^\]\n]*\])?)|(?P<texlistend>\\end\{{(?:{LIST_ENVS})\*?\}})|(?P<texitem>\\item\b(?:\[[^\]\n]*\])?[ \t]*)"
     r"|(?P<texenv>\\(?:begin|end)\{[a-zA-Z]+\*?\}(?:\[[^\]\n]*\])?)"
     rf"|(?P<texhead>\\(?P<hcmd>{'|'.join(HEAD_COMMANDS)})\*?(?:\[[^\]\n]*\])?\{{(?P<htext>(?:[^{{}}\n]|\{{[^{{}}\n]*\}})*)\}})"
@@ -83,7 +83,7 @@ SPACE = re.compile(r"[^\S\n]+")
 TABLE_ROW = re.compile(r"^[ \t]*\|.*\|[ \t]*$")
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     """An element; kids holds nodes and strings in order."""
 
@@ -331,7 +331,7 @@ def drop_boilerplate(root: Node) -> int:
         n = todo.pop()
         kept = []
         for k in n.kids:
-            if isinstance(k, Node) and id(k) not in keep and k.tag in BLOCKS and k.link_tags > 1 and k.density < least and 2 * k.link_chars > k.chars and best not in list(k.walk()):
+            if isinstance(k, Node) and id(k) not in keep and k.tag in BLOCKS and k.link_tags > 1 and k.density < least and 2 * k.link_chars > k.chars and not any(n is best for n in k.walk()):
                 gone += 1
             else:
                 kept.append(k)

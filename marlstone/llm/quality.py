@@ -100,7 +100,7 @@ def line_shape(line: str, tokens: list[str], letters: int, cjk: int, digits: int
     ended = bool(END.search(line))
     size = n + cjk
     ruled = RULED.match(line)
-    if letters + digits == 0 or letters + digits < 0.4 * solid and not ruled and not LEADERS.search(line):
+    if letters + digits == 0 or letters + digits < 0.4 * solid and not ruled and not LEADERS.search(line[-200:]):
         return 1 if ruled and letters + digits == 0 and line.count("+") + line.count("|") > 1 else 0
     item = ITEM.match(line)
     if common >= 0.1 and ended and size > 24 and not item and not ruled and "\t" not in line:
@@ -113,7 +113,7 @@ def line_shape(line: str, tokens: list[str], letters: int, cjk: int, digits: int
         return 0
     if ruled and line.count("|") > 2 or "\t" in line.strip() or common < 0.1 and len(PAIR.findall(line)) > 1 or digits * 5 > letters and line.count(" | ") > 1:
         return 1
-    if item or LEADERS.search(line):
+    if item or LEADERS.search(line[-200:]):
         return 2
     if len(GAPS.findall(line)) > 1:
         return 1
