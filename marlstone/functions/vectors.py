@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,3 +61,41 @@ def hash_embed(df: DataFrame, text_col: str, out_col: str = "content_vector", di
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], [*kept, out_col])
 
     return src.mapInArrow(embed, schema)
+
+
+def embed_with(df: DataFrame, text_col: str, model: Callable[[list[str]], list[list[float]]], out_col: str = "content_vector", batch: int = 32, normalize: bool = True, retries: int = 3) -> DataFrame:
+    """df with vectors of a model that is called on the workers, batch texts at a time.
+
+    A vector stays with its row; blank and NULL texts aren't sent and give NULL. A failed call is tried again
+    and raised at last. The last, smaller batch is sent as well.
+    """
+    kept = [c for c in df.columns if c != out_col]
+    schema = T.StructType([*[f for f in df.schema if f.name != out_col], T.StructField(out_col, T.ArrayType(T.FloatType()))])
+    src = df.select(*kept, F.col(text_col).alias("__text"))
+
+    def call(texts: list[str]) -> list[list[float]]:
+        for i in range(retries):
+            try:
+                got = model(texts)
+                if len(got) != len(texts):
+                    raise ValueError(f"{len(got)} vectors for {len(texts)} texts")
+                return got
+            except Exception:
+                if i == retries - 1:
+                    raise
+        raise AssertionError
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.num_columns - 1).to_pylist()
+            out: list[list[float] | None] = [None] * len(texts)
+            full = [i for i, t in enumerate(texts) if t and t.strip()]
+            for at in range(0, len(full), batch):
+                rows = full[at : at + batch]
+                for i, v in zip(rows, call([texts[i] for i in rows])):
+                    x = np.asarray(v, dtype=np.float64)
+                    size = float(np.linalg.norm(x))
+                    out[i] = (x / size if normalize and size else x).tolist()
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.list_(pa.float32()))], [*kept, out_col])
+
+    return src.mapInArrow(run, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import ANALYZERS
+from marlstone.session import materialize
 
 
 @dataclass
@@ -18,6 +19,11 @@ class InvertedIndex:
     lengths: DataFrame
     corpus: DataFrame
 
+    def stored(self) -> InvertedIndex:
+        """The same index written once to the shared folder, so that searches don't analyse the texts again."""
+        lengths = materialize(self.lengths)
+        return InvertedIndex(materialize(self.postings), lengths, corpus_stats(lengths))
+
     def save(self, path: str) -> None:
         """Three tables; postings are laid out by term, so a query reads few files' row groups."""
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")

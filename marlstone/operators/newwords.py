@@ -9,6 +9,8 @@ from marlstone.functions.text import clean_corpus
 from marlstone.session import materialize
 
 CJK = "[一-鿿]"
+#: Characters of a word whose grams are cut from one piece of it.
+BLOCK = 64
 
 
 def corpus_words(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -23,27 +25,32 @@ def corpus_words(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
     return words, total
 
 
-def ngrams(words: DataFrame, least: int = 2, most: int = 6, require: str = CJK, strict_alpha: bool = False) -> DataFrame:
-    """(gram, left, right, n): grams with their neighbours; a neighbour outside the word is a blank.
+def ngrams(words: DataFrame, least: int = 2, most: int = 6) -> DataFrame:
+    """(gram, left, right, n): every place of a gram of least to most characters in a distinct word.
 
-    A gram is at least least and at most most characters, not digits only, and matches require. strict_alpha
-    also drops grams of letters only, which leaves mixed ones.
+    A neighbour outside the word is a blank. gram_counts tells which grams are candidates.
+    """
+    # unspaced text makes long words: they are cut into blocks first, for a substring is found from its start on
+    size, start, i, k = F.length("w"), F.col("start"), F.col("i"), F.col("k")
+    blocks = words.where(size >= least).select("w", "n", size.alias("size"), F.explode(F.sequence(F.lit(1), size - (least - 1), F.lit(BLOCK))).alias("start"))
+    blocks = blocks.select("n", "size", "start", F.greatest(start - 1, F.lit(1)).alias("first"), F.substring("w", F.greatest(start - 1, F.lit(1)), F.lit(BLOCK + most + 1)).alias("w"))
+    at = blocks.select("*", F.explode(F.sequence(start, F.least(start + (BLOCK - 1), F.col("size") - (least - 1)))).alias("i"))
+    cut = at.select("w", "n", "i", "size", (i - F.col("first") + 1).alias("at"), F.explode(F.sequence(F.lit(least), F.least(F.lit(most), F.col("size") - i + 1))).alias("k"))
+    gram = F.substring("w", F.col("at"), k)
+    left = F.when(i > 1, F.substring("w", F.col("at") - 1, F.lit(1))).otherwise(F.lit(" "))
+    right = F.when(i + k <= F.col("size"), F.substring("w", F.col("at") + k, F.lit(1))).otherwise(F.lit(" "))
+    return cut.select(gram.alias("gram"), left.alias("left"), right.alias("right"), "n")
+
+
+def gram_counts(grams: DataFrame, require: str = CJK, strict_alpha: bool = False) -> DataFrame:
+    """(gram, freq) of the candidates: not digits only, matching require; with strict_alpha not letters only either.
+
+    Grams are tested after counting, once each.
     """
-    size = F.length("w")
-    at = words.where(size >= least).select("w", "n", F.explode(F.sequence(F.lit(1), size - (least - 1))).alias("i"))
-    cut = at.select("w", "n", "i", F.explode(F.sequence(F.lit(least), F.least(F.lit(most), F.length("w") - F.col("i") + 1))).alias("k"))
-    gram = F.substring("w", F.col("i"), F.col("k"))
-    left = F.when(F.col("i") > 1, F.substring("w", F.col("i") - 1, F.lit(1))).otherwise(F.lit(" "))
-    end = F.col("i") + F.col("k")
-    right = F.when(end <= F.length("w"), F.substring("w", end, F.lit(1))).otherwise(F.lit(" "))
     good = ~F.col("gram").rlike(r"^\p{Nd}+$") & F.col("gram").rlike(require)
     if strict_alpha:
         good = good & ~F.col("gram").rlike(r"^\p{L}+$")
-    return cut.select(gram.alias("gram"), left.alias("left"), right.alias("right"), "n").where(good).groupBy("gram", "left", "right").agg(F.sum("n").alias("n"))
-
-
-def gram_counts(grams: DataFrame) -> DataFrame:
-    return grams.groupBy("gram").agg(F.sum("n").alias("freq"))
+    return grams.groupBy("gram").agg(F.sum("n").alias("freq")).where(good)
 
 
 def neighbour_entropy(grams: DataFrame, side: str) -> DataFrame:
@@ -53,9 +60,12 @@ def neighbour_entropy(grams: DataFrame, side: str) -> DataFrame:
     return each.groupBy("gram").agg((F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")).alias("entropy"))
 
 
-def mutual_information(counts: DataFrame, frequent: DataFrame, total: int) -> DataFrame:
-    """(gram, left_pmi, right_pmi): of the gram without its last, and its first, character; 0 where a part is missing."""
-    all_ = counts.select(F.col("gram").alias("part"), F.col("freq").alias("part_freq"))
+def mutual_information(counts: DataFrame, frequent: DataFrame, total: int, parts: DataFrame | None = None) -> DataFrame:
+    """(gram, left_pmi, right_pmi): of the gram without its last, and its first, character; 0 where a part is missing.
+
+    A part is at least as frequent as its gram, so parts may be given without the rare grams.
+    """
+    all_ = (counts if parts is None else parts).select(F.col("gram").alias("part"), F.col("freq").alias("part_freq"))
     last = counts.groupBy(F.substring("gram", -1, 1).alias("ch")).agg(F.sum("freq").alias("ch_freq"))
     first = counts.groupBy(F.substring("gram", 1, 1).alias("ch")).agg(F.sum("freq").alias("ch_freq"))
     size = F.length("gram")
@@ -79,18 +89,21 @@ def cohesion(counts: DataFrame, frequent: DataFrame, total: int) -> DataFrame:
 def new_words(docs: DataFrame, text_col: str, min_freq: int = 5, least: int = 2, most: int = 6, min_pmi: float = 3.0, min_entropy: float = 1.0, top_k: int = 200, require: str = CJK, strict_alpha: bool = False, known: DataFrame | None = None) -> DataFrame:
     """The top_k new words by score with all measures; known (word) holds words to leave out."""
     words, total_row = corpus_words(docs, text_col)
-    total = total_row.first()["total"] or 0
-    grams = materialize(ngrams(words, least, most, require, strict_alpha))
-    counts = materialize(gram_counts(grams))
-    frequent = counts.where(F.col("freq") >= min_freq)
+    words, total = materialize(words), total_row.first()["total"] or 0
+    grams = ngrams(words, least, most)
+    counts = materialize(gram_counts(grams, require, strict_alpha))
+    common = materialize(counts.where(F.col("freq") >= min_freq))
+    frequent = common
     if known is not None:
         frequent = frequent.join(known.select(F.col("word").alias("gram")).distinct(), "gram", "left_anti")
-    held = grams.join(frequent.select("gram"), "gram", "left_semi")
-    out = frequent.join(mutual_information(counts, frequent, total), "gram").join(cohesion(counts, frequent, total), "gram")
+    measured = frequent.join(mutual_information(counts, frequent, total, common), "gram").join(cohesion(common, frequent, total), "gram")
+    # neighbours are counted only for grams that can still qualify
+    out = materialize(measured.where((F.round(F.least("left_pmi", "right_pmi"), 9) >= min_pmi) & (F.round("cohesion", 9) > 0)))
+    held = grams.join(out.select("gram"), "gram", "left_semi")
     for side in ("left", "right"):
         out = out.join(neighbour_entropy(held, side).withColumnRenamed("entropy", f"{side}_entropy"), "gram")
     out = out.withColumns({"min_pmi": F.least("left_pmi", "right_pmi"), "min_entropy": F.least("left_entropy", "right_entropy")})
     out = out.withColumn("score", F.round(F.col("min_pmi") * F.col("min_entropy") * F.log("freq"), 6))
-    out = out.where((F.round("min_pmi", 9) >= min_pmi) & (F.round("min_entropy", 9) >= min_entropy) & (F.round("cohesion", 9) > 0))
+    out = out.where(F.round("min_entropy", 9) >= min_entropy)
     measures = ["left_pmi", "right_pmi", "min_pmi", "left_entropy", "right_entropy", "min_entropy", "cohesion"]
     return out.select(F.col("gram").alias("word"), "freq", *[F.round(m, 6).alias(m) for m in measures], "score").orderBy(F.desc("score"), "word").limit(top_k)

@@ -70,8 +70,8 @@ def by_service(hits: DataFrame, answers: DataFrame, k: int = 10) -> DataFrame:
     given = F.coalesce("j.results", "j.data")
     scored = F.transform(given, lambda x: F.struct(x["index"].alias("i"), F.coalesce(x["relevance_score"], x["score"]).alias("s")))
     places = F.transform(F.col("j.rankings"), lambda x, n: F.struct(x.alias("i"), (1 - 0.1 * n).alias("s")))
-    each = parsed.select("qid", F.inline(F.coalesce(scored, places)))
-    at = hits.join(each, (hits["qid"] == each["qid"]) & (F.col("rank") - 1 == F.col("i")), "left").drop(each["qid"]).drop("i").withColumnRenamed("s", "rerank_score")
+    each = parsed.select(F.col("qid").alias("__q"), F.inline(F.coalesce(scored, places)))
+    at = hits.join(each, (F.col("qid") == F.col("__q")) & (F.col("rank") - 1 == F.col("i")), "left").drop("__q", "i").withColumnRenamed("s", "rerank_score")
     w = Window.partitionBy("qid").orderBy(F.desc_nulls_last("rerank_score"), "rank")
     return at.withColumn("new_rank", F.row_number().over(w)).where(F.col("new_rank") <= k)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import prompts, text, understanding
 from marlstone.operators import generate, index, newwords, rerank, retrieve, split, stats
-from marlstone.session import table
+from marlstone.session import table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,13 +73,13 @@ def latest_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH " + bm25_sql("SELECT doc_id, text FROM documents", {"text": 1}, "doc_id") + TOP)
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    ix = index.build_index(table(spark, d, "documents"), "doc_id", ["text"])
+    ix = index.build_index(texts(spark, d, "documents"), "doc_id", ["text"]).stored()
     return _named(retrieve.text_search(ix, _terms(spark, d), 5), "doc_id")
 
 
 @query("WITH " + bm25_sql("SELECT doc_id, text FROM documents", {"text": 1}, "doc_id", k1=1.2, okapi=True) + TOP)
 def bm25_okapi_topk(spark: SparkSession, d: str) -> DataFrame:
-    ix = index.build_index(table(spark, d, "documents"), "doc_id", ["text"])
+    ix = index.build_index(texts(spark, d, "documents"), "doc_id", ["text"]).stored()
     return _named(retrieve.text_search(ix, _terms(spark, d), 5, k1=1.2, variant="okapi"), "doc_id")
 
 
@@ -88,20 +88,20 @@ FIELDS = {"text": 2.0, "filename": 1.5, "source": 1.0}
 
 @query("WITH " + bm25_sql("SELECT doc_id, text, filename, source FROM documents", FIELDS, "doc_id", k1=1.2) + TOP)
 def bm25_multifield(spark: SparkSession, d: str) -> DataFrame:
-    ix = index.build_index(table(spark, d, "documents"), "doc_id", list(FIELDS))
+    ix = index.build_index(texts(spark, d, "documents"), "doc_id", list(FIELDS)).stored()
     return _named(retrieve.text_search(ix, _terms(spark, d), 5, k1=1.2, boosts=FIELDS), "doc_id")
 
 
 @query("WITH " + bm25_sql("SELECT doc_id, text FROM documents", {"text": 1}, "doc_id", allowed="id IN (SELECT doc_id FROM documents WHERE lang = 'en')") + TOP)
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    ix = index.build_index(docs, "doc_id", ["text"])
+    docs = texts(spark, d, "documents")
+    ix = index.build_index(docs, "doc_id", ["text"]).stored()
     return _named(retrieve.text_search(ix, _terms(spark, d), 5, allowed=docs.where("lang = 'en'").select(F.col("doc_id").alias("id"))), "doc_id")
 
 
 @query("WITH " + bm25_sql(LATEST_CHUNKS, {"content_jieba": 1}, "chunk_id", queries="SELECT query_id AS qid, query AS t FROM queries", tokens=SEGMENTED) + TOP.replace("doc_id", "chunk_id"))
 def bm25_segmented(spark: SparkSession, d: str) -> DataFrame:
-    ix = index.build_index(latest_chunks(spark, d), "chunk_id", {"content_jieba": "segmented"})
+    ix = index.build_index(latest_chunks(spark, d), "chunk_id", {"content_jieba": "segmented"}).stored()
     return _named(retrieve.text_search(ix, _terms(spark, d, "segmented"), 5), "chunk_id")
 
 
@@ -115,7 +115,7 @@ EXPANSIONS = "SELECT query_id || '/' || (i - 1) AS qid, parts[i] AS t FROM (SELE
 SELECT q AS query_id, id AS doc_id, score, 'query_' || no AS query_source, row_number() OVER (PARTITION BY q ORDER BY score DESC, id)::BIGINT AS rank FROM best QUALIFY rank <= 10"""
 )
 def multi_query_dedup(spark: SparkSession, d: str) -> DataFrame:
-    ix = index.build_index(table(spark, d, "documents"), "doc_id", ["text"])
+    ix = index.build_index(texts(spark, d, "documents"), "doc_id", ["text"]).stored()
     got = retrieve.multi_query(ix, table(spark, d, "queries"), "query_id", "query", "expanded_queries", 10)
     return got.select(F.col("qid").alias("query_id"), F.col("id").alias("doc_id"), "score", "query_source", F.col("rank").cast("long").alias("rank"))
 
@@ -196,7 +196,7 @@ SELECT qid AS query_id, id, score, row_number() OVER (PARTITION BY qid ORDER BY
 def hybrid_differential(spark: SparkSession, d: str) -> DataFrame:
     """Text search over level-0 chunks fused with the vector hits on level-2 chunks."""
     chunks = latest_chunks(spark, d)
-    ix = index.build_index(chunks, "chunk_id", ["content"])
+    ix = index.build_index(chunks, "chunk_id", ["content"]).stored()
     level = lambda n: chunks.where(F.col("chunk_level") == n).select(F.col("chunk_id").alias("id"))
     words = retrieve.text_search(ix, _terms(spark, d), 20, allowed=level(0))
     vec = table(spark, d, "hits").where("vector_score IS NOT NULL").join(level(2), "id", "left_semi").groupBy(F.col("query_id").alias("qid"), "id").agg(F.max("vector_score").alias("score"))
@@ -262,7 +262,7 @@ s AS (SELECT doc_id, w, unnest(range(0, len(w), 80)) AS pos FROM w WHERE len(w)
 SELECT doc_id, (pos / 80)::INT AS chunk_index, array_to_string(w[pos + 1:pos + 100], ' ') AS chunk FROM s"""
 )
 def split_word(spark: SparkSession, d: str) -> DataFrame:
-    return split.split_words(table(spark, d, "documents"), "doc_id", "text", 100, 20)
+    return split.split_words(texts(spark, d, "documents"), "doc_id", "text", 100, 20)
 
 
 @query(
@@ -277,32 +277,32 @@ WITH RECURSIVE s AS (
 SELECT doc_id, no AS chunk_index, string_agg(s[i], ' ' ORDER BY i) AS chunk FROM f GROUP BY doc_id, no"""
 )
 def split_sentence(spark: SparkSession, d: str) -> DataFrame:
-    return split.split_sentences(table(spark, d, "documents"), "doc_id", "text", 500)
+    return split.split_sentences(texts(spark, d, "documents"), "doc_id", "text", 500)
 
 
 @query()
 def split_char(spark: SparkSession, d: str) -> DataFrame:
-    return split.split_characters(table(spark, d, "documents"), "doc_id", "text", 500, 50)
+    return split.split_characters(texts(spark, d, "documents"), "doc_id", "text", 500, 50)
 
 
 @query()
 def split_recursive(spark: SparkSession, d: str) -> DataFrame:
-    return split.split_recursive(table(spark, d, "documents"), "doc_id", "text", 500, 50)
+    return split.split_recursive(texts(spark, d, "documents"), "doc_id", "text", 500, 50)
 
 
 @query()
 def split_semantic(spark: SparkSession, d: str) -> DataFrame:
-    return split.split_semantic(table(spark, d, "documents"), "doc_id", "text", 500, 0.1)
+    return split.split_semantic(texts(spark, d, "documents"), "doc_id", "text", 500, 0.1)
 
 
 @query()
 def split_token_sentence(spark: SparkSession, d: str) -> DataFrame:
-    return split.split_tokens(table(spark, d, "documents"), "doc_id", "text", 256, 32)
+    return split.split_tokens(texts(spark, d, "documents"), "doc_id", "text", 256, 32)
 
 
 @query()
 def split_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    return split.split_hierarchy(table(spark, d, "documents"), "doc_id", "text", [1536, 512, 128], 50)
+    return split.split_hierarchy(texts(spark, d, "documents"), "doc_id", "text", [1536, 512, 128], 50)
 
 
 @query(
@@ -359,13 +359,13 @@ def node_headers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH t AS (SELECT doc_id, {TOKENS.format(c='text')} AS toks FROM documents), p AS (SELECT unnest(toks) AS term, doc_id FROM t) SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS occurrences FROM p GROUP BY term")
 def posting_stats(spark: SparkSession, d: str) -> DataFrame:
-    ix = index.build_index(table(spark, d, "documents"), "doc_id", ["text"])
+    ix = index.build_index(texts(spark, d, "documents"), "doc_id", ["text"])
     return ix.postings.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"))
 
 
 @query(f"WITH t AS (SELECT len({TOKENS.format(c='text')}) AS dl FROM documents) SELECT count(*) AS n, round(avg(dl), 6) AS avgdl FROM t WHERE dl > 0")
 def doc_length_stats(spark: SparkSession, d: str) -> DataFrame:
-    return index.build_index(table(spark, d, "documents"), "doc_id", ["text"]).corpus.select("n", F.round("avgdl", 6).alias("avgdl"))
+    return index.build_index(texts(spark, d, "documents"), "doc_id", ["text"]).corpus.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query("SELECT source, count(*) AS docs FROM documents GROUP BY source ORDER BY docs DESC, source NULLS FIRST LIMIT 10")
@@ -465,13 +465,13 @@ ws AS (SELECT f.gram AS word, freq, left_pmi, right_pmi, least(left_pmi, right_p
 
 @query(NEW_WORDS + "SELECT gram, freq::BIGINT AS freq FROM frequent")
 def ngram_counts(spark: SparkSession, d: str) -> DataFrame:
-    words, _ = newwords.corpus_words(table(spark, d, "documents"), "text")
+    words, _ = newwords.corpus_words(texts(spark, d, "documents"), "text")
     return newwords.gram_counts(newwords.ngrams(words)).where("freq >= 5")
 
 
 @query(NEW_WORDS + "SELECT gram, round(left_entropy, 6) + 0.0 AS left_entropy, round(right_entropy, 6) + 0.0 AS right_entropy FROM frequent JOIN le USING (gram) JOIN re USING (gram)")
 def neighbor_entropy(spark: SparkSession, d: str) -> DataFrame:
-    words, _ = newwords.corpus_words(table(spark, d, "documents"), "text")
+    words, _ = newwords.corpus_words(texts(spark, d, "documents"), "text")
     grams = newwords.ngrams(words)
     frequent = newwords.gram_counts(grams).where("freq >= 5")
     left, right = (newwords.neighbour_entropy(grams, s).select("gram", (F.round("entropy", 6) + 0.0).alias(f"{s}_entropy")) for s in ("left", "right"))
@@ -480,7 +480,7 @@ def neighbor_entropy(spark: SparkSession, d: str) -> DataFrame:
 
 @query(NEW_WORDS + "SELECT gram, round(left_pmi, 6) AS left_pmi, round(right_pmi, 6) AS right_pmi, round(coalesce(c, 0), 6) AS cohesion FROM lp JOIN rp USING (gram) LEFT JOIN co USING (gram)")
 def pmi_cohesion(spark: SparkSession, d: str) -> DataFrame:
-    words, total = newwords.corpus_words(table(spark, d, "documents"), "text")
+    words, total = newwords.corpus_words(texts(spark, d, "documents"), "text")
     counts = newwords.gram_counts(newwords.ngrams(words))
     frequent, n = counts.where("freq >= 5"), total.first()["total"]
     pmi, co = newwords.mutual_information(counts, frequent, n), newwords.cohesion(counts, frequent, n)
@@ -493,7 +493,7 @@ def pmi_cohesion(spark: SparkSession, d: str) -> DataFrame:
 FROM ws WHERE round(min_pmi, 9) >= 3 AND round(min_entropy, 9) >= 1 AND round(cohesion, 9) > 0 ORDER BY score DESC, word LIMIT 200"""
 )
 def new_words(spark: SparkSession, d: str) -> DataFrame:
-    return newwords.new_words(table(spark, d, "documents"), "text")
+    return newwords.new_words(texts(spark, d, "documents"), "text")
 
 
 # Query texts ---------------------------------------------------------------------------------------------------

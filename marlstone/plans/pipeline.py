@@ -291,6 +291,75 @@ def _embedding_reranker(c: dict[str, Any]) -> Component:
     return run
 
 
+def _with_queries(t: Tables) -> DataFrame:
+    return t["hits"].join(t["queries"].select("qid", "query"), "qid")
+
+
+@registry.register("embedding", "model")
+def _model_embedding(c: dict[str, Any]) -> Component:
+    from marlstone.functions.vectors import embed_with
+
+    return lambda t: {"chunks": embed_with(t["chunks"], c.get("text", "content"), c["model"], c.get("field_name", "content_vector"), c.get("batch_size", 32), c.get("normalize", True))}
+
+
+@registry.register("reranker", "llm")
+def _llm_reranker(c: dict[str, Any]) -> Component:
+    """method listwise asks for a list per query, pointwise for a score per hit, pairwise for the better of two."""
+    from pyspark.sql import functions as F
+
+    from marlstone.functions import prompts
+    from marlstone.operators import rerank
+
+    method, k = c.get("method", "pairwise"), c.get("top_k", 10)
+
+    def run(t: Tables) -> Tables:
+        hits, model = t["hits"], c["model"]
+        if method == "pairwise":
+            ranked = rerank.by_comparison(_with_queries(t), model, k)
+            return {"hits": ranked.drop("query", "rank").withColumnRenamed("new_rank", "rank")}
+        if method == "pointwise":
+            prompt = prompts.TemplateManager().fill("relevance_score", question=F.col("query"), answer=F.col("content"), criteria=F.lit("0-10"))
+            asked = rerank.ask(_with_queries(t).withColumn("prompt", prompt), "prompt", model)
+            return {"hits": rerank.by_score_answer(asked.drop("rank"), "answer", k, c.get("score_threshold", 0.0)).drop("query", "prompt", "answer")}
+        if method != "listwise":
+            raise ValueError(f"unknown method {method!r}")
+        ctx = prompts.context(hits.withColumn("title", F.col("id"))).join(t["queries"].select("qid", "query"), "qid")
+        prompt = prompts.TemplateManager().fill("rerank_prompt", question=F.col("query"), documents=F.col("context"))
+        answers = rerank.ask(ctx.withColumn("prompt", prompt), "prompt", model)
+        return {"hits": rerank.by_list(hits, answers, k).drop("rank").withColumnRenamed("new_rank", "rank")}
+
+    return run
+
+
+@registry.register("reranker", "service")
+def _service_reranker(c: dict[str, Any]) -> Component:
+    """model takes a query and its texts as JSON and answers with a rerank service's JSON."""
+    from pyspark.sql import functions as F
+
+    from marlstone.operators import rerank
+
+    def run(t: Tables) -> Tables:
+        texts = t["hits"].groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]).alias("documents"))
+        asked = texts.join(t["queries"].select("qid", "query"), "qid").withColumn("prompt", F.to_json(F.struct("query", "documents")))
+        out = rerank.by_service(t["hits"], rerank.ask(asked, "prompt", c["model"]), c.get("top_k", 10))
+        return {"hits": out.drop("rank").withColumnRenamed("new_rank", "rank")}
+
+    return run
+
+
+@registry.register("generator", "llm")
+def _llm_generator(c: dict[str, Any]) -> Component:
+    from pyspark.sql import functions as F
+
+    from marlstone.operators.generate import model_answers
+
+    def run(t: Tables) -> Tables:
+        hits = t["hits"] if "title" in t["hits"].columns else t["hits"].withColumn("title", F.col("id"))
+        return {"answers": model_answers(t["queries"], hits, c["model"], c.get("prompt_template", "retrieval_prompt"), c.get("max_retries", 3))}
+
+    return run
+
+
 @registry.register("generator", "template")
 def _template_generator(c: dict[str, Any]) -> Component:
     from pyspark.sql import functions as F

@@ -52,6 +52,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, spread over all cores if its scan has fewer tasks than there are cores; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are going to be scanned."""
+    return spread(table(spark, sf_dir, name))
+
+
 def task_count(df: DataFrame) -> int:
     """Shuffle width of the session."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))

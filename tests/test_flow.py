@@ -114,3 +114,43 @@ def test_pipeline_runs(spark):
 def test_config_file(tmp_path):
     (tmp_path / "p.yaml").write_text("components:\n  a: {type: query, name: decomposition}\nentry_point: a\n", encoding="utf-8")
     assert pipeline.cached_pipeline(str(tmp_path / "p.yaml")) is pipeline.cached_pipeline(str(tmp_path / "p.yaml"))
+
+
+def test_models_in_pipelines(spark):
+    chunks = spark.createDataFrame([(c, c * 5, None) for c in ("fox ", "sea ", "hill ")] + [("none", None, None), ("blank", " ", None)], "chunk_id string, content string, content_vector array<float>")
+    queries = spark.createDataFrame([("q", "fox sea hill")], "qid string, query string")
+    seen = lambda texts: [[float(len(t)), 1.0] for t in texts]
+    out = pipeline.registry.get("embedding", "model")({"model": seen, "batch_size": 2})({"chunks": chunks})["chunks"]
+    assert {r["chunk_id"]: r["content_vector"] is None for r in out.collect()} == {"fox ": False, "sea ": False, "hill ": False, "none": True, "blank": True}
+    hits = spark.createDataFrame([("q", c, float(9 - i), i + 1, c * 5) for i, c in enumerate(("fox ", "sea ", "hill "))], "qid string, id string, score double, rank int, content string")
+    tables = {"hits": hits, "queries": queries}
+    order = lambda name, config: [r["id"] for r in pipeline.registry.get("reranker", name)(config)(tables)["hits"].orderBy("rank").collect()]
+    assert order("llm", {"method": "listwise", "model": lambda p: "[3, 1]"}) == ["hill ", "fox ", "sea "]
+    assert order("llm", {"method": "pointwise", "model": lambda p: str(p.count("sea"))}) == ["sea ", "fox ", "hill "]
+    assert order("llm", {"method": "pairwise", "model": lambda q, a, b: len(a) > len(b) or len(a) == len(b) and a < b}) == ["hill ", "fox ", "sea "]
+    assert order("service", {"model": lambda p: '{"rankings": [2, 1]}', "top_k": 2}) == ["hill ", "sea "]
+    answers = pipeline.registry.get("generator", "llm")({"model": lambda p: p[-30:]})(tables)["answers"]
+    assert answers.count() == 1
+
+
+def test_sinks_and_cli(spark, tmp_path):
+    from marlstone.operators import sinks
+    from marlstone.plans import cli
+
+    spark.sql("DROP TABLE IF EXISTS small")
+    schema = spark.createDataFrame([(1, "a")], "k int, v string").schema
+    sinks.create_table(spark, "small", schema, None)
+    sinks.create_table(spark, "small", schema, None)
+    spark.sql("INSERT INTO small VALUES (1, 'a')")
+    sinks.copy_table(spark, "small", "smaller", lambda d: d.withColumn("w", F.lit(1)))
+    assert spark.table("smaller").count() == 1
+    sinks.recreate_table(spark, "small", schema, None)
+    assert spark.table("small").count() == 0
+    sinks.write_chunk_files(spark.createDataFrame([(1, 0, "x"), (1, 1, "y")], "id int, chunk_index int, chunk string"), str(tmp_path / "out"), "id")
+    assert len(list((tmp_path / "out").rglob("*.txt"))) == 2
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("新词发现 甲新词发现乙 " * 20, encoding="utf-8")
+    cli.main(["--input_dir", str(tmp_path / "in"), "--output_file", str(tmp_path / "words"), "--min_pmi", "0", "--min_entropy", "0"])
+    assert next((tmp_path / "words").glob("*.csv")).read_text(encoding="utf-8").startswith("word\tfreq")
+    with pytest.raises(SystemExit):
+        cli.main([])
