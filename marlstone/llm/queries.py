@@ -8,17 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import chunking, knntree, lookalike, markup, mixing, neardup, packing, quality, ranking
-from marlstone.session import table
+from marlstone.session import table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return markup.found_structures(markup.extract_text(table(spark, d, "chunks").where("chunk_id IS NOT NULL")))
+    return markup.found_structures(markup.extract_text(texts(spark, d, "chunks").where("chunk_id IS NOT NULL")))
 
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
-    return markup.extract_text(table(spark, d, "chunks"))
+    return markup.extract_text(texts(spark, d, "chunks"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -59,12 +59,12 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = neardup.near_duplicate_pairs(table(spark, d, "chunks"))
+    pairs = neardup.near_duplicate_pairs(texts(spark, d, "chunks"))
     return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.near_duplicate_groups(table(spark, d, "chunks"))
+    return neardup.near_duplicate_groups(texts(spark, d, "chunks"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,12 +77,12 @@ def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    groups = lookalike.lookalike_groups(table(spark, d, "chunks"), "chunk_id", ["content", "content_jieba"], "content", 300)
+    groups = lookalike.lookalike_groups(texts(spark, d, "chunks"), "chunk_id", ["content", "content_jieba"], "content", 300)
     return lookalike.lookalike_pairs(groups).select("field", F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
 def p6_forms(spark: SparkSession, d: str) -> DataFrame:
-    forms = lookalike.unify(table(spark, d, "chunks").select("chunk_id", "content", "content_jieba"), ["content", "content_jieba"])
+    forms = lookalike.unify(texts(spark, d, "chunks").select("chunk_id", "content", "content_jieba"), ["content", "content_jieba"])
     return forms.select("chunk_id", "content_form", "content_jieba_form")
 
 
@@ -113,12 +113,12 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    labelled = quality.text_quality(table(spark, d, "documents"), table(spark, d, "common_words"))
+    labelled = quality.text_quality(texts(spark, d, "documents"), table(spark, d, "common_words"))
     return labelled.where("kind <> 'prose'").select("doc_id", "kind")
 
 
 def p9_quality(spark: SparkSession, d: str) -> DataFrame:
-    return quality.text_quality(table(spark, d, "documents"), table(spark, d, "common_words"))
+    return quality.text_quality(texts(spark, d, "documents"), table(spark, d, "common_words"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_nearest, p2_recall, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_ranking, p6_found, p6_forms, p7_found, p7_packing, p7_fill, p8_found, p8_mixture, p8_shares, p9_found, p9_quality)}
