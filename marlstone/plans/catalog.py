@@ -616,6 +616,68 @@ def chunk_previews(spark: SparkSession, d: str) -> DataFrame:
     return latest_chunks(spark, d).select("chunk_id", text.preview(F.col("content")).alias("preview"), text.title(F.col("filename"), F.col("source"), F.col("chunk_id")).alias("title"), text.md5_id(F.col("content")).alias("text_id"))
 
 
+# Analysis of texts ---------------------------------------------------------------------------------------------
+
+
+@query(f"WITH t AS (SELECT query_id, {TOKENS.format(c='query')} AS toks FROM queries), i AS (SELECT query_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM t) SELECT query_id, (i - 1)::INT AS pos, toks[i] AS token FROM i")
+def analyze_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "queries").select("query_id", F.posexplode(text.analyze_plain(F.col("query"))).alias("pos", "token"))
+
+
+@query(f"SELECT query_id, array_to_string({TOKENS.format(c='query')}, ' ') AS prepared FROM queries")
+def preprocess_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "queries").select("query_id", text.preprocess(F.col("query")).alias("prepared"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_\s一-鿿]', '', 'g'), '\s+', ' ', 'g')) AS cleaned FROM documents WHERE text IS NOT NULL")
+def clean_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return texts(spark, d, "documents").where("text IS NOT NULL").select("doc_id", text.clean_corpus(F.col("text")).alias("cleaned"))
+
+
+@query("SELECT chunk_id, file_type FROM chunks WHERE content_vector IS NULL AND chunk_level = 2")
+def level_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Term filter on the level and a test for a missing vector; both reach the scan."""
+    return table(spark, d, "chunks").where("content_vector IS NULL AND chunk_level = 2").select("chunk_id", "file_type")
+
+
+@query(
+    """WITH a AS (SELECT query_id, 'Answer to: ' || query AS a FROM queries WHERE query IS NOT NULL), i AS (SELECT *, unnest(range(0, ceil(length(a) / 10.0)::BIGINT)) AS i FROM a)
+SELECT query_id, i::INT AS piece_no, substring(a, i * 10 + 1, 10) AS piece, substring(a, 1, (i + 1) * 10) AS so_far, i = ceil(length(a) / 10.0)::BIGINT - 1 AS is_final FROM i"""
+)
+def answer_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Answers as they would be streamed, ten characters at a time."""
+    a = table(spark, d, "queries").where("query IS NOT NULL").select(F.col("query_id").alias("qid"), F.concat(F.lit("Answer to: "), F.col("query")).alias("answer"))
+    return generate.answer_pieces(a).withColumnRenamed("qid", "query_id")
+
+
+@query(
+    r"""WITH q AS (SELECT query_id, query, expanded_queries AS e, lower(regexp_replace(query, '^[\s\x{0B}\x{85}\p{Z}]+|[\s\x{0B}\x{85}\p{Z}]+$', '', 'g')) AS same FROM queries),
+e AS (SELECT query_id, query, same, i, e[i] AS s FROM (SELECT *, unnest(range(1, len(e) + 1)) AS i FROM q)),
+k AS (SELECT query_id, s, min(i) AS i FROM e WHERE length(s) BETWEEN 5 AND 200 AND lower(regexp_replace(s, '^[\s\x{0B}\x{85}\p{Z}]+|[\s\x{0B}\x{85}\p{Z}]+$', '', 'g')) <> same GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i) AS n FROM k QUALIFY n <= 5),
+g AS (SELECT query_id, count(*) AS n, string_agg(s, ' / ' ORDER BY i) AS subs FROM r GROUP BY query_id)
+SELECT query_id, CASE WHEN coalesce(n, 0) < 2 THEN concat_ws(' / ', query, subs) ELSE subs END AS subqueries FROM q LEFT JOIN g USING (query_id) WHERE e IS NOT NULL"""
+)
+def filter_subqueries(spark: SparkSession, d: str) -> DataFrame:
+    """Expansions taken as sub-queries: length, difference from the query, distinct, five at most, two at least."""
+    q = table(spark, d, "queries").where("expanded_queries IS NOT NULL")
+    return q.select("query_id", F.array_join(understanding.filter_subqueries(F.col("expanded_queries"), F.col("query")), " / ").alias("subqueries"))
+
+
+@query(
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), c AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(q.e, v.e), 6) + 0.0 AS score, q.e AS qe, v.e AS ve FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20), r AS (SELECT query_id, vec_id, round(1 / (1 + list_distance(qe, ve)), 6) AS rerank_score FROM t)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, vec_id)::BIGINT AS rank FROM r WHERE rerank_score >= 0 QUALIFY rank <= 5"""
+)
+def rerank_embedding(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty hits by dot product, put in order of Euclidean closeness."""
+    e = table(spark, d, "embeddings")
+    hits = retrieve.vector_search(e, e.where("vec_id % 100 = 0"), 20, "vec_id", "embedding", "vec_id", "embedding", "dot_product", exclude_self=True)
+    both = hits.drop("rank").join(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("hv")), "id").join(e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")), "qid")
+    got = rerank.by_embedding(both, "qv", "hv", 5, "euclidean")
+    return got.select(F.col("qid").alias("query_id"), F.col("id").alias("vec_id"), "rerank_score", F.col("rank").cast("long").alias("rank"))
+
+
 # Reranking -----------------------------------------------------------------------------------------------------
 
 

@@ -43,10 +43,24 @@ def materialize(df: DataFrame) -> DataFrame:
     Survives lost executors, is compressed and columnar, and later readers prune columns.
     """
     path = f"{shared_dir(df.sparkSession)}/marlstone/{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that materialize wrote in this process, once their results are stored; how many there were."""
+    jvm = spark.sparkContext._jvm
+    done = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return done
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -179,3 +179,15 @@ def test_stats(spark):
     got = {r["id"]: (r["in_window"], r["over_limit"]) for r in stats.requests_in_window(ev, "ts", ["k"], 1.0, 1).collect()}
     assert got == {1: (1, False), 2: (2, True), 3: (2, True), 4: (1, False)}
     assert stats.describe_columns(ev).count() == 4
+
+
+def test_counted_and_release(spark, tmp_path):
+    from marlstone.session import materialize, release
+
+    df, seen = stats.counted(spark.range(7))
+    df.write.parquet(str(tmp_path / "t"))
+    assert seen.get == {"document_count": 7}
+    kept = materialize(spark.range(3))
+    assert kept.count() == 3 and release(spark) > 0
+    with pytest.raises(Exception):
+        kept.count()
