@@ -178,6 +178,11 @@ class Index:
             got = asked.where(F.pmod(F.xxhash64("vid"), F.lit(n)) == i).toArrow()
             yield got.column("vid").to_numpy(), _matrix(got.column("vec"), self.dim)
 
+    def asked(self, queries: DataFrame) -> DataFrame:
+        """(vid, vec) of the rows whose ids are in queries."""
+        ids = queries.select(F.col(self.id_col).cast("string").alias("id")).distinct()
+        return self.units.join(ids, "id", "left_semi").select("vid", "vec").dropDuplicates(["vid"])
+
     def ids(self) -> DataFrame:
         """(vid, ids): the k + 1 smallest ids of each vector."""
         w = Window.partitionBy("vid").orderBy("id")
@@ -337,7 +342,11 @@ def _cells(x: np.ndarray, held: np.ndarray, asks: np.ndarray, leaves: int) -> It
 
 
 def similar_pairs(df: DataFrame, id_col: str = "chunk_id", vector_col: str = "content_vector", dim: int = 64, k: int = 5, min_cosine: float = 0.9, recall: float = 0.998) -> DataFrame:
-    """(id_a, id_b): pairs of which at least one is among the other's k most similar and whose cosine is min_cosine or more."""
+    """(id_a, id_b): pairs of which at least one is among the other's k most similar and whose cosine is min_cosine or more.
+
+    NULL, zero, non-finite vectors and those of another length take no part; repeated rows count once per id.
+    Equal vectors rank by id, so of many copies each is paired with the k of smallest id. An empty table gives none.
+    """
     index = Index(df, id_col, vector_col, dim, k)
     if not index.n:
         return df.sparkSession.createDataFrame([], "id_a string, id_b string")
@@ -345,13 +354,14 @@ def similar_pairs(df: DataFrame, id_col: str = "chunk_id", vector_col: str = "co
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
-def nearest(df: DataFrame, queries: DataFrame, id_col: str = "chunk_id", vector_col: str = "content_vector", dim: int = 64, k: int = 5, recall: float = 0.95) -> tuple[Index, DataFrame, DataFrame]:
-    """(index, asked, neighbours): k most similar vectors for the ids in queries, against all vectors."""
+def nearest(df: DataFrame, queries: DataFrame, id_col: str = "chunk_id", vector_col: str = "content_vector", dim: int = 64, k: int = 5, recall: float = 0.95) -> DataFrame:
+    """(id, neighbour, cosine, position): k most similar vectors for the ids in queries, against all vectors.
+
+    Ids without a usable vector give no rows; copies of a vector come first, ties by id; an empty table gives none.
+    """
     index = Index(df, id_col, vector_col, dim, k)
-    ids = queries.select(F.col(id_col).cast("string").alias("id")).distinct()
-    asked = index.units.join(ids, "id", "left_semi").select("vid", "vec").dropDuplicates(["vid"])
     if not index.n:
-        return index, asked, df.sparkSession.createDataFrame([], "id string, neighbour string, cosine double, position int")
-    found = index.search(*index.calibrate(recall), queries=asked)
-    near = index.neighbours(found, queries=asked).join(ids, "id", "left_semi")
-    return index, asked, near
+        return df.sparkSession.createDataFrame([], "id string, neighbour string, cosine double, position int")
+    asked = index.asked(queries)
+    near = index.neighbours(index.search(*index.calibrate(recall), queries=asked), queries=asked)
+    return near.join(queries.select(F.col(id_col).cast("string").alias("id")).distinct(), "id", "left_semi").select("id", "neighbour", "cosine", "position")

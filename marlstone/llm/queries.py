@@ -33,14 +33,15 @@ def _every_hundredth(chunks: DataFrame) -> DataFrame:
 
 def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").select("chunk_id", "content_vector")
-    _, _, near = knntree.nearest(chunks, _every_hundredth(chunks))
+    near = knntree.nearest(chunks, _every_hundredth(chunks))
     return near.select(F.col("id").alias("chunk_id"), F.col("neighbour").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"), "position")
 
 
 def p2_recall(spark: SparkSession, d: str) -> DataFrame:
     """Share of the true neighbours that the tree finds, for every hundredth chunk, against brute force in blocks."""
     chunks = table(spark, d, "chunks").select("chunk_id", "content_vector")
-    index, asked, _ = knntree.nearest(chunks, _every_hundredth(chunks))
+    index = knntree.Index(chunks)
+    asked = index.asked(_every_hundredth(chunks))
     found = index.search(*index.calibrate(0.95), queries=asked).select("q", "b", F.lit(1).alias("hit"))
     true = None
     for vids, vectors in index.blocks(asked, 4000):
