@@ -64,8 +64,10 @@ def _terms(spark: SparkSession, d: str, analyzer: str = "plain") -> DataFrame:
     return retrieve.query_terms(table(spark, d, "queries"), "query_id", "query", analyzer)
 
 
-def latest_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return index.latest(table(spark, d, "chunks").where("chunk_id IS NOT NULL"), ["chunk_id"], ["indexed_at"])
+def latest_chunks(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """The last row of each chunk; only the named columns are read, for a reduced row is shuffled whole."""
+    rows = table(spark, d, "chunks").where("chunk_id IS NOT NULL")
+    return index.latest(rows.select("chunk_id", *cols, "indexed_at"), ["chunk_id"], ["indexed_at"])
 
 
 # Text retrieval ------------------------------------------------------------------------------------------------
@@ -101,7 +103,7 @@ def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH " + bm25_sql(LATEST_CHUNKS, {"content_jieba": 1}, "chunk_id", queries="SELECT query_id AS qid, query AS t FROM queries", tokens=SEGMENTED) + TOP.replace("doc_id", "chunk_id"))
 def bm25_segmented(spark: SparkSession, d: str) -> DataFrame:
-    ix = index.build_index(latest_chunks(spark, d), "chunk_id", {"content_jieba": "segmented"}).stored()
+    ix = index.build_index(latest_chunks(spark, d, "content_jieba"), "chunk_id", {"content_jieba": "segmented"}).stored()
     return _named(retrieve.text_search(ix, _terms(spark, d, "segmented"), 5), "chunk_id")
 
 
@@ -195,7 +197,7 @@ SELECT qid AS query_id, id, score, row_number() OVER (PARTITION BY qid ORDER BY
 )
 def hybrid_differential(spark: SparkSession, d: str) -> DataFrame:
     """Text search over level-0 chunks fused with the vector hits on level-2 chunks."""
-    chunks = latest_chunks(spark, d)
+    chunks = latest_chunks(spark, d, "content", "chunk_level")
     ix = index.build_index(chunks, "chunk_id", ["content"]).stored()
     level = lambda n: chunks.where(F.col("chunk_level") == n).select(F.col("chunk_id").alias("id"))
     words = retrieve.text_search(ix, _terms(spark, d), 20, allowed=level(0))
@@ -209,7 +211,7 @@ def _small_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _small2big(spark: SparkSession, d: str, fusion: str) -> DataFrame:
-    got = retrieve.expand_parents(_small_hits(spark, d), latest_chunks(spark, d), "parent", fusion, 5)
+    got = retrieve.expand_parents(_small_hits(spark, d), latest_chunks(spark, d, "parent_id", "root_id", "chunk_level", "chunk_index", "content"), "parent", fusion, 5)
     return got.select(F.col("qid").alias("query_id"), "id", "score", F.col("source_small_chunks_count").alias("small_chunks"), "max_small_score", "avg_small_score", "is_fallback", F.length("content").cast("long").alias("characters"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -238,7 +240,7 @@ SELECT query_id, key AS id, round(max(score), 8) AS score, count(*) AS small_chu
 FROM p WHERE key IN (SELECT chunk_id FROM c WHERE content IS NOT NULL) GROUP BY query_id, key QUALIFY rank <= 5"""
 )
 def root_expansion(spark: SparkSession, d: str) -> DataFrame:
-    got = retrieve.expand_parents(_small_hits(spark, d), latest_chunks(spark, d), "root", "max", 5)
+    got = retrieve.expand_parents(_small_hits(spark, d), latest_chunks(spark, d, "parent_id", "root_id", "chunk_level", "chunk_index", "content"), "root", "max", 5)
     return got.select(F.col("qid").alias("query_id"), "id", "score", F.col("source_small_chunks_count").alias("small_chunks"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -311,7 +313,7 @@ WITH c AS ({LATEST_CHUNKS}), l AS (SELECT chunk_id, root_id, chunk_index, (CASE
 SELECT chunk_id, level, row_number() OVER (PARTITION BY root_id, level ORDER BY chunk_index NULLS FIRST, chunk_id) - 1 AS position FROM l"""
 )
 def hierarchy_levels(spark: SparkSession, d: str) -> DataFrame:
-    got = split.assign_levels(latest_chunks(spark, d), [1536, 512, 128])
+    got = split.assign_levels(latest_chunks(spark, d, "root_id", "chunk_index", "content"), [1536, 512, 128])
     return got.select("chunk_id", "level", F.col("position").cast("long").alias("position"))
 
 
@@ -323,7 +325,7 @@ FROM c a JOIN c b ON a.root_id = b.root_id AND b.chunk_level = a.chunk_level - 1
 )
 def hierarchy_parent(spark: SparkSession, d: str) -> DataFrame:
     """The first chunk of the level above, in the same root, whose text contains the chunk."""
-    c = latest_chunks(spark, d).select("chunk_id", "root_id", "chunk_level", "chunk_index", "content")
+    c = latest_chunks(spark, d, "root_id", "chunk_level", "chunk_index", "content").select("chunk_id", "root_id", "chunk_level", "chunk_index", "content")
     above = c.select(F.col("root_id").alias("r"), (F.col("chunk_level") + 1).alias("l"), F.col("chunk_id").alias("p"), F.col("chunk_index").alias("i"), F.col("content").alias("big"))
     pairs = c.join(above, (F.col("root_id") == F.col("r")) & (F.col("chunk_level") == F.col("l")) & F.contains("big", F.col("content")))
     return pairs.groupBy("chunk_id").agg(F.min_by("p", F.struct(F.coalesce("i", F.lit(2**31 - 1)), "p")).alias("found_parent"))
@@ -331,27 +333,27 @@ def hierarchy_parent(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH c AS ({LATEST_CHUNKS}) SELECT chunk_id FROM c WHERE chunk_id NOT IN (SELECT parent_id FROM c WHERE parent_id IS NOT NULL)")
 def hierarchy_leaves(spark: SparkSession, d: str) -> DataFrame:
-    return split.leaves(latest_chunks(spark, d)).select("chunk_id")
+    return split.leaves(latest_chunks(spark, d, "parent_id")).select("chunk_id")
 
 
 @query(f"WITH c AS ({LATEST_CHUNKS}) SELECT chunk_id, root_id FROM c WHERE parent_id IS NULL")
 def hierarchy_roots(spark: SparkSession, d: str) -> DataFrame:
-    return split.roots(latest_chunks(spark, d)).select("chunk_id", "root_id")
+    return split.roots(latest_chunks(spark, d, "parent_id", "root_id")).select("chunk_id", "root_id")
 
 
 @query(f"WITH c AS ({LATEST_CHUNKS}), d1 AS (SELECT chunk_id FROM c WHERE parent_id IN (SELECT chunk_id FROM c WHERE parent_id IS NULL)) SELECT chunk_id, parent_id FROM c WHERE parent_id IN (SELECT chunk_id FROM d1)")
 def hierarchy_depth(spark: SparkSession, d: str) -> DataFrame:
-    return split.at_depth(latest_chunks(spark, d), 2).select("chunk_id", "parent_id")
+    return split.at_depth(latest_chunks(spark, d, "parent_id"), 2).select("chunk_id", "parent_id")
 
 
 @query(f"WITH c AS ({LATEST_CHUNKS}) SELECT parent_id, string_agg(chunk_id, ',' ORDER BY chunk_id) AS child_ids FROM c WHERE parent_id IS NOT NULL GROUP BY parent_id")
 def hierarchy_children(spark: SparkSession, d: str) -> DataFrame:
-    return index.children(latest_chunks(spark, d)).select("parent_id", F.array_join("child_ids", ",").alias("child_ids"))
+    return index.children(latest_chunks(spark, d, "parent_id")).select("parent_id", F.array_join("child_ids", ",").alias("child_ids"))
 
 
 @query(f"WITH c AS ({LATEST_CHUNKS}) SELECT chunk_id, CASE WHEN starts_with(content, '#') THEN 'header' ELSE 'text' END AS node_type, CASE WHEN starts_with(content, '#') THEN regexp_replace(regexp_replace(split_part(content, chr(10), 1), '^#+', ''), '^\\s+|\\s+$', '', 'g') END AS header_text FROM c")
 def node_headers(spark: SparkSession, d: str) -> DataFrame:
-    return split.node_headers(latest_chunks(spark, d), "chunk_id", "content").select("chunk_id", F.coalesce("node_type", F.lit("text")).alias("node_type"), "header_text")
+    return split.node_headers(latest_chunks(spark, d, "content"), "chunk_id", "content").select("chunk_id", F.coalesce("node_type", F.lit("text")).alias("node_type"), "header_text")
 
 
 # Statistics ----------------------------------------------------------------------------------------------------
@@ -429,13 +431,13 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH c AS ({LATEST_CHUNKS}) SELECT chunk_id FROM c WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT chunk_id FROM c)")
 def parent_anti(spark: SparkSession, d: str) -> DataFrame:
-    c = latest_chunks(spark, d)
+    c = latest_chunks(spark, d, "parent_id")
     return c.where("parent_id IS NOT NULL").join(c.select(F.col("chunk_id").alias("parent_id")), "parent_id", "left_anti").select("chunk_id")
 
 
 @query(f"WITH c AS ({LATEST_CHUNKS}) SELECT chunk_id FROM c WHERE parent_id IN (SELECT chunk_id FROM c)")
 def parent_semi(spark: SparkSession, d: str) -> DataFrame:
-    c = latest_chunks(spark, d)
+    c = latest_chunks(spark, d, "parent_id")
     return c.join(c.select(F.col("chunk_id").alias("parent_id")), "parent_id", "left_semi").select("chunk_id")
 
 
@@ -556,7 +558,7 @@ j AS (SELECT r.*, content, filename, source, coalesce(nullif(filename, ''), null
 def _card_hits(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "hits").where("id IS NOT NULL").groupBy(F.col("query_id").alias("qid"), "id").agg(F.max("score").alias("score"), F.max("recall_source").alias("recall_source"))
     top = retrieve.ranked(h, 3, ["qid"], "score", "id")
-    c = latest_chunks(spark, d).select(F.col("chunk_id").alias("id"), "content", "filename", "source")
+    c = latest_chunks(spark, d, "content", "filename", "source").select(F.col("chunk_id").alias("id"), "content", "filename", "source")
     return top.join(c, "id", "left")
 
 
@@ -608,12 +610,12 @@ e AS (SELECT chunk_id, replace(replace(replace(replace(replace(replace(t, '&nbsp
 SELECT chunk_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '[\s\x{0B}]*\n[\s\x{0B}]*', chr(10), 'g'), '^[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+|[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+$', '', 'g') AS plain FROM e"""
 )
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
-    return latest_chunks(spark, d).where("content IS NOT NULL").select("chunk_id", text.html_to_text(F.col("content")).alias("plain"))
+    return latest_chunks(spark, d, "content").where("content IS NOT NULL").select("chunk_id", text.html_to_text(F.col("content")).alias("plain"))
 
 
 @query(f"WITH c AS ({LATEST_CHUNKS}) SELECT chunk_id, substring(content, 1, 200) || '...' AS preview, coalesce(nullif(filename, ''), nullif(string_split(source, '/')[-1], ''), '文档-' || chunk_id) AS title, substring(md5(content), 1, 16) AS text_id FROM c")
 def chunk_previews(spark: SparkSession, d: str) -> DataFrame:
-    return latest_chunks(spark, d).select("chunk_id", text.preview(F.col("content")).alias("preview"), text.title(F.col("filename"), F.col("source"), F.col("chunk_id")).alias("title"), text.md5_id(F.col("content")).alias("text_id"))
+    return latest_chunks(spark, d, "content", "filename", "source").select("chunk_id", text.preview(F.col("content")).alias("preview"), text.title(F.col("filename"), F.col("source"), F.col("chunk_id")).alias("title"), text.md5_id(F.col("content")).alias("text_id"))
 
 
 # Analysis of texts ---------------------------------------------------------------------------------------------
@@ -723,7 +725,7 @@ def pipeline_search(spark: SparkSession, d: str) -> DataFrame:
         "flow": {"expand": ["embed"], "embed": "index", "index": ["search"], "search": ["answer"], "answer": []},
         "entry_points": {"search": "expand"},
     }
-    tables = {"queries": table(spark, d, "queries").select(F.col("query_id").alias("qid"), "query"), "chunks": latest_chunks(spark, d)}
+    tables = {"queries": table(spark, d, "queries").select(F.col("query_id").alias("qid"), "query"), "chunks": latest_chunks(spark, d, "parent_id", "root_id", "chunk_level", "chunk_index", "content")}
     return pipeline.build(config).run(tables, "search")["answers"]
 
 
