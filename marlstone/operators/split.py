@@ -246,12 +246,20 @@ def hierarchy_nodes(text: str, sizes: list[int], overlap: int) -> list[str]:
     return out
 
 
+def piece_of(pieces: list[tuple[str, int, str]], at: int, text: str) -> str:
+    """Id of the first piece (id, start, text) that contains the text, else of the one that shares most with it at its place."""
+    whole = next((i for i, _, p in pieces if text in p), None)
+    shared = lambda x: -1 if at < 0 or x[1] < 0 else min(at + len(text), x[1] + len(x[2])) - max(at, x[1])
+    return whole or max(pieces, key=shared)[0]
+
+
 def split_hierarchy(df: DataFrame, id_col: str, text_col: str, sizes: list[int] | None = None, overlap: int = 50, max_size: int | None = None, fallback: Callable[[str], list[str]] | None = None) -> DataFrame:
     """Chunks of all levels with chunk_id, parent_id, root_id, chunk_index, total_chunks, chunk_size, split_method, chunk_level, text_length, truncated, content.
 
     Level by length of the text, ids by position inside the level, the parent the first chunk of the level
     above whose text contains the chunk. Chunks above max_size are cut again by the fallback (character
-    windows of max_size by default), what is still too long by fixed windows of min(300, max_size // 2).
+    windows of max_size by default), what is still too long by fixed windows of min(300, max_size // 2). The
+    pieces of chunk x are x_p0, x_p1 and so on; a chunk below x has the piece that holds it, or most of it, as parent.
     A document is handled by one task where it is; documents are not shuffled.
     """
     sizes = sizes or [512, 256]
@@ -263,6 +271,14 @@ def split_hierarchy(df: DataFrame, id_col: str, text_col: str, sizes: list[int]
     def level_of(n: int) -> int:
         return next((k for k, s in enumerate(ordered[:-1]) if n >= s * 0.8), len(ordered) - 1)
 
+    def cut_again(t: str) -> Iterator[tuple[str, str, bool]]:
+        step = max(1, min(300, limit // 2))
+        for c in primary(t):
+            if len(c) <= limit:
+                yield c, "hierarchical+text", False
+            else:
+                yield from ((c[k : k + step], "hierarchical+emergency_truncation", True) for k in range(0, len(c), step))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
@@ -272,21 +288,30 @@ def split_hierarchy(df: DataFrame, id_col: str, text_col: str, sizes: list[int]
                 for t in nodes:
                     levels.setdefault(level_of(len(t)), []).append(t)
                 counter, late = 0, []
+                pieces: dict[tuple[int, int], list[tuple[str, int, str]]] = {}
                 for lv in sorted(levels):
                     above = levels.get(lv - 1, []) if lv else []
+
+                    def parent_id(j: int | None, t: str, lv: int = lv, above: list[str] = above) -> str | None:
+                        if j is None:
+                            return None
+                        if not pieces.get((lv - 1, j)):
+                            return f"{root}_L{lv - 1}_{j}"
+                        return piece_of(pieces[lv - 1, j], above[j].find(t), t)
+
                     for i, t in enumerate(levels[lv]):
                         parent = next((j for j, p in enumerate(above) if t in p), None)
-                        row = [doc, f"{root}_L{lv}_{i}", None if parent is None else f"{root}_L{lv - 1}_{parent}", root, counter, len(nodes), sizes, "hierarchical", lv, len(t), False, t]
+                        row = [doc, f"{root}_L{lv}_{i}", parent_id(parent, t), root, counter, len(nodes), sizes, "hierarchical", lv, len(t), False, t]
                         counter += 1
                         if len(t) <= limit:
                             rows.append(row)
                             continue
-                        for c in primary(t):
-                            if len(c) <= limit:
-                                late.append([*row[:7], "hierarchical+text", *row[8:10], False, c])
-                                continue
-                            step = max(1, min(300, limit // 2))
-                            late += [[*row[:7], "hierarchical+emergency_truncation", *row[8:10], True, c[k : k + step]] for k in range(0, len(c), step)]
+                        own, at = pieces.setdefault((lv, i), []), 0
+                        for c, method, truncated in cut_again(t):
+                            found = t.find(c, at)
+                            at = max(at, found)
+                            own.append((f"{row[1]}_p{len(own)}", found, c))
+                            late.append([doc, own[-1][0], parent_id(parent, c), *row[3:7], method, *row[8:10], truncated, c])
                 rows += late
             yield pd.DataFrame(rows, columns=["id", *CHUNK_COLUMNS])
 

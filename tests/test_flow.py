@@ -75,6 +75,19 @@ def test_stream_equals_batch(spark, folder, per_trigger):
     assert sink.read(spark).count() == len(want) + 3 or sink.read(spark).count() > len(want)
 
 
+def test_ingest_keeps_all_pieces(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        (tmp_path / "in" / f"{k}.txt").write_text(" ".join(f"word{i}of{k}" for i in range(2000)), encoding="utf-8")
+    sink = ingest.TableSink(str(tmp_path / "table"), parts=4)
+    ingest.ingest(spark, str(tmp_path / "in"), sink, str(tmp_path / "check")).awaitTermination()
+    files = loaders.read_files(spark, str(tmp_path / "in"))
+    cols = ["chunk_id", "parent_id", "content"]
+    got = sorted(map(repr, sink.read(spark).select(*cols).collect()))
+    want = sorted(map(repr, ingest.chunk_and_embed(files).select(*cols).collect()))
+    assert any("_p1" in r for r in want) and got == want
+
+
 def test_sink_repeats_and_updates(spark, tmp_path):
     sink = ingest.TableSink(str(tmp_path / "t"), "k", 3)
     rows = lambda *r: spark.createDataFrame(r, "k string, v int")

@@ -87,6 +87,26 @@ def test_hierarchy(spark):
     assert any(r["split_method"] != "hierarchical" for r in rows)
 
 
+def test_pieces_of_oversized_chunks_have_ids_and_children(spark):
+    text = " ".join(f"word{i}" for i in range(1200)) + "\n" + "x" * 5000
+    df = spark.createDataFrame([("a", text)], "id string, text string")
+    rows = split.split_hierarchy(df, "id", "text", [300, 40], 5, max_size=900).collect()
+    by_id = {r["chunk_id"]: r for r in rows}
+    assert len(by_id) == len(rows)
+    pieces = [r for r in rows if r["split_method"] != "hierarchical"]
+    assert any(r["truncated"] for r in rows) or len(pieces) > 3
+    below = [r for r in rows if r["parent_id"]]
+    assert {r["parent_id"] for r in below} <= set(by_id)
+    assert any("_p" in r["parent_id"] and not r["parent_id"].endswith("_p0") and r["content"] in by_id[r["parent_id"]]["content"] for r in below)
+
+
+def test_piece_of():
+    pieces = [("p0", 0, "abcdef"), ("p1", 5, "fghijk"), ("p2", 11, "lmn")]
+    assert split.piece_of(pieces, 6, "ghi") == "p1"
+    assert split.piece_of(pieces, 4, "efghi") == "p1" and split.piece_of(pieces, 1, "bcdefgh") == "p0"
+    assert split.piece_of([("p0", -1, "other")], 3, "text") == "p0"
+
+
 def test_arguments(spark):
     df = spark.createDataFrame([(1, "a")], "id int, text string")
     for call in (lambda: split.split_words(df, "id", "text", 0), lambda: split.split_words(df, "id", "text", 5, 5), lambda: split.split_semantic(df, "id", "text", 10, 2.0), lambda: split.split_hierarchy(df, "id", "text", [10, 5], 5), lambda: split.at_depth(df, -1)):
