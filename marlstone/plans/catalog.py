@@ -725,7 +725,7 @@ def pipeline_search(spark: SparkSession, d: str) -> DataFrame:
         "flow": {"expand": ["embed"], "embed": "index", "index": ["search"], "search": ["answer"], "answer": []},
         "entry_points": {"search": "expand"},
     }
-    tables = {"queries": table(spark, d, "queries").select(F.col("query_id").alias("qid"), "query"), "chunks": latest_chunks(spark, d, "parent_id", "root_id", "chunk_level", "chunk_index", "content")}
+    tables = {"queries": table(spark, d, "queries").select(F.col("query_id").alias("qid"), "query", "expanded_queries"), "chunks": latest_chunks(spark, d, "parent_id", "root_id", "chunk_level", "chunk_index", "content")}
     return pipeline.build(config).run(tables, "search")["answers"]
 
 

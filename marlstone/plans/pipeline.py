@@ -218,6 +218,20 @@ def _indexer(c: dict[str, Any]) -> Component:
     return run
 
 
+def _asked(t: Tables) -> DataFrame:
+    """The texts to search for each query: its expansions where there are several, else the query itself."""
+    from pyspark.sql import functions as F
+
+    from marlstone.operators import retrieve
+
+    q = t["queries"]
+    parts = F.array("query")
+    if "expanded_queries" in q.columns:
+        several = (F.size("expanded_queries") > 1) & F.exists("expanded_queries", lambda x: x.isNotNull())
+        parts = F.when(several, F.col("expanded_queries")).otherwise(parts)
+    return retrieve.sub_queries(q, "qid", parts)
+
+
 @registry.register("retriever", "bm25")
 def _bm25_retriever(c: dict[str, Any]) -> Component:
     from marlstone.operators import retrieve
@@ -225,9 +239,10 @@ def _bm25_retriever(c: dict[str, Any]) -> Component:
 
     def run(t: Tables) -> Tables:
         ix = InvertedIndex(t["postings"], t["lengths"], t["corpus"])
-        terms = retrieve.query_terms(t["queries"], "qid", "query", c.get("analyzer", "bigrams"))
-        top = retrieve.text_search(ix, terms, c.get("top_k", 10), c.get("similarity_threshold"), k1=c.get("k1", 1.5), b=c.get("b", 0.75))
-        return {"hits": _with_text(top, t)}
+        each, k = _asked(t), c.get("top_k", 10)
+        terms = retrieve.query_terms(each, "sub", "source_query", c.get("analyzer", "bigrams"))
+        top = retrieve.text_search(ix, terms, k, c.get("similarity_threshold"), k1=c.get("k1", 1.5), b=c.get("b", 0.75))
+        return {"hits": _with_text(retrieve.merge_sub_queries(top, each, k), t)}
 
     return run
 
@@ -244,28 +259,28 @@ def _hybrid_retriever(c: dict[str, Any]) -> Component:
         kind, k = c.get("search_type", "hybrid"), c.get("top_k", 10)
         if kind not in ("text", "vector", "hybrid"):
             raise ValueError(f"unknown search_type {kind!r}")
-        chunks = t["chunks"]
+        chunks, each = t["chunks"], _asked(t)
         levels = c.get("small2big_config", {}) if c.get("enable_small2big") else {}
         text = vector = None
         wanted = levels.get("small_chunk_top_k", 20) if levels else k
         if kind in ("text", "hybrid"):
             ix = InvertedIndex(t["postings"], t["lengths"], t["corpus"])
-            terms = retrieve.query_terms(t["queries"], "qid", "query", c.get("analyzer", "bigrams"))
+            terms = retrieve.query_terms(each, "sub", "source_query", c.get("analyzer", "bigrams"))
             allowed = chunks.where(F.col("chunk_level") == levels.get("text_chunk_level", 0)).select(F.col("chunk_id").alias("id")) if levels else None
             text = retrieve.text_search(ix, terms, 2 * wanted if kind == "hybrid" else wanted, allowed=allowed)
         if kind in ("vector", "hybrid"):
             dim = c.get("dimensions", 64)
             held = chunks.where(F.col("chunk_level") == levels.get("vector_chunk_level", 2)) if levels else chunks
-            asked = hash_embed(t["queries"], "query", "vector", dim)
-            vector = retrieve.vector_search(held.select(F.col("chunk_id").alias("id"), F.col("content_vector").alias("vector")), asked, 2 * wanted if kind == "hybrid" else wanted)
+            asked = hash_embed(each, "source_query", "vector", dim)
+            vector = retrieve.vector_search(held.select(F.col("chunk_id").alias("id"), F.col("content_vector").alias("vector")), asked, 2 * wanted if kind == "hybrid" else wanted, qid="sub")
         if kind == "hybrid":
             hits = retrieve.fuse(text, vector, c.get("fusion_method", "rrf"), wanted, c.get("rrf_k", 60), c.get("text_weight", 1.0), c.get("vector_weight", 1.2))
         else:
             hits = (text if kind == "text" else vector).withColumn("recall_source", F.lit(kind))
         if levels:
             big = retrieve.expand_parents(hits, chunks, "parent", levels.get("score_fusion_method", "max"), k)
-            return {"small_hits": hits, "hits": big}
-        return {"hits": _with_text(hits, t)}
+            return {"small_hits": retrieve.merge_sub_queries(hits, each, wanted), "hits": retrieve.merge_sub_queries(big, each, k)}
+        return {"hits": _with_text(retrieve.merge_sub_queries(hits, each, k), t)}
 
     return run
 
@@ -382,7 +397,12 @@ def _expansion(c: dict[str, Any]) -> Component:
     def run(t: Tables) -> Tables:
         q = t["queries"]
         answer = F.col("answer") if "answer" in q.columns else F.lit(None).cast("string")
-        return {"queries": q.withColumn("expanded_queries", expand(F.col("query"), answer, c.get("expansion_type", "multi_query")))}
+        made = expand(F.col("query"), answer, c.get("expansion_type", "multi_query"))
+        if "expanded_queries" in q.columns:  # those of the table hold where no model answered
+            given = F.col("expanded_queries")
+            named = F.when(F.exists(given, lambda x: x.eqNullSafe(F.col("query"))), given).otherwise(F.array_prepend(given, F.col("query")))
+            made = F.when(answer.isNull() & (F.size(given) > 0), named).otherwise(made)
+        return {"queries": q.withColumn("expanded_queries", made)}
 
     return run
 

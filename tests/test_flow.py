@@ -124,6 +124,22 @@ def test_pipeline_runs(spark):
     assert "fox" in row["answer"] and row["context_used"] > 0
 
 
+def test_retrievers_search_expansions(spark):
+    from marlstone.functions.vectors import hash_embed
+
+    chunks = hash_embed(spark.createDataFrame([("a", "red fox sleeps", 0), ("b", "blue waves roll", 0), ("c", "green hills", 0)], "chunk_id string, content string, chunk_level int"), "content", "content_vector", 64)
+    rows = [("q", "fox sleeps", ["fox sleeps", None, "blue waves"]), ("r", "green hills", None), ("s", "green hills", ["blue waves"])]
+    queries = spark.createDataFrame(rows, "qid string, query string, expanded_queries array<string>")
+    tables = {"chunks": chunks} | pipeline.registry.get("indexer", "bm25")({})({"chunks": chunks})
+    expand = pipeline.registry.get("query", "expansion")({})
+    assert {r["qid"]: r["expanded_queries"] for r in expand({"queries": queries})["queries"].collect()} == {"q": rows[0][2], "r": ["green hills"], "s": ["green hills", "blue waves"]}
+    for name, config in (("bm25", {}), ("hybrid", {"search_type": "text"}), ("hybrid", {"search_type": "vector", "top_k": 2}), ("hybrid", {"top_k": 2})):
+        hits = pipeline.registry.get("retriever", name)(config)(tables | {"queries": queries})["hits"].collect()
+        best = {r["id"]: (r["query_source"], r["source_query"]) for r in hits if r["qid"] == "q"}
+        assert best == {"a": ("query_0", "fox sleeps"), "b": ("query_2", "blue waves")}
+        assert {r["qid"]: (r["id"], r["source_query"]) for r in hits if r["rank"] == 1 and r["qid"] != "q"} == {"r": ("c", "green hills"), "s": ("c", "green hills")}
+
+
 def test_config_file(tmp_path):
     (tmp_path / "p.yaml").write_text("components:\n  a: {type: query, name: decomposition}\nentry_point: a\n", encoding="utf-8")
     assert pipeline.cached_pipeline(str(tmp_path / "p.yaml")) is pipeline.cached_pipeline(str(tmp_path / "p.yaml"))
