@@ -92,17 +92,20 @@ def pack(docs: DataFrame, specs: DataFrame, id_col: str = "doc_id", text_col: st
     shard count follows the data and every spec has its own. NULL text counts as empty (one token); specs with
     NULL or non-positive capacity, and documents without id, give no rows; repeated rows are placed each.
     """
-    sized = materialize(docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("n")).where("doc IS NOT NULL"))
+    # the number is stored with the row, so that repeated rows are told apart the same way each time they are read
+    sized = materialize(docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("n")).where("doc IS NOT NULL").withColumn("row", F.monotonically_increasing_id()))
+    repeated = sized.groupBy("doc").agg(F.count("*").alias("times")).where("times > 1").select("doc", F.lit("#").alias("mark"))
+    sized = materialize(sized.join(repeated, "doc", "left").select("doc", "n", F.concat("mark", F.col("row").cast("string")).alias("copy")))
     spec = specs.select("spec_id", "capacity").where("capacity > 0 AND spec_id IS NOT NULL").dropDuplicates(["spec_id"]).orderBy("spec_id").take(MAX_SPECS + 1)
     if len(spec) > MAX_SPECS:
         raise ValueError(f"more than {MAX_SPECS} specs")
     kinds = F.array(*[F.struct(F.lit(r["spec_id"]).cast("int").alias("spec_id"), F.lit(r["capacity"]).cast("int").alias("capacity")) for r in spec])
     kinds = kinds if spec else F.array().cast("array<struct<spec_id:int,capacity:int>>")
-    all_docs = sized.select("doc", "n", F.inline(kinds))
+    all_docs = sized.select("doc", "n", "copy", F.inline(kinds))
     pieces = all_docs.withColumn("n_pieces", F.ceil(F.col("n") / F.col("capacity")).cast("int")).withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
     pieces = pieces.withColumn("token_start", F.col("piece_no").cast("long") * F.col("capacity"))
     pieces = pieces.withColumn("size", F.least(F.col("capacity").cast("long"), F.col("n") - F.col("token_start")).cast("int"))
-    pieces = pieces.withColumn("item", F.concat_ws("/", F.col("doc").cast("string"), F.col("piece_no").cast("string")))
+    pieces = pieces.withColumn("item", F.concat(F.concat_ws("/", F.col("doc").cast("string"), F.col("piece_no").cast("string")), F.coalesce("copy", F.lit(""))))
     full = pieces.where(F.col("size") == F.col("capacity")).withColumn("container", F.concat(F.lit("d"), F.col("item")))
     rest = pieces.where(F.col("size") < F.col("capacity"))
 
@@ -113,7 +116,7 @@ def pack(docs: DataFrame, specs: DataFrame, id_col: str = "doc_id", text_col: st
     again = _pack(open_, _shards(open_, shard_tokens, shard_items))
     again = again.select("spec_id", F.col("item").alias("container"), F.concat_ws("-", F.lit("r"), F.col("shard").cast("string"), F.col("box").cast("string")).alias("joined"))
     placed = first.join(again, ["spec_id", "container"], "left").select("spec_id", "item", F.coalesce("joined", "container").alias("container"))
-    numbered = rest.join(placed.dropDuplicates(["spec_id", "item"]), ["spec_id", "item"])
+    numbered = rest.join(placed, ["spec_id", "item"])
     cols = ["spec_id", F.col("doc").alias(id_col), "piece_no", "n_pieces", "token_start", F.col("size").alias("token_count"), "capacity", "container"]
     return full.select(*cols).unionByName(numbered.select(*cols))
 

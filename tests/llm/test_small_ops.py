@@ -128,6 +128,21 @@ def test_packing_is_dense():
     assert sizes.sum() / (100 * (box.max() + 1)) > 0.95
 
 
+def test_pack_places_repeated_rows_each(spark):
+    sizes = [60, 60, 60, 60, 30, 40, 250, 250, 7, 7]
+    rows = [(f"d{k % 3}" if n < 100 else "big", "x" * n) for k, n in enumerate(sizes * 4)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    specs = spark.createDataFrame([(1, 20), (2, 9)], "spec_id int, capacity int")
+    got = packing.pack(df, specs).collect()
+    total = sum(r["n"] for r in df.select(byte_tokens(F.col("text")).alias("n")).collect())
+    for spec, capacity in ((1, 20), (2, 9)):
+        fills: dict[str, int] = {}
+        for r in got:
+            if r["spec_id"] == spec:
+                fills[r["container"]] = fills.get(r["container"], 0) + r["token_count"]
+        assert sum(fills.values()) == total and max(fills.values()) <= capacity
+
+
 def test_pack(spark):
     rng = random.Random(8)
     docs = [(i, "x" * rng.choice([0, 3, 40, 99, 100, 250, 1000])) for i in range(400)] + [(900, None), (901, "é" * 60), (None, "x")]
