@@ -1,10 +1,11 @@
 """Most similar vectors by a hierarchical k-means tree with best-bin-first search (problem 2).
 
-The upper tree is fitted on a bounded sample; every vector is then sent to the leaf its own best-bin-first
-descent meets first. A query descends with a priority queue of nodes by distance to their centroids and
-visits leaves in that order; how many is calibrated: queries are answered by brute force over all vectors, and
-visits are widened until the leaves seen hold the wanted share of the true neighbours. Leaves that outgrow one comparison
-are split again by a tree of their own rows inside their task.
+The tree is fitted on a bounded sample; every vector is then sent to the leaf its own best-bin-first descent
+meets first. A query descends with a priority queue of nodes by distance to their centroids and visits
+leaves in that order, as long as they are hardly farther than the first; how much farther is calibrated: sample
+queries are answered by brute force over all vectors, and visits are widened until the leaves seen hold the
+wanted share of the true neighbours. A leaf of any size is compared in cells of bounded numbers of rows and
+queries, all of them, so nothing changes with its size.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from pyspark.sql import functions as F
 
 from marlstone.session import materialize
 
-#: Vectors the upper tree is fitted on, at most; vectors a leaf should hold; children of a node; sample vectors a leaf needs.
-#: Large leaves keep the shuffle small: a query is sent to every leaf it visits, and comparing within a leaf is a matrix product.
-SAMPLE, LEAF_ROWS, BRANCH, LEAF_SAMPLE = 40_000, 8192, 24, 16
-#: Queries of the calibration, and leaf rows above which a leaf is split inside its task.
-CALIBRATION, LOCAL_ROWS = 4000, 65_536
+#: Vectors the tree is fitted on: at least SAMPLE (or all there are), LEAF_SAMPLE for every leaf of LEAF_ROWS rows, MAX_SAMPLE
+#: at most. Large leaves keep the shuffle small: a query is sent to every leaf it visits, and comparing is a matrix product.
+SAMPLE, MAX_SAMPLE, LEAF_ROWS, BRANCH, LEAF_SAMPLE = 40_000, 400_000, 8192, 24, 16
+#: Queries of the calibration; rows and queries of a cell, about.
+CALIBRATION, CELL_ROWS, CELL_QUERIES = 4000, 32_768, 131_072
+#: Copies of one vector above which its ids are spread over several tasks.
+HOT = 100_000
 
 
 @dataclass
@@ -150,25 +153,42 @@ def unit_vectors(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataF
     return src.mapInArrow(pack, "id string, vec binary")
 
 
+def encode(x: np.ndarray) -> np.ndarray:
+    """Vectors as 16-bit numbers relative to their largest component; cosines of codes are exact to about 1e-5."""
+    top = np.abs(x).max(axis=1, keepdims=True)
+    return np.rint(x / np.maximum(top, 1e-30) * 32767).astype(np.int16)
+
+
+def decode(codes: np.ndarray) -> np.ndarray:
+    """Unit vectors of codes."""
+    x = codes.astype(np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
 class Index:
     """The usable vectors of a table and their tree.
 
     units has (id, vid, vec): vid numbers a vector, so copies share it. Copies are reduced to one per batch
-    before anything is shuffled and to one per leaf after; ids come back at the end.
+    before anything is shuffled and to one per leaf after; ids come back at the end. cells has the numbers of row blocks and
+    query blocks of each leaf, from the sample's shares.
     """
 
-    def __init__(self, df: DataFrame, id_col: str = "chunk_id", vector_col: str = "content_vector", dim: int = 64, k: int = 5, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS) -> None:
+    def __init__(self, df: DataFrame, id_col: str = "chunk_id", vector_col: str = "content_vector", dim: int = 64, k: int = 5, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS, cell_rows: int = CELL_ROWS, cell_queries: int = CELL_QUERIES) -> None:
         self.dim, self.k, self.id_col = dim, k, id_col
         self.units = materialize(unit_vectors(df, id_col, vector_col, dim).select("id", F.xxhash64("vec").alias("vid"), "vec"))
         self.n = self.units.count()
-        x = self._sample(11, sample)[1]
-        leaf_size = max(LEAF_SAMPLE, int(leaf_rows * len(x) / self.n)) if self.n else 1
-        self.tree = fit_tree(x, leaf_size)
+        self.sampled = self._sample(11, min(MAX_SAMPLE, max(sample, self.n // leaf_rows * LEAF_SAMPLE)))[1]
+        leaf_size = max(LEAF_SAMPLE, int(leaf_rows * len(self.sampled) / self.n)) if self.n else 1
+        self.tree = fit_tree(self.sampled, leaf_size)
+        self.cell_rows, self.cell_queries = cell_rows, cell_queries
 
     def _sample(self, seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """vid and vector of the rows of smallest id hash, at most size, on the driver."""
-        got = self.units.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(size).select("vid", "vec").toArrow()
-        return got.column("vid").to_numpy(), _matrix(got.column("vec"), self.dim)
+        """vid and vector of rows of small id hash, at most size, on the driver."""
+        bits = 1 << 30
+        few = self.units.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(bits)) < int(bits * min(1.0, 0.95 * size / max(1, self.n)))) if self.n > size else self.units
+        got = few.limit(size).select("vid", "vec").toArrow()
+        order = np.argsort(got.column("vid").to_numpy(), kind="stable")
+        return got.column("vid").to_numpy()[order], _matrix(got.column("vec"), self.dim)[order]
 
     def blocks(self, asked: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The queries (vid, vec) in blocks of at most about size, on the driver one after the other."""
@@ -183,28 +203,51 @@ class Index:
         ids = queries.select(F.col(self.id_col).cast("string").alias("id")).distinct()
         return self.units.join(ids, "id", "left_semi").select("vid", "vec").dropDuplicates(["vid"])
 
-    def ids(self) -> DataFrame:
-        """(vid, ids): the k + 1 smallest ids of each vector."""
-        w = Window.partitionBy("vid").orderBy("id")
-        heads = self.units.select("vid", "id").distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= self.k + 1)
-        return heads.groupBy("vid").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    def _cells(self, leaves: int, gap: float, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of row blocks and of query blocks of each leaf; share is that of the vectors that are queries."""
+        seen, far = visit(self.tree, self.sampled, leaves)
+        scale = self.n / max(1, len(self.sampled))
+        held = np.bincount(seen[:, 0], minlength=self.tree.leaves) * scale
+        asks = np.bincount(seen[far - far[:, :1] <= gap], minlength=self.tree.leaves) * scale * share
+        return (np.maximum(1, np.ceil(n / most)).astype(np.int64) for n, most in ((held, self.cell_rows), (asks, self.cell_queries)))
 
-    def _visits(self, vectors: DataFrame, leaves: int, gap: float) -> DataFrame:
-        """(vid, vec, leaf, turn) for the first leaves of every vector that are at most gap farther than the first."""
+    def _packed(self, vectors: DataFrame, leaves: int, gap: float, base: bool, asks: bool, row_blocks: np.ndarray, query_blocks: np.ndarray) -> DataFrame:
+        """(leaf, cell, role, vids, codes): the vectors of a batch that go to a cell, as two runs of bytes; role 1: queries, 2: rows, 3: both."""
         tree, dim = self.tree, self.dim
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if not b.num_rows:
                     continue
-                first = np.unique(b.column("vid").to_numpy(), return_index=True)[1]
-                b = b.take(pa.array(first))
-                seen, far = visit(tree, _matrix(b.column("vec"), dim), leaves)
+                vids, first = np.unique(b.column("vid").to_numpy(), return_index=True)
+                x = _matrix(b.column("vec"), dim)[first]
+                seen, far = visit(tree, x, leaves if asks else 1)
+                codes = encode(x)
                 row, turn = np.nonzero(far - far[:, :1] <= gap)
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([b.column("vid").take(at), b.column("vec").take(at), pa.array(seen[row, turn]), pa.array(turn.astype(np.int32))], ["vid", "vec", "leaf", "turn"])
-
-        return vectors.mapInArrow(run, "vid long, vec binary, leaf int, turn int")
+                leaf = seen[row, turn].astype(np.int64)
+                kb, kq = row_blocks[leaf], query_blocks[leaf]
+                own_b, own_q = vids[row] % kb, (vids[row] >> 17) % kq
+                parts = []
+                if asks:  # a query goes to its block of queries, against each block of rows
+                    r = np.repeat(np.arange(len(row)), kb)
+                    at = np.arange(len(r)) - np.repeat(np.cumsum(kb) - kb, kb)
+                    both = base & (turn[r] == 0) & (at == own_b[r])
+                    parts.append((row[r], leaf[r], at * kq[r] + own_q[r], np.where(both, 3, 1)))
+                if base:  # a row goes to its block of rows, against each block of queries
+                    home = np.flatnonzero(turn == 0)
+                    r = np.repeat(home, kq[home])
+                    at = np.arange(len(r)) - np.repeat(np.cumsum(kq[home]) - kq[home], kq[home])
+                    new = ~((at == own_q[r]) & asks)
+                    parts.append((row[r][new], leaf[r][new], (own_b[r] * kq[r] + at)[new], np.full(int(new.sum()), 2)))
+                row, leaf, cell, role = (np.concatenate(p) for p in zip(*parts))
+                order = np.lexsort((role, cell, leaf))
+                row, leaf, cell, role = row[order], leaf[order], cell[order], role[order]
+                ends = np.flatnonzero(np.diff(leaf) | np.diff(cell) | np.diff(role)) + 1
+                starts = np.concatenate([[0], ends])
+                runs = np.split(row, ends)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[starts].astype(np.int32)), pa.array(cell[starts]), pa.array(role[starts].astype(np.int32)), pa.array([vids[r].tobytes() for r in runs], pa.binary()), pa.array([codes[r].tobytes() for r in runs], pa.binary())], ["leaf", "cell", "role", "vids", "codes"])
+
+        return vectors.select("vid", "vec").mapInArrow(run, "leaf int, cell long, role int, vids binary, codes binary")
 
     def brute_force(self, qid: np.ndarray, q: np.ndarray, min_cosine: float = -2.0, limit: int = 5000) -> DataFrame:
         """(q, b, cosine, leaf): the k most similar distinct vectors of each query, by full comparison.
@@ -225,18 +268,18 @@ class Index:
                     leaf = visit(tree, x[hit], 1)[0][:, 0][at] if len(hit) else np.empty(0, dtype=np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(ids[j]), pa.array(c.astype(np.float64)), pa.array(leaf.astype(np.int32))], ["q", "b", "cosine", "leaf"])
 
-        return self._top(self.units.select("vid", "vec").mapInArrow(run, "q long, b long, cosine double, leaf int"))
+        found = self.units.select("vid", "vec").mapInArrow(run, "q long, b long, cosine double, leaf int")
+        return self._top(found.groupBy("q", "b").agg(F.max("cosine").alias("cosine"), F.max("leaf").alias("leaf")))
 
-    def _top(self, found: DataFrame) -> DataFrame:
-        """The k best of each query; a pair met in several batches counts once."""
-        once = found.groupBy("q", "b").agg(*[F.max(c).alias(c) for c in found.columns[2:]])
+    def _top(self, found: DataFrame, k: int | None = None) -> DataFrame:
+        """The k best of each query."""
         w = Window.partitionBy("q").orderBy(F.desc("cosine"), "b")
-        return once.withColumn("r", F.row_number().over(w)).where(F.col("r") <= self.k).drop("r")
+        return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= (k or self.k)).drop("r")
 
     def calibrate(self, recall: float, min_cosine: float = -2.0, queries: int = CALIBRATION) -> tuple[int, float]:
         """(leaves, gap): how far to widen visits so that the given share of true neighbours of sample queries is met.
 
-        leaves bounds the number of visits, gap how much farther than the first leaf's centroid a leaf may be.
+        gap is how much farther than the first leaf's centroid a leaf may be, leaves bounds the number of visits.
         """
         qid, q = self._sample(12, queries)
         qid, first = np.unique(qid, return_index=True)
@@ -250,49 +293,75 @@ class Index:
         np.put_along_axis(gap, order, far - far[:, :1], axis=1)
         at = np.searchsorted(qid, true["q"].to_numpy()), true["leaf"].to_numpy()
         turns, gaps = turn[at], gap[at]
-        share = recall
-        while True:  # each bound alone loses a little; both together must keep the wanted share
-            n = min(len(turns) - 1, math.ceil(share * len(turns)) - 1)
-            leaves, widest = int(np.sort(turns)[n]) + 1, float(np.sort(gaps)[n]) + 1e-6
-            if n == len(turns) - 1 or ((turns < leaves) & (gaps <= widest)).mean() >= recall:
-                return leaves, widest
-            share += max((1 - recall) / 8, 1e-4)
-
-    def search(self, leaves: int, gap: float, min_cosine: float = -2.0, queries: DataFrame | None = None) -> DataFrame:
-        """(q, b, cosine): the most similar distinct vectors found for every query (all vectors by default)."""
-        k, dim = self.k, self.dim
-        all_rows = self.units.select("vid", "vec")
-        if queries is None:
-            rows = self._visits(all_rows, leaves, gap).select("leaf", "vid", "vec", F.when(F.col("turn") == 0, 2).otherwise(1).alias("role"))
-        else:
-            asked = self._visits(queries.select("vid", "vec"), leaves, gap).select("leaf", "vid", "vec", F.lit(1).alias("role"))
-            rows = self._visits(all_rows, 1, 0.0).select("leaf", "vid", "vec", F.lit(0).alias("role")).unionByName(asked)
+        widest = float(np.sort(gaps)[math.ceil(recall * len(gaps)) - 1]) + 1e-6
+        return int(turns[gaps <= widest].max()) + 1, widest
+
+    def search(self, leaves: int, gap: float, min_cosine: float = -2.0, queries: DataFrame | None = None, slack: int = 0) -> DataFrame:
+        """(q, b, cosine): the most similar distinct vectors found for every query (all vectors by default), k + slack each.
+
+        Cosines are those of the codes. Every pair is met in one cell only.
+        """
+        k, dim = self.k + slack, self.dim
+        share = 1.0 if queries is None else queries.count() / max(1, self.n)
+        blocks = tuple(self._cells(leaves, gap, share))
+        rows = self._packed(self.units, leaves, gap, True, queries is None, *blocks)
+        if queries is not None:
+            rows = rows.unionByName(self._packed(queries, leaves, gap, False, True, *blocks))
 
         def run(table: pa.Table) -> pa.Table:
-            x, ids, role = _matrix(table.column("vec"), dim), table.column("vid").to_numpy(), table.column("role").to_numpy()
-            held, asks = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
-            held, asks = (r[np.unique(ids[r], return_index=True)[1]] for r in (held, asks))
-            out = []
-            for q_rows, b_rows in _cells(x, held, asks, leaves):
-                i, j, c = _best(x[q_rows], ids[q_rows], x[b_rows], ids[b_rows], k, min_cosine)
-                out.append((ids[q_rows][i], ids[b_rows][j], c.astype(np.float64)))
-            cols = [np.concatenate([o[n] for o in out]) if out else np.empty(0) for n in range(3)]
-            return pa.table({"q": pa.array(cols[0].astype(np.int64)), "b": pa.array(cols[1].astype(np.int64)), "cosine": pa.array(cols[2].astype(np.float64))})
-
-        found = rows.groupBy("leaf").applyInArrow(run, "q long, b long, cosine double")
-        return self._top(found)
-
-    def neighbours(self, found: DataFrame, min_cosine: float = -2.0, queries: DataFrame | None = None) -> DataFrame:
-        """(id, neighbour, cosine, position): found vectors as ids; copies come first, ties by id."""
-        members = self.units.select("id", "vid").distinct()
+            role = table.column("role").to_numpy()
+            vids, codes = table.column("vids").to_pylist(), table.column("codes").to_pylist()
+
+            def read(kinds: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+                at = [i for i, r in enumerate(role) if r in kinds]
+                ids, first = np.unique(np.frombuffer(b"".join(vids[i] for i in at), dtype=np.int64), return_index=True)
+                return ids, decode(np.frombuffer(b"".join(codes[i] for i in at), dtype=np.int16).reshape(-1, dim)[first])
+
+            (asks, q), (held, x) = read((1, 3)), read((2, 3))
+            i, j, c = _best(q, asks, x, held, k, min_cosine)
+            return pa.table({"q": pa.array(asks[i], pa.int64()), "b": pa.array(held[j], pa.int64()), "cosine": pa.array(c.astype(np.float64))})
+
+        return self._top(rows.groupBy("leaf", "cell").applyInArrow(run, "q long, b long, cosine double"), k)
+
+    def exact(self, found: DataFrame, queries: DataFrame) -> DataFrame:
+        """found with cosines of the vectors themselves, the k best of each query; only the vectors named are shuffled."""
+        one = queries.select(F.col("vid").alias("q"), F.col("vec").alias("qv"))
+        other = self.units.select(F.col("vid").alias("b"), F.col("vec").alias("bv")).join(found.select("b").distinct(), "b", "left_semi").dropDuplicates(["b"])
+        dim = self.dim
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    c = (_matrix(b.column("qv"), dim).astype(np.float64) * _matrix(b.column("bv"), dim)).sum(axis=1)
+                    yield pa.RecordBatch.from_arrays([b.column("q"), b.column("b"), pa.array(c)], ["q", "b", "cosine"])
+
+        both = found.select("q", "b").join(one, "q").join(other, "b").select("q", "b", "qv", "bv")
+        return self._top(both.mapInArrow(run, "q long, b long, cosine double").withColumn("cosine", F.round("cosine", 7)))
+
+    def neighbours(self, found: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+        """(id, neighbour, cosine, position): found vectors as ids; copies come first, ties by id.
+
+        A vector stands for its k + 1 smallest ids; those of a vector with very many copies are spread over tasks.
+        """
+        limit = self.k + 1
+        own_ids = self.units.select("vid", "id")
+        w = Window.partitionBy("vid").orderBy("id")
+        heads = own_ids.dropDuplicates() if queries is None else own_ids.join(queries.select("vid").union(found.select("b")).distinct(), "vid", "left_semi").dropDuplicates()
+        heads = heads.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit)
+        ids = materialize(heads.groupBy("vid").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+        copies = ids.where(F.size("ids") > 1)
         if queries is not None:
-            members = members.join(queries.select("vid").distinct(), "vid", "left_semi")
-        ids = materialize(self.ids())
-        own = members.join(ids, "vid").select("id", F.explode("ids").alias("neighbour"), F.lit(1.0).alias("cosine"))
-        far = found.where(F.col("cosine") >= min_cosine).join(ids.withColumnRenamed("vid", "b"), "b").select(F.col("q").alias("vid"), F.explode("ids").alias("neighbour"), "cosine")
+            copies = copies.join(queries.select("vid"), "vid", "left_semi")
+        own = copies.select("vid", F.explode("ids").alias("neighbour"), F.lit(1.0).alias("cosine"))
+        far = found.join(ids.withColumnRenamed("vid", "b"), "b").select(F.col("q").alias("vid"), F.explode("ids").alias("neighbour"), "cosine")
         w = Window.partitionBy("vid").orderBy(F.desc("cosine"), "neighbour")
-        far = far.withColumn("r", F.row_number().over(w)).where(F.col("r") <= self.k + 1).drop("r")
-        both = own.unionByName(members.join(far, "vid").select("id", "neighbour", "cosine")).where("id <> neighbour")
+        lists = own.unionByName(far).withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2 * limit).drop("r")
+        # at most one row per HOT rows of the table
+        hot = self.units.groupBy("vid").count().where(F.col("count") > HOT).select("vid", F.ceil(F.col("count") / HOT).cast("int").alias("parts"))
+        salted = lists.join(F.broadcast(hot), "vid", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).drop("parts")
+        members = own_ids if queries is None else own_ids.join(queries.select("vid"), "vid", "left_semi")
+        members = members.join(F.broadcast(hot), "vid", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+        both = members.join(salted, ["vid", "salt"]).where("id <> neighbour").groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
         w = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
         return both.withColumn("position", F.row_number().over(w)).where(F.col("position") <= self.k)
 
@@ -323,25 +392,7 @@ def _best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int
     return i[keep], j[keep], v[keep]
 
 
-def _cells(x: np.ndarray, held: np.ndarray, asks: np.ndarray, leaves: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query rows, base rows) to compare in a leaf; a leaf above LOCAL_ROWS is searched by a tree of its own."""
-    if not len(held) or not len(asks):
-        return
-    if len(held) <= LOCAL_ROWS:
-        yield asks, held
-        return
-    step = max(1, len(held) // SAMPLE)
-    tree = fit_tree(x[held[::step]], max(LEAF_SAMPLE, LEAF_ROWS // step))
-    home = visit(tree, x[held], 1)[0][:, 0]
-    seen = visit(tree, x[asks], max(4, leaves))[0]
-    for leaf in range(tree.leaves):
-        rows = held[home == leaf]
-        who = asks[(seen == leaf).any(axis=1)]
-        if len(rows) and len(who):
-            yield who, rows
-
-
-def similar_pairs(df: DataFrame, id_col: str = "chunk_id", vector_col: str = "content_vector", dim: int = 64, k: int = 5, min_cosine: float = 0.9, recall: float = 0.998) -> DataFrame:
+def similar_pairs(df: DataFrame, id_col: str = "chunk_id", vector_col: str = "content_vector", dim: int = 64, k: int = 5, min_cosine: float = 0.9, recall: float = 0.995) -> DataFrame:
     """(id_a, id_b): pairs of which at least one is among the other's k most similar and whose cosine is min_cosine or more.
 
     NULL, zero, non-finite vectors and those of another length take no part; repeated rows count once per id.
@@ -350,11 +401,11 @@ def similar_pairs(df: DataFrame, id_col: str = "chunk_id", vector_col: str = "co
     index = Index(df, id_col, vector_col, dim, k)
     if not index.n:
         return df.sparkSession.createDataFrame([], "id_a string, id_b string")
-    near = index.neighbours(index.search(*index.calibrate(recall, min_cosine), min_cosine), min_cosine)
+    near = index.neighbours(index.search(*index.calibrate(recall, min_cosine), min_cosine))
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
-def nearest(df: DataFrame, queries: DataFrame, id_col: str = "chunk_id", vector_col: str = "content_vector", dim: int = 64, k: int = 5, recall: float = 0.95) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, id_col: str = "chunk_id", vector_col: str = "content_vector", dim: int = 64, k: int = 5, recall: float = 0.97) -> DataFrame:
     """(id, neighbour, cosine, position): k most similar vectors for the ids in queries, against all vectors.
 
     Ids without a usable vector give no rows; copies of a vector come first, ties by id; an empty table gives none.
@@ -362,6 +413,7 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "chunk_id", vector_
     index = Index(df, id_col, vector_col, dim, k)
     if not index.n:
         return df.sparkSession.createDataFrame([], "id string, neighbour string, cosine double, position int")
-    asked = index.asked(queries)
-    near = index.neighbours(index.search(*index.calibrate(recall), queries=asked), queries=asked)
+    asked = materialize(index.asked(queries))
+    found = index.search(*index.calibrate(recall), queries=asked, slack=index.k)
+    near = index.neighbours(index.exact(found, asked), queries=asked)
     return near.join(queries.select(F.col(id_col).cast("string").alias("id")).distinct(), "id", "left_semi").select("id", "neighbour", "cosine", "position")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import chunking, knntree, lookalike, markup, mixing, neardup, packing, quality, ranking
-from marlstone.session import table, texts
+from marlstone.session import materialize, table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,8 +41,8 @@ def p2_recall(spark: SparkSession, d: str) -> DataFrame:
     """Share of the true neighbours that the tree finds, for every hundredth chunk, against brute force in blocks."""
     chunks = table(spark, d, "chunks").select("chunk_id", "content_vector")
     index = knntree.Index(chunks)
-    asked = index.asked(_every_hundredth(chunks))
-    found = index.search(*index.calibrate(0.95), queries=asked).select("q", "b", F.lit(1).alias("hit"))
+    asked = materialize(index.asked(_every_hundredth(chunks)))
+    found = index.search(*index.calibrate(0.97), queries=asked).select("q", "b", F.lit(1).alias("hit"))
     true = None
     for vids, vectors in index.blocks(asked, 4000):
         part = index.brute_force(vids, vectors).select("q", "b")

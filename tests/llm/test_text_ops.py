@@ -258,18 +258,47 @@ def test_similar_pairs_against_brute_force(spark):
     assert knntree.similar_pairs(df.where("content_vector is null")).count() == 0
 
 
-@pytest.mark.parametrize("local", [knntree.LOCAL_ROWS, 100])
-def test_recall_of_a_deep_tree(spark, monkeypatch, local):
-    monkeypatch.setattr(knntree, "LOCAL_ROWS", local)
-    x = vectors(2500, 16, 6)
-    df = spark.createDataFrame([(f"v{i:04}", v.tolist()) for i, v in enumerate(x)], "chunk_id string, content_vector array<double>")
-    ix = knntree.Index(df, dim=16, leaf_rows=60 if local > 100 else 900)
-    assert ix.tree.leaves > 1
+@pytest.mark.parametrize("n,leaf_rows,cells", [(10_000, 17, (10**6, 10**6)), (2500, 900, (70, 110))])
+def test_recall_of_a_deep_tree_and_of_cut_leaves(spark, n, leaf_rows, cells):
+    x = vectors(n, 16, 6)
+    df = spark.createDataFrame([(f"v{i:05}", v.tolist()) for i, v in enumerate(x)], "chunk_id string, content_vector array<double>")
+    ix = knntree.Index(df, dim=16, leaf_rows=leaf_rows, cell_rows=cells[0], cell_queries=cells[1])
+    assert ix.tree.leaves >= (500 if n > 2500 else 3)
     vids, q = ix._sample(3, 200)
     true = {(r["q"], r["b"]) for r in ix.brute_force(vids, q).collect()}
     asked = ix.units.where(F.col("vid").isin([int(v) for v in vids]))
-    found = {(r["q"], r["b"]) for r in ix.search(*ix.calibrate(0.95), queries=asked).collect()}
-    assert len(true & found) / len(true) >= (0.9 if local > 100 else 0.8)
+    how = ix.calibrate(0.97)
+    found = {(r["q"], r["b"]) for r in ix.search(*how, queries=asked).collect()}
+    assert len(true & found) / len(true) >= 0.95
+    if n > 2500:
+        return
+    every = ix.search(*how).where(F.col("q").isin([int(v) for v in vids])).collect()
+    assert len(true & {(r["q"], r["b"]) for r in every}) / len(true) >= 0.95
+    assert len(every) == len({(r["q"], r["b"]) for r in every}) == 5 * len(vids)
+
+
+def test_nearest_is_exact_in_one_leaf(spark):
+    x = vectors(400, 64, 8)
+    x[7] = x[3]
+    df = spark.createDataFrame([(f"v{i:03}", v.tolist()) for i, v in enumerate(x)], "chunk_id string, content_vector array<double>")
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    got = {(r["id"], r["position"]): (r["neighbour"], round(r["cosine"], 5)) for r in knntree.nearest(df, df.where("chunk_id < 'v020'")).collect()}
+    for i in range(20):
+        order = [j for j in sorted(range(400), key=lambda j: (-s[i, j], j)) if j != i][:5]
+        assert [got[f"v{i:03}", p + 1][0] for p in range(5)] == [f"v{j:03}" for j in order]
+    assert len(got) == 100
+
+
+def test_hot_copies_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(knntree, "HOT", 3)
+    x = vectors(60, 64, 9)
+    rows = [(f"c{i:02}", x[0].tolist()) for i in range(20)] + [(f"v{i:02}", v.tolist()) for i, v in enumerate(x[1:])]
+    got = {tuple(r) for r in knntree.similar_pairs(spark.createDataFrame(rows, "chunk_id string, content_vector array<double>")).collect()}
+    for i in range(20):
+        first = [j for j in range(20) if j != i][:5]
+        assert {tuple(sorted((f"c{i:02}", f"c{j:02}"))) for j in first} <= got
 
 
 def test_tree_visits_every_leaf_once():
