@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HASH_CHARS = 16
-#: Cuts are sought between this share of the largest step and the largest step.
+#: Cuts are sought between this share of the largest step (limit less overlap) and the largest step; the last piece adds that much too.
 MIN_SHARE = 0.5
 #: Natural boundaries, strongest first: paragraph, line, sentence, clause, blank.
 BOUNDARIES = [
@@ -52,14 +52,16 @@ def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     n = len(text)
     if n <= limit:
         return [(0, n)]
-    overlap = max(0, min(overlap, limit // 2))
+    overlap = max(0, min(overlap, limit - 1))
+    least = max(1, int((limit - overlap) * MIN_SHARE))
     marks = rolling_hash(text)
     bounds = [np.fromiter((m.end() for m in b.finditer(text)), dtype=np.int64) for b in BOUNDARIES]
     out, start, fresh = [], 0, 0
     while n - start > limit:
         # fresh: first character that no earlier piece holds
-        high = start + limit
-        low = max(fresh + 1, start + overlap + 1, start + int(limit * MIN_SHARE))
+        low = max(fresh + 1, start + overlap + least)
+        # the rest is not left shorter than the smallest step where this cut can avoid it
+        high = min(start + limit, max(low, n - least))
         low = min(low, high)
         at = low + int(np.argmin(marks[low : high + 1]))
         best, best_cost = at, None
@@ -89,7 +91,7 @@ def split_oversized(df: DataFrame, id_col: str = "chunk_id", text_col: str = "co
 
     Only oversized rows leave the JVM; they are split where they are, without a shuffle. NULL or empty texts
     and rows without a limit (no sizes, NULL or non-positive element) give no rows; a NULL or negative overlap
-    is 0 and one above half the limit counts as half. Repeated rows are split once per row. Positions count
+    is 0 and one of the limit or more counts as the limit less 1, else neighbours share exactly as many characters. Repeated rows are split once per row. Positions count
     code points; joining each piece without its leading shared characters gives the text again.
     """
     limit = size_limit(F.col(sizes_col), F.col(level_col))
