@@ -77,6 +77,12 @@ def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select("query_id", "id", (F.round("flow", 6) + 0.0).alias("flow"), F.col("position").cast("long").alias("position"))
 
 
+def p5_threshold_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """Leads of 5 percentiles or less are no preference, those of 50 or more a full one."""
+    ranked = ranking.full_ranking(ranking.outrank(table(spark, d, "hits"), indifference=0.05, preference=0.5))
+    return ranked.select("query_id", "id", (F.round("flow", 6) + 0.0).alias("flow"), F.col("position").cast("long").alias("position"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     groups = lookalike.lookalike_groups(texts(spark, d, "chunks"), "chunk_id", ["content", "content_jieba"], "content", 300)
     return lookalike.lookalike_pairs(groups).select("field", F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
@@ -122,4 +128,4 @@ def p9_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_quality(texts(spark, d, "documents"), table(spark, d, "common_words"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_nearest, p2_recall, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_ranking, p6_found, p6_forms, p7_found, p7_packing, p7_fill, p8_found, p8_mixture, p8_shares, p9_found, p9_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_nearest, p2_recall, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_ranking, p5_threshold_ranking, p6_found, p6_forms, p7_found, p7_packing, p7_fill, p8_found, p8_mixture, p8_shares, p9_found, p9_quality)}

@@ -10,39 +10,38 @@ from pyspark.sql import functions as F
 from marlstone.operators.prefix import running_totals
 
 LOWEST = float("-inf")
+#: Items of one group that share a value, above which they are spread over several tasks.
+HOT = 100_000
 
 
-def percentiles(best: DataFrame, group: str, score: str) -> DataFrame:
-    """(group, value, pct, n): mid-rank percentile of every distinct value; NULL and NaN rank lowest."""
-    value = F.coalesce(F.nanvl(F.col(score).cast("double"), F.lit(LOWEST)), F.lit(LOWEST))
-    counts = best.groupBy(F.col(group), value.alias("value")).agg(F.count("*").alias("cnt"))
-    upto = running_totals(counts, [group], ["value"], {"upto": "cnt"})
-    total = counts.groupBy(F.col(group).alias("g2")).agg(F.sum("cnt").alias("n"))
-    out = upto.join(total, F.col(group).eqNullSafe(F.col("g2"))).drop("g2")
+def percentiles(counts: DataFrame, group: list[str]) -> DataFrame:
+    """counts (group, value, cnt) with upto, n and pct: the mid-rank percentile of every distinct value."""
+    upto = running_totals(counts, group, ["value"], {"upto": "cnt"})
+    total = counts.groupBy(*[F.col(g).alias(f"__t{i}") for i, g in enumerate(group)]).agg(F.sum("cnt").alias("n"))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__t{i}")) for i, g in enumerate(group)])
+    out = upto.join(total, same).drop(*[f"__t{i}" for i in range(len(group))])
     return out.withColumn("pct", (2 * F.col("upto") - F.col("cnt")) / (2.0 * F.col("n")))
 
 
-def net_flow(pcts: DataFrame, group: str, indifference: float, preference: float) -> DataFrame:
-    """(group, value, flow): mean over the other items of preference for minus preference against.
+def net_flow(pcts: DataFrame, group: list[str], indifference: float, preference: float) -> DataFrame:
+    """(group, value, flow, cnt): mean over the other items of preference for minus preference against.
 
     A percentile lead d counts 0 up to indifference, rises linearly and counts 1 from preference on. All pairs
-    of a group are covered by prefix sums over its sorted percentiles; no pair is formed.
+    of a group are covered by prefix sums over its sorted percentiles: a value asks for the number and the sum of
+    the percentiles up to the four places where the preference bends; no pair is formed.
     """
-    x, n = F.col("pct"), F.col("n")
-    if indifference <= 0 and preference >= 1:
-        flow = F.when(n > 1, (x - 0.5) * n / ((n - 1) * preference)).otherwise(F.lit(0.0))
-        return pcts.select(group, "value", flow.alias("flow"))
+    x, n, c = F.col("pct"), F.col("n"), F.col
     q, p = float(indifference), float(preference)
-    data = pcts.select(group, x.alias("at"), F.lit(0).alias("kind"), F.lit(LOWEST).alias("value"), "cnt", (F.col("cnt") * x).alias("mass"), x.alias("own"), n.alias("n"))
-    probes = [pcts.select(group, (x + d).alias("at"), F.lit(k).alias("kind"), "value", F.lit(0).cast("long").alias("cnt"), F.lit(0.0).alias("mass"), x.alias("own"), n.alias("n")) for k, d in ((1, -p), (2, -q), (3, q), (4, p))]
+    data = pcts.select(*group, x.alias("at"), F.lit(0).alias("kind"), F.lit(LOWEST).alias("value"), "cnt", (c("cnt") * x).alias("mass"), x.alias("own"), n.alias("n"), F.lit(0).cast("long").alias("held"))
+    places = {1: -p, 2: -q, 3: q, 4: p} if q else {1: -p, 2: 0.0, 4: p}  # without indifference two places are one
+    probes = [pcts.select(*group, (x + d).alias("at"), F.lit(k).alias("kind"), "value", F.lit(0).cast("long").alias("cnt"), F.lit(0.0).alias("mass"), x.alias("own"), n.alias("n"), c("cnt").alias("held")) for k, d in places.items()]
     events = reduce(DataFrame.unionByName, probes, data)
-    summed = running_totals(events, [group], ["at", "kind", "own"], {"a": "cnt", "b": "mass"}).where("kind > 0")
-    pick = lambda c, k: F.max(F.when(F.col("kind") == k, F.col(c)))
-    at = summed.groupBy(group, "value", "own", "n").agg(*[pick(c, k).alias(f"{c}{k}") for c in "ab" for k in (1, 2, 3, 4)])
-    c = F.col
+    summed = running_totals(events, group, ["at", "kind", "own"], {"a": "cnt", "b": "mass"}).where("kind > 0")
+    pick = lambda col, k: F.max(F.when(c("kind") == (k if k in places else 2), c(col)))
+    at = summed.groupBy(*group, "value", "own", "n", "held").agg(*[pick(col, k).alias(f"{col}{k}") for col in "ab" for k in (1, 2, 3, 4)])
     plus = c("a1") + ((c("own") - q) * (c("a2") - c("a1")) - (c("b2") - c("b1"))) / (p - q)
     minus = (c("n") - c("a4")) + ((c("b4") - c("b3")) - (c("own") + q) * (c("a4") - c("a3"))) / (p - q)
-    return at.select(group, "value", F.when(c("n") > 1, (plus - minus) / (c("n") - 1)).otherwise(F.lit(0.0)).alias("flow"))
+    return at.select(*group, "value", F.when(c("n") > 1, (plus - minus) / (c("n") - 1)).otherwise(F.lit(0.0)).alias("flow"), c("held").alias("cnt"))
 
 
 def outrank(df: DataFrame, group: str = "query_id", item: str = "id", scores: dict[str, float] | None = None, indifference: float = 0.0, preference: float = 1.0) -> DataFrame:
@@ -51,7 +50,8 @@ def outrank(df: DataFrame, group: str = "query_id", item: str = "id", scores: di
     scores maps score columns to weights (default score and rerank_score, equal). An item met more than once in
     a group counts with its best value per score; NULL or NaN counts as the worst. Rows without item are left
     out; a NULL group is a group of its own; an item alone in its group has flow 0. Values change with ranks
-    only, so no score weighs more for its unit. Groups of any size are spread over tasks by range.
+    only, so no score weighs more for its unit. All scores go through the same passes; groups of any size are spread over tasks by
+    range, and items of one group that share a value by their hash.
     """
     scores = scores or {"score": 1.0, "rerank_score": 1.0}
     if not 0 <= indifference < preference:
@@ -59,14 +59,24 @@ def outrank(df: DataFrame, group: str = "query_id", item: str = "id", scores: di
     total = sum(scores.values())
     if total <= 0 or min(scores.values()) < 0:
         raise ValueError("weights must not be negative and must sum to more than 0")
-    clean = df.where(F.col(item).isNotNull()).select(group, item, *[F.when(~F.isnan(F.col(s).cast("double")), F.col(s).cast("double")).alias(s) for s in scores])
-    best = clean.groupBy(group, item).agg(*[F.max(s).alias(s) for s in scores])
-    out = best.withColumn("flow", F.lit(0.0))
-    for i, (s, w) in enumerate(scores.items()):
-        f = net_flow(percentiles(best, group, s), group, indifference, preference).select(F.col(group).alias(f"__g{i}"), F.col("value").alias(f"__v{i}"), F.col("flow").alias(f"__f{i}"))
-        out = out.join(f, F.col(group).eqNullSafe(F.col(f"__g{i}")) & (F.coalesce(F.col(s), F.lit(LOWEST)) == F.col(f"__v{i}")))
-        out = out.withColumn("flow", F.col("flow") + F.col(f"__f{i}") * (w / total)).drop(f"__g{i}", f"__v{i}", f"__f{i}")
-    return out.withColumn("flow", F.round("flow", 12) + 0.0)  # no negative zero
+    clean = df.where(F.col(item).isNotNull()).select(F.col(group).alias("__g"), F.col(item).alias("__item"), *[F.when(~F.isnan(F.col(s).cast("double")), F.col(s).cast("double")).alias(f"__s{i}") for i, s in enumerate(scores)])
+    best = clean.groupBy("__g", "__item").agg(*[F.max(f"__s{i}").alias(f"__s{i}") for i in range(len(scores))])
+    kinds = [F.struct(F.lit(i).alias("crit"), F.col(f"__s{i}").alias("raw"), F.coalesce(F.col(f"__s{i}"), F.lit(LOWEST)).alias("value"), F.lit(w / total).alias("weight")) for i, w in enumerate(scores.values())]
+    each = best.select("__g", "__item", F.inline(F.array(*kinds)))
+    counts = each.groupBy("__g", "crit", "value").agg(F.count("*").alias("cnt"))
+    flows = net_flow(percentiles(counts, ["__g", "crit"]), ["__g", "crit"], indifference, preference)
+    parts = F.ceil(F.col("cnt") / HOT).cast("int")
+    # at most one row per HOT rows of the table
+    hot = F.broadcast(counts.where(F.col("cnt") > HOT).select(F.col("__g").alias("hg"), F.col("crit").alias("hc"), F.col("value").alias("hv"), parts.alias("parts")))
+    each = each.join(hot, F.col("__g").eqNullSafe(F.col("hg")) & (F.col("crit") == F.col("hc")) & (F.col("value") == F.col("hv")), "left")
+    each = each.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("__item"), F.col("parts")), F.lit(0)).cast("int")).drop("hg", "hc", "hv", "parts")
+    flows = flows.select(F.col("__g").alias("fg"), F.col("crit").alias("fc"), F.col("value").alias("fv"), "flow", F.explode(F.sequence(F.lit(0), F.greatest(parts - 1, F.lit(0)))).alias("fs"))
+    met = each.join(flows, F.col("__g").eqNullSafe(F.col("fg")) & (F.col("crit") == F.col("fc")) & (F.col("value") == F.col("fv")) & (F.col("salt") == F.col("fs")))
+    raw = [F.max(F.when(F.col("crit") == i, F.col("raw"))).alias(s) for i, s in enumerate(scores)]
+    # summed in the order of the scores, so that equal items get equal flows
+    flow = reduce(lambda a, b: a + b, [F.max(F.when(F.col("crit") == i, F.col("flow") * F.col("weight"))) for i in range(len(scores))])
+    out = met.groupBy("__g", "__item").agg(*raw, (F.round(flow, 12) + 0.0).alias("flow"))  # no negative zero
+    return out.withColumnsRenamed({"__g": group, "__item": item})
 
 
 def top_items(ranked: DataFrame, k: int, group: str = "query_id", item: str = "id") -> DataFrame:

@@ -9,7 +9,13 @@ WHERE chunk_id IS NOT NULL AND length(content) > CASE
   ELSE chunk_size[chunk_level + 1] END
 """
 
-_P5 = """
+
+
+def _p5(indifference: float, preference: float) -> str:
+    """Net flows by explicit comparison of all pairs of a query's hits."""
+    pref = f"CASE WHEN {{d}} <= {indifference} THEN 0 WHEN {{d}} >= {preference} THEN 1 ELSE ({{d}} - {indifference}) / ({preference} - {indifference}) END"
+    flow = " + ".join(f"({pref.format(d=f'(a.{c} - b.{c})')}) - ({pref.format(d=f'(b.{c} - a.{c})')})" for c in ("ps", "pr"))
+    return f"""
 WITH best AS (
   SELECT query_id, id, max(score) AS score, max(rerank_score) AS rerank_score FROM hits WHERE id IS NOT NULL GROUP BY ALL
 ), filled AS (
@@ -18,16 +24,21 @@ WITH best AS (
   SELECT *, (rank() OVER (PARTITION BY query_id ORDER BY s) - 1 + 0.5 * count(*) OVER (PARTITION BY query_id, s)) / n AS ps,
             (rank() OVER (PARTITION BY query_id ORDER BY r) - 1 + 0.5 * count(*) OVER (PARTITION BY query_id, r)) / n AS pr FROM filled
 ), flows AS (
-  SELECT query_id, id, round(CASE WHEN n > 1 THEN ((ps - 0.5) + (pr - 0.5)) / 2 * n / (n - 1) ELSE 0 END, 12) + 0.0 AS flow FROM ranked
+  SELECT a.query_id, a.id, round(CASE WHEN any_value(a.n) > 1 THEN sum({flow}) / 2 / (any_value(a.n) - 1) ELSE 0 END, 12) + 0.0 AS flow
+  FROM ranked a JOIN ranked b ON a.query_id IS NOT DISTINCT FROM b.query_id GROUP BY a.query_id, a.id
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY flow DESC, id) AS position FROM flows
 )
 """
 
+
+_P5 = _p5(0.0, 1.0)
+
 SQL: dict[str, str] = {
     "p3_found": _P3,
     "p5_found": _P5 + "SELECT query_id, id FROM placed WHERE position <= 3",
     "p5_ranking": _P5 + "SELECT query_id, id, round(flow, 6) + 0.0 AS flow, position FROM placed",
+    "p5_threshold_ranking": _p5(0.05, 0.5) + "SELECT query_id, id, round(flow, 6) + 0.0 AS flow, position FROM placed",
     "p7_found": "SELECT DISTINCT spec_id, doc_id FROM documents, pack_specs WHERE coalesce(octet_length(encode(text)), 0) + 1 > capacity",
     "p8_found": """
 WITH have AS (SELECT source, sum(coalesce(octet_length(encode(text)), 0) + 1) AS t FROM documents GROUP BY source)
