@@ -24,7 +24,7 @@ def test_pieces_join_to_the_text(text, limit, overlap):
     assert all(b - a <= limit for a, b in spans)
     joined, last = "", 0
     for i, (a, b) in enumerate(spans):
-        assert a <= last and (i == 0 or last - a == min(overlap, limit // 2)) and b > last or len(spans) == 1
+        assert a <= last and (i == 0 or last - a == min(overlap, limit - 1)) and b > last or len(spans) == 1
         joined += text[last:b]
         last = b
     assert joined == text
@@ -249,3 +249,15 @@ def test_kinds(spark):
         assert r["n_lines"] == 0 or abs(sum(r[f"{k}_share"] for k in quality.KINDS) - 1) < 1e-4
     assert quality.text_quality(df.limit(0), words).count() == 0
     assert quality.text_quality(df.union(df), words.limit(0)).count() == 2 * len(rows)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=5), st.integers(1, 9), st.integers(0, 99))
+def test_tasks_find_the_shards_of_the_tree(quotas, shards, seed):
+    upto = np.vstack([np.zeros(len(quotas), dtype=np.int64), mixing.split_quotas(np.array(quotas), shards, seed).cumsum(axis=0)])
+    source = np.repeat(np.arange(len(quotas)), quotas)
+    at = np.concatenate([np.arange(q) for q in quotas])
+    want = [int(np.searchsorted(upto[1:, s], a, side="right")) for s, a in zip(source, at)]
+    order = np.random.default_rng(seed).permutation(len(at))[: len(at) // 2 + 1]
+    got = mixing.shards_of(source[order], at[order], np.array(quotas), shards, seed)
+    assert got.tolist() == [want[i] for i in order]
