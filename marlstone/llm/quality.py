@@ -12,27 +12,31 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.session import materialize, spread
+
 KINDS = ["prose", "list", "table", "junk"]
 #: Shapes a line can have: garbled, fields, item, sentences, running text without end, short fragment.
 SHAPES = ["garbled", "fields", "item", "sentences", "running", "fragment"]
 
-# The model before training, rows by KINDS, columns by SHAPES.
-SHAPE_PRIOR = [
-    [0.01, 0.01, 0.06, 0.60, 0.22, 0.10],
-    [0.01, 0.02, 0.62, 0.02, 0.03, 0.30],
-    [0.01, 0.80, 0.05, 0.01, 0.01, 0.12],
-    [0.86, 0.04, 0.02, 0.02, 0.03, 0.03],
-]
-# Share of common words in four steps (none, below 0.1, below 0.25, more), rows by KINDS.
-COMMON_PRIOR = [
-    [0.10, 0.25, 0.35, 0.30],
-    [0.60, 0.28, 0.10, 0.02],
-    [0.75, 0.20, 0.04, 0.01],
-    [0.70, 0.20, 0.07, 0.03],
-]
+# The model before training: for each statistic of a line, rows by KINDS, columns by its steps.
+PRIORS: dict[str, list[list[float]]] = {
+    # SHAPES
+    "shape": [[0.01, 0.01, 0.06, 0.58, 0.22, 0.12], [0.01, 0.02, 0.60, 0.02, 0.03, 0.32], [0.01, 0.80, 0.05, 0.01, 0.01, 0.12], [0.82, 0.05, 0.02, 0.04, 0.04, 0.03]],
+    # share of common words: none, below 0.1, below 0.25, more; the last is a short fragment, of which it tells nothing
+    "common": [[0.10, 0.25, 0.35, 0.25, 0.05], [0.55, 0.25, 0.10, 0.05, 0.05], [0.72, 0.18, 0.04, 0.01, 0.05], [0.65, 0.18, 0.08, 0.04, 0.05]],
+    # signs and digits inside words, per word: below 0.05, below 0.2, more
+    "damage": [[0.969, 0.03, 0.001], [0.95, 0.045, 0.005], [0.85, 0.12, 0.03], [0.35, 0.15, 0.50]],
+    # digits among the characters: none, below 0.1, below 0.3, more
+    "digits": [[0.50, 0.40, 0.08, 0.02], [0.45, 0.38, 0.14, 0.03], [0.08, 0.24, 0.32, 0.36], [0.40, 0.20, 0.20, 0.20]],
+    # other signs among the characters: below 0.06, below 0.15, below 0.35, more
+    "signs": [[0.48, 0.45, 0.06, 0.01], [0.28, 0.48, 0.20, 0.04], [0.17, 0.45, 0.30, 0.08], [0.25, 0.20, 0.20, 0.35]],
+    # ends like a sentence: no, yes
+    "ended": [[0.30, 0.70], [0.92, 0.08], [0.94, 0.06], [0.75, 0.25]],
+}
+FEATURES = list(PRIORS)
 STAY = 0.88
-#: Lines the prior counts as in training, and documents the training reads.
-PRIOR_LINES, TRAIN_DOCS, TRAIN_ROUNDS = 2000, 4000, 3
+#: Lines the prior counts as in training, at least, and rounds of training.
+PRIOR_LINES, TRAIN_ROUNDS = 2000, 2
 #: A document is natural prose when prose lines hold at least this share of its characters.
 PROSE_SHARE = 0.2
 
@@ -54,18 +58,19 @@ MACHINE = re.compile(r"(?<!\S)(?:null|undefined|nan|none|http|%|&&|0x[0-9a-f]+|i
 HEX = re.compile(r"\s*(?:[0-9a-fA-F]{2}[\s:]){6}")
 BLOB = re.compile(r"[A-Za-z0-9+/=_-]{36,}")
 BROKEN = re.compile(r"�|ï¿½|Ã.|â€|Â.|Ð.|Ñ.|å.|[\x00-\x08\x0e-\x1f]")
+#: Signs and digits between letters, and stray signs and single letters between ideographs, as damaged scans have.
+DAMAGE = re.compile(r"(?<=[^\W\d_㐀-鿿])[0-9#~^|@\\$%]+(?=[^\W\d_㐀-鿿])|(?<=[㐀-鿿，。])[#~^|@\\$_]+|[#~^|@\\$_]+(?=[㐀-鿿，。])|(?<=[㐀-鿿])[A-Za-z0](?=[㐀-鿿])|(?<=\s)[#~^|]+(?=[^\W\d_])")
 #: Contents that stand for nothing.
 NOTHING = {"null", "none", "nan", "n/a", "undefined", "...", "…", "-", "?"}
 
 
 @dataclass(frozen=True)
 class LineModel:
-    """Log probabilities: start (kinds), step (kinds x kinds), shape (kinds x shapes), common (kinds x steps)."""
+    """Log probabilities: start (kinds), step (kinds x kinds), and for each statistic (kinds x its steps)."""
 
     start: np.ndarray
     step: np.ndarray
-    shape: np.ndarray
-    common: np.ndarray
+    emit: tuple[np.ndarray, ...]
 
 
 def _normal(counts: np.ndarray) -> np.ndarray:
@@ -76,7 +81,7 @@ def prior_model() -> LineModel:
     k = len(KINDS)
     step = np.full((k, k), (1 - STAY) / (k - 1))
     np.fill_diagonal(step, STAY)
-    return LineModel(np.log(np.full(k, 1 / k)), np.log(step), _normal(np.array(SHAPE_PRIOR)), _normal(np.array(COMMON_PRIOR)))
+    return LineModel(np.log(np.full(k, 1 / k)), np.log(step), tuple(_normal(np.array(PRIORS[f])) for f in FEATURES))
 
 
 class WordList:
@@ -143,8 +148,13 @@ def row_columns(lines: list[str]) -> int:
     return n if n > 1 and lines_with >= 0.7 * len(lines) else 0
 
 
-def read_lines(text: str, words: WordList) -> tuple[list[tuple[int, int, int]], dict[str, float]]:
-    """(shape, common step, characters) of each line that isn't blank, and the statistics of the text."""
+def steps(x: float, *bounds: float) -> int:
+    """How many of the bounds the value reaches."""
+    return sum(x >= b for b in bounds)
+
+
+def read_lines(text: str, words: WordList) -> tuple[list[tuple[int, ...]], list[int], dict[str, float]]:
+    """(steps of FEATURES of each line that isn't blank, its characters, the statistics of the text)."""
     seen = []
     n_words = letters_all = hits_all = ended = symbols = solid = 0
     parts: list[str] = []
@@ -172,8 +182,17 @@ def read_lines(text: str, words: WordList) -> tuple[list[tuple[int, int, int]],
     bare = text.strip()
     nothing = len(seen) == 1 and (bare.lower() in NOTHING or len(bare) < 4 and not any(map(str.isalpha, bare)))
     columns = row_columns([x[0] for x in seen])
-    out = [(0 if repeated or nothing else 1 if columns and delimiters(x[0]) == columns else line_shape(*x), 0 if not x[5] else 1 if x[5] < 0.1 else 2 if x[5] < 0.25 else 3, len(x[0])) for x in seen]
-    return out, {
+    out = []
+    for x, tokens, letters, cjk, digits, common in seen:
+        if repeated or nothing:  # what says nothing new is garbled, whatever its lines look like
+            out.append((0, 0, 2, 0, 3, 0))
+            continue
+        shape = 1 if columns and delimiters(x) == columns else line_shape(x, tokens, letters, cjk, digits, common)
+        filled = max(1, len(x) - x.count(" "))
+        damage = len(DAMAGE.findall(x)) / max(1.0, len(tokens) + cjk / 3) if letters else 0.0
+        told = 4 if shape == 5 else steps(common, 1e-9, 0.1, 0.25)
+        out.append((shape, told, steps(damage, 0.05, 0.2), steps(digits / filled, 1e-9, 0.1, 0.3), steps((filled - letters - digits) / filled, 0.06, 0.15, 0.35), int(bool(END.search(x)))))
+    return out, [len(x[0]) for x in seen], {
         "n_lines": len(seen),
         "n_words": n_words,
         "mean_word_length": letters_all / n_words if n_words else 0.0,
@@ -184,10 +203,10 @@ def read_lines(text: str, words: WordList) -> tuple[list[tuple[int, int, int]],
     }
 
 
-def best_paths(docs: list[list[tuple[int, int, int]]], model: LineModel) -> list[np.ndarray]:
-    """Most likely kinds of the lines of each document (Viterbi), many documents in step."""
+def best_paths(docs: list[np.ndarray], model: LineModel) -> list[np.ndarray]:
+    """Most likely kinds of the lines (lines x FEATURES) of each document (Viterbi), many documents in step."""
     out: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * len(docs)
-    order = sorted((i for i, d in enumerate(docs) if d), key=lambda i: len(docs[i]))
+    order = sorted((i for i, d in enumerate(docs) if len(d)), key=lambda i: len(docs[i]))
     at = 0
     while at < len(order):
         end = at + 1
@@ -195,19 +214,20 @@ def best_paths(docs: list[list[tuple[int, int, int]]], model: LineModel) -> list
             end += 1
         part = order[at:end]
         at = end
-        longest = len(docs[part[-1]])
         sizes = np.array([len(docs[i]) for i in part])
-        obs = np.zeros((len(part), longest, 2), dtype=np.int64)
-        for r, i in enumerate(part):
-            obs[r, : sizes[r]] = [x[:2] for x in docs[i]]
+        longest = int(sizes[-1])
+        lines = np.concatenate([docs[i] for i in part]).astype(np.int64)
+        told = sum(e.T[lines[:, f]] for f, e in enumerate(model.emit))
+        obs = np.zeros((len(part), longest, len(KINDS)))
+        obs[np.arange(longest)[None, :] < sizes[:, None]] = told
         back = np.zeros((len(part), longest, len(KINDS)), dtype=np.int8)
-        score = model.start + model.shape.T[obs[:, 0, 0]] + model.common.T[obs[:, 0, 1]]
+        score = model.start + obs[:, 0]
         final = score.copy()
         for t in range(1, longest):
             live = int(np.searchsorted(sizes, t, side="right"))
             via = score[live:, :, None] + model.step
             back[live:, t] = via.argmax(axis=1)
-            score[live:] = via.max(axis=1) + model.shape.T[obs[live:, t, 0]] + model.common.T[obs[live:, t, 1]]
+            score[live:] = via.max(axis=1) + obs[live:, t]
             final[live:] = score[live:]
         state = final.argmax(axis=1)
         path = np.zeros((len(part), longest), dtype=np.int64)
@@ -222,19 +242,29 @@ def best_paths(docs: list[list[tuple[int, int, int]]], model: LineModel) -> list
     return out
 
 
-def train(docs: list[list[tuple[int, int, int]]], rounds: int = TRAIN_ROUNDS) -> LineModel:
-    """Fit the model to unlabelled documents by Viterbi training, held by the prior."""
-    base, model = prior_model(), prior_model()
+def count_paths(docs: list[np.ndarray], model: LineModel) -> list[np.ndarray]:
+    """Counts of the steps between kinds and of each statistic by kind on the best paths."""
     k = len(KINDS)
+    out = [np.zeros((k, k)), *[np.zeros_like(e) for e in model.emit]]
+    for d, p in zip(docs, best_paths(docs, model)):
+        np.add.at(out[0], (p[:-1], p[1:]), 1)
+        for f in range(len(model.emit)):
+            np.add.at(out[f + 1], (p, d[:, f]), 1)
+    return out
+
+
+def refit(base: LineModel, counts: list[np.ndarray]) -> LineModel:
+    """The mean of the prior and of what was counted, kind by kind; the prior holds however many lines there are."""
+    tables = [base.step, *base.emit]
+    new = [_normal(c + np.exp(t) * np.maximum(PRIOR_LINES, c.sum(axis=1, keepdims=True))) for c, t in zip(counts, tables)]
+    return LineModel(base.start, new[0], tuple(new[1:]))
+
+
+def train(docs: list[np.ndarray], rounds: int = TRAIN_ROUNDS) -> LineModel:
+    """Fit the model to unlabelled documents by Viterbi training, held by the prior."""
+    base = model = prior_model()
     for _ in range(rounds):
-        step, shape, common = (PRIOR_LINES * np.exp(x) for x in (base.step, base.shape, base.common))
-        for d, p in zip(docs, best_paths(docs, model)):
-            if d:
-                np.add.at(step, (p[:-1], p[1:]), 1)
-                np.add.at(shape, (p, [x[0] for x in d]), 1)
-                np.add.at(common, (p, [x[1] for x in d]), 1)
-        model = LineModel(base.start, *map(_normal, (step, shape, common)))
-    assert model.step.shape == (k, k)
+        model = refit(base, count_paths(docs, model))
     return model
 
 
@@ -246,45 +276,73 @@ def common_words(words: DataFrame) -> WordList:
     return WordList(got)
 
 
-def fit_line_model(docs: DataFrame, words: WordList, id_col: str = "doc_id", text_col: str = "text", sample: int = TRAIN_DOCS) -> LineModel:
-    """Train on the sample documents of smallest id hash, read by tasks; the driver gets their line codes."""
-    picked = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text")).orderBy("h", "text").limit(sample)
+STATS = ["n_lines", "n_words", "mean_word_length", "symbol_ratio", "ended_line_share", "common_word_share", "distinct_part_share"]
+
+
+def line_table(docs: DataFrame, listed: WordList, id_col: str, text_col: str) -> DataFrame:
+    """(id, n_chars, STATS, codes, sizes): what is read from every text, once; codes and sizes of lines as bytes."""
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"h": pdf["h"], "code": [bytes(v for s, c, _ in read_lines(t, words)[0] for v in (s, c)) for t in pdf["text"]]})
+            got = [read_lines(t, listed) for t in pdf["text"]]
+            out = {"id": pdf["id"], "n_chars": pdf["text"].str.len()} | {s: [x[2][s] for x in got] for s in STATS}
+            out |= {"codes": [np.array(x[0], dtype=np.uint8).tobytes() for x in got], "sizes": [np.array(x[1], dtype=np.int32).tobytes() for x in got]}
+            yield pd.DataFrame(out)
+
+    id_type = src.schema["id"].dataType.simpleString()
+    return src.mapInPandas(read, f"id {id_type}, n_chars long, n_lines long, n_words long, mean_word_length double, symbol_ratio double, ended_line_share double, common_word_share double, distinct_part_share double, codes binary, sizes binary")
+
+
+def _codes(column: pd.Series) -> list[np.ndarray]:
+    return [np.frombuffer(c, dtype=np.uint8).reshape(-1, len(FEATURES)) for c in column]
 
-    codes = [r["code"] for r in picked.mapInPandas(read, "h long, code binary").orderBy("h", "code").collect()]
-    return train([[(c[i], c[i + 1], 0) for i in range(0, len(c), 2)] for c in codes])
+
+def fit_line_model(lines: DataFrame, rounds: int = TRAIN_ROUNDS) -> LineModel:
+    """Viterbi training over the lines of all documents: each round, tasks count along their best paths and the driver gets the sums."""
+    base = model = prior_model()
+    shapes = [base.step.shape, *[e.shape for e in base.emit]]
+    ends = np.cumsum([a * b for a, b in shapes])
+    for _ in range(rounds):
+
+        def count(batches: Iterator[pd.DataFrame], model: LineModel = model) -> Iterator[pd.DataFrame]:
+            total = np.zeros(ends[-1])
+            for pdf in batches:
+                total += np.concatenate([c.ravel() for c in count_paths(_codes(pdf["codes"]), model)])
+            yield pd.DataFrame({"place": np.arange(len(total)), "n": total})
+
+        got = lines.select("codes").mapInPandas(count, "place int, n double").groupBy("place").agg(F.sum("n").alias("n")).collect()
+        flat = np.zeros(ends[-1])
+        for r in got:
+            flat[r["place"]] = r["n"]
+        model = refit(base, [c.reshape(s) for c, s in zip(np.split(flat, ends[:-1]), shapes)])
+    return model
 
 
 def text_quality(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: LineModel | None = None, prose_share: float = PROSE_SHARE) -> DataFrame:
     """One row per document: statistics, share of characters in lines of each kind, and the document's kind.
 
-    Rows stay where they are (no shuffle); whole texts are read. A document is prose when prose lines hold
+    Whole texts are read once, where they are (no shuffle); the steps of their lines are written, the model is
+    trained on those of all documents (unless given) and labels them. A document is prose when prose lines hold
     prose_share of its characters, else of the kind that holds most; NULL, empty and blank texts are junk with
-    zero statistics. Repeated rows give repeated rows. An empty table gives none. The model is trained on a
-    bounded sample (TRAIN_DOCS documents) unless given.
+    zero statistics. Repeated rows give repeated rows. An empty table gives none.
     """
-    listed = common_words(words)
-    model = model or fit_line_model(docs, listed, id_col, text_col)
-    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    stats = ["n_lines", "n_words", "mean_word_length", "symbol_ratio", "ended_line_share", "common_word_share", "distinct_part_share"]
+    lines = line_table(docs, common_words(words), id_col, text_col)
+    if model is None:
+        lines = spread(materialize(lines))
+        model = fit_line_model(lines)
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            read = [read_lines(t, listed) for t in pdf["text"]]
-            shares = np.zeros((len(read), len(KINDS)))
-            for i, ((d, _), p) in enumerate(zip(read, best_paths([d for d, _ in read], model))):
-                if d:
-                    shares[i] = np.bincount(p, [x[2] for x in d], len(KINDS))
+            shares = np.zeros((len(pdf), len(KINDS)))
+            for i, (p, n) in enumerate(zip(best_paths(_codes(pdf["codes"]), model), pdf["sizes"])):
+                if len(p):
+                    shares[i] = np.bincount(p, np.frombuffer(n, dtype=np.int32), len(KINDS))
                     shares[i] /= shares[i].sum()
             other = shares[:, 1:].argmax(axis=1) + 1
             kind = np.where(shares[:, 0] >= prose_share, 0, np.where(shares.sum(axis=1) > 0, other, 3))
-            out = {"id": pdf["id"], "n_chars": pdf["text"].str.len()} | {s: [x[s] for _, x in read] for s in stats}
-            out |= {f"{k}_share": shares[:, j].round(6) for j, k in enumerate(KINDS)} | {"kind": [KINDS[k] for k in kind]}
-            yield pd.DataFrame(out).round({s: 6 for s in stats})
+            out = pdf.drop(columns=["codes", "sizes"]).round({s: 6 for s in STATS})
+            yield out.assign(**{f"{k}_share": shares[:, j].round(6) for j, k in enumerate(KINDS)}, kind=[KINDS[k] for k in kind])
 
-    id_type = src.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, n_chars long, n_lines long, n_words long, mean_word_length double, symbol_ratio double, ended_line_share double, common_word_share double, distinct_part_share double, prose_share double, list_share double, table_share double, junk_share double, kind string"
-    return src.mapInPandas(label, schema).withColumnRenamed("id", id_col)
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema if f.name not in ("codes", "sizes"))
+    return lines.mapInPandas(label, f"{kept}, " + ", ".join(f"{k}_share double" for k in KINDS) + ", kind string").withColumnRenamed("id", id_col)

@@ -219,13 +219,14 @@ def test_viterbi_equals_all_paths():
 
     model = quality.prior_model()
     rng = random.Random(7)
-    docs = [[(rng.randrange(6), rng.randrange(4), 1) for _ in range(rng.randrange(6))] for _ in range(40)]
+    sizes = [len(quality.PRIORS[f][0]) for f in quality.FEATURES]
+    docs = [np.array([[rng.randrange(n) for n in sizes] for _ in range(rng.randrange(6))], dtype=np.uint8).reshape(-1, len(sizes)) for _ in range(40)]
     for d, path in zip(docs, quality.best_paths(docs, model)):
         def score(p):
             s = model.start[p[0]] + sum(model.step[a, b] for a, b in zip(p, p[1:]))
-            return s + sum(model.shape[k, x[0]] + model.common[k, x[1]] for k, x in zip(p, d))
+            return s + sum(e[k, v] for k, x in zip(p, d) for e, v in zip(model.emit, x))
 
-        if d:
+        if len(d):
             best = max(score(p) for p in itertools.product(range(4), repeat=len(d)))
             assert score(tuple(path)) == pytest.approx(best)
         else:
@@ -235,9 +236,9 @@ def test_viterbi_equals_all_paths():
 def test_kinds(spark):
     cases = {
         "prose": [PROSE, "\n".join([PROSE[i : i + 40] for i in range(0, len(PROSE), 40)]), f"A title\n\n{PROSE} {PROSE}\n- one item\n- another item", "我们没有在之前的试验里看到这个问题，因为每个索引都已经更新。所以可以先把结果和之前的比较。"],
-        "list": ["- first item\n- second item\n- third item", "1. one thing\n2. other thing\n3. last thing", "1.1 Start ........ 3\n1.2 Middle ........ 9\n1.3 End ...... 12", "合并分数; 抽样字段; 清空向量; 校验链接; 导出结果; 冻结标签"],
+        "list": ["- first item\n- second item\n- third item", "1. one thing\n2. other thing\n3. last thing", "1.1 Start ........ 3\n1.2 Middle ........ 9\n1.3 End ...... 12", "合并分数; 抽样字段; 清空向量; 校验链接; 导出结果; 冻结标签", "Notes on the red fox\nLimits of the sea\nAbout a small index\nNotes on the old cache\nMoving the index"],
         "table": ["| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |", "x_1=5  y_2=6  z_3=7\nx_4=1  y_5=2  z_6=3", "name\tn\nfox\t3\nsea\t4", "2025-01-02   12   7  3%\n2025-01-03   14   9  4%"],
-        "junk": ["", "   \n ", None, "null", "@#$%^&*()_+{}|:<>?~", "0f a4 33 9c d1 77 e0 12 5b", "Same words again here. " * 12, "ï¿½Ã¤ Ã¼â€œ ï¿½ï¿½ Ã©Ã¶ ï¿½"],
+        "junk": ["", "   \n ", None, "null", "@#$%^&*()_+{}|:<>?~", "0f a4 33 9c d1 77 e0 12 5b", "Same words again here. " * 12, "ï¿½Ã¤ Ã¼â€œ ï¿½ï¿½ Ã©Ã¶ ï¿½", "T#e i5dex w^s n0t th3re ~nd so i^ ha5 be#n bu1lt ag~in fo0 the te|m be#ause i5 was l0st.", "我们没#在之~的试验l看到|个问题，因O每0索引都^经更新。"],
     }
     rows = [(i, t, k) for i, (k, t) in enumerate((k, t) for k, ts in cases.items() for t in ts)]
     df = spark.createDataFrame(rows, "doc_id int, text string, want string").withColumn("kind", F.lit("mine"))
