@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from marlstone.operators.prefix import running_totals
 
 LOWEST = float("-inf")
-#: Items of one group that share a value, above which they are spread over several tasks.
+#: Rows of a group up to which one task sorts it; larger groups are spread by range. Both ways give the same flows.
+LARGE = 200_000
+#: Items of one large group that share a value, above which they are spread over several tasks.
 HOT = 100_000
 
 
@@ -44,16 +46,61 @@ def net_flow(pcts: DataFrame, group: list[str], indifference: float, preference:
     return at.select(*group, "value", F.when(c("n") > 1, (plus - minus) / (c("n") - 1)).otherwise(F.lit(0.0)).alias("flow"), c("held").alias("cnt"))
 
 
-def outrank(df: DataFrame, group: str = "query_id", item: str = "id", scores: dict[str, float] | None = None, indifference: float = 0.0, preference: float = 1.0) -> DataFrame:
+def _windowed(best: DataFrame, weights: list[float], indifference: float, preference: float) -> DataFrame:
+    """best (__g, __item, __s0, ...) with flow: the prefix sums as ranges of sorted windows, one exchange for all scores."""
+    out, flow = best, F.lit(0.0)
+    n = F.count("*").over(Window.partitionBy("__g")).alias("n")
+    out = out.select("*", n, *[F.coalesce(F.col(f"__s{i}"), F.lit(LOWEST)).alias(f"v{i}") for i in range(len(weights))])
+    for i in range(len(weights)):
+        by_value = Window.partitionBy("__g").orderBy(f"v{i}")
+        upto = F.count("*").over(by_value.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        ties = F.count("*").over(by_value.rangeBetween(Window.currentRow, Window.currentRow))
+        out = out.withColumn(f"p{i}", (2 * upto - ties) / (2.0 * F.col("n")))
+    q, p = float(indifference), float(preference)
+    for i, w in enumerate(weights):
+        over = lambda what, frm, to: F.expr(f"coalesce(sum({what}) OVER (PARTITION BY __g ORDER BY p{i} RANGE BETWEEN {frm} AND {to}), 0)")  # noqa: E731, B023
+        x = F.col(f"p{i}")
+        # ahead of x by more than q and up to p: the slope; beyond p: 1 each
+        far_below, far_above = over("1D", "UNBOUNDED PRECEDING", f"{p!r}D PRECEDING"), over("1D", f"{p!r}D FOLLOWING", "UNBOUNDED FOLLOWING")
+        below, above = over("1D", "UNBOUNDED PRECEDING", f"{q!r}D PRECEDING") - far_below, over("1D", f"{q!r}D FOLLOWING", "UNBOUNDED FOLLOWING") - far_above
+        mass_below = over(f"p{i}", "UNBOUNDED PRECEDING", f"{q!r}D PRECEDING") - over(f"p{i}", "UNBOUNDED PRECEDING", f"{p!r}D PRECEDING")
+        mass_above = over(f"p{i}", f"{q!r}D FOLLOWING", "UNBOUNDED FOLLOWING") - over(f"p{i}", f"{p!r}D FOLLOWING", "UNBOUNDED FOLLOWING")
+        plus = far_below + ((x - q) * below - mass_below) / (p - q)
+        minus = far_above + (mass_above - (x + q) * above) / (p - q)
+        out = out.withColumn(f"f{i}", F.when(F.col("n") > 1, (plus - minus) / (F.col("n") - 1)).otherwise(F.lit(0.0)))
+        flow = flow + F.col(f"f{i}") * w
+    return out.withColumn("flow", flow).select(*best.columns, "flow")
+
+
+def _ranged(best: DataFrame, weights: list[float], indifference: float, preference: float) -> DataFrame:
+    """The same for groups of any size: values are counted, prefix sums spread by range, items that share a value by their hash."""
+    kinds = [F.struct(F.lit(i).alias("crit"), F.col(f"__s{i}").alias("raw"), F.coalesce(F.col(f"__s{i}"), F.lit(LOWEST)).alias("value"), F.lit(w).alias("weight")) for i, w in enumerate(weights)]
+    each = best.select("__g", "__item", F.inline(F.array(*kinds)))
+    counts = each.groupBy("__g", "crit", "value").agg(F.count("*").alias("cnt"))
+    flows = net_flow(percentiles(counts, ["__g", "crit"]), ["__g", "crit"], indifference, preference)
+    parts = F.ceil(F.col("cnt") / HOT).cast("int")
+    # at most one row per HOT rows of the table
+    hot = F.broadcast(counts.where(F.col("cnt") > HOT).select(F.col("__g").alias("hg"), F.col("crit").alias("hc"), F.col("value").alias("hv"), parts.alias("parts")))
+    each = each.join(hot, F.col("__g").eqNullSafe(F.col("hg")) & (F.col("crit") == F.col("hc")) & (F.col("value") == F.col("hv")), "left")
+    each = each.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("__item"), F.col("parts")), F.lit(0)).cast("int")).drop("hg", "hc", "hv", "parts")
+    flows = flows.select(F.col("__g").alias("fg"), F.col("crit").alias("fc"), F.col("value").alias("fv"), "flow", F.explode(F.sequence(F.lit(0), F.greatest(parts - 1, F.lit(0)))).alias("fs"))
+    met = each.join(flows, F.col("__g").eqNullSafe(F.col("fg")) & (F.col("crit") == F.col("fc")) & (F.col("value") == F.col("fv")) & (F.col("salt") == F.col("fs")))
+    raw = [F.max(F.when(F.col("crit") == i, F.col("raw"))).alias(f"__s{i}") for i in range(len(weights))]
+    # summed in the order of the scores, so that equal items get equal flows
+    flow = reduce(lambda a, b: a + b, [F.max(F.when(F.col("crit") == i, F.col("flow") * F.col("weight"))) for i in range(len(weights))])
+    return met.groupBy("__g", "__item").agg(*raw, flow.alias("flow"))
+
+
+def outrank(df: DataFrame, group: str = "query_id", item: str = "id", scores: dict[str, float] | None = None, indifference: float = 0.0, preference: float = 1.0, large: int | None = None) -> DataFrame:
     """(group, item, one column per score, flow): each item once, with its weighted net flow in [-1, 1].
 
     scores maps score columns to weights (default score and rerank_score, equal). An item met more than once in
     a group counts with its best value per score; NULL or NaN counts as the worst. Rows without item are left
     out; a NULL group is a group of its own; an item alone in its group has flow 0. Values change with ranks
-    only, so no score weighs more for its unit. All scores go through the same passes; groups of any size are spread over tasks by
-    range, and items of one group that share a value by their hash.
+    only, so no score weighs more for its unit. Groups of up to `large` rows are sorted by one task each, with one
+    exchange for all scores; larger ones are spread over tasks by range.
     """
-    scores = scores or {"score": 1.0, "rerank_score": 1.0}
+    scores, large = scores or {"score": 1.0, "rerank_score": 1.0}, LARGE if large is None else large
     if not 0 <= indifference < preference:
         raise ValueError("0 <= indifference < preference is required")
     total = sum(scores.values())
@@ -61,22 +108,15 @@ def outrank(df: DataFrame, group: str = "query_id", item: str = "id", scores: di
         raise ValueError("weights must not be negative and must sum to more than 0")
     clean = df.where(F.col(item).isNotNull()).select(F.col(group).alias("__g"), F.col(item).alias("__item"), *[F.when(~F.isnan(F.col(s).cast("double")), F.col(s).cast("double")).alias(f"__s{i}") for i, s in enumerate(scores)])
     best = clean.groupBy("__g", "__item").agg(*[F.max(f"__s{i}").alias(f"__s{i}") for i in range(len(scores))])
-    kinds = [F.struct(F.lit(i).alias("crit"), F.col(f"__s{i}").alias("raw"), F.coalesce(F.col(f"__s{i}"), F.lit(LOWEST)).alias("value"), F.lit(w / total).alias("weight")) for i, w in enumerate(scores.values())]
-    each = best.select("__g", "__item", F.inline(F.array(*kinds)))
-    counts = each.groupBy("__g", "crit", "value").agg(F.count("*").alias("cnt"))
-    flows = net_flow(percentiles(counts, ["__g", "crit"]), ["__g", "crit"], indifference, preference)
-    parts = F.ceil(F.col("cnt") / HOT).cast("int")
-    # at most one row per HOT rows of the table
-    hot = F.broadcast(counts.where(F.col("cnt") > HOT).select(F.col("__g").alias("hg"), F.col("crit").alias("hc"), F.col("value").alias("hv"), parts.alias("parts")))
-    each = each.join(hot, F.col("__g").eqNullSafe(F.col("hg")) & (F.col("crit") == F.col("hc")) & (F.col("value") == F.col("hv")), "left")
-    each = each.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("__item"), F.col("parts")), F.lit(0)).cast("int")).drop("hg", "hc", "hv", "parts")
-    flows = flows.select(F.col("__g").alias("fg"), F.col("crit").alias("fc"), F.col("value").alias("fv"), "flow", F.explode(F.sequence(F.lit(0), F.greatest(parts - 1, F.lit(0)))).alias("fs"))
-    met = each.join(flows, F.col("__g").eqNullSafe(F.col("fg")) & (F.col("crit") == F.col("fc")) & (F.col("value") == F.col("fv")) & (F.col("salt") == F.col("fs")))
-    raw = [F.max(F.when(F.col("crit") == i, F.col("raw"))).alias(s) for i, s in enumerate(scores)]
-    # summed in the order of the scores, so that equal items get equal flows
-    flow = reduce(lambda a, b: a + b, [F.max(F.when(F.col("crit") == i, F.col("flow") * F.col("weight"))) for i in range(len(scores))])
-    out = met.groupBy("__g", "__item").agg(*raw, (F.round(flow, 12) + 0.0).alias("flow"))  # no negative zero
-    return out.withColumnsRenamed({"__g": group, "__item": item})
+    how = ([w / total for w in scores.values()], indifference, preference)
+    big = clean.groupBy(F.col("__g").alias("hg")).count().where(F.col("count") > large).select("hg")
+    if big.isEmpty():
+        out = _windowed(best, *how)
+    else:  # at most one row per `large` rows of the table
+        same = F.col("__g").eqNullSafe(F.col("hg"))
+        out = _windowed(best.join(F.broadcast(big), same, "left_anti"), *how).unionByName(_ranged(best.join(F.broadcast(big), same, "left_semi"), *how))
+    out = out.withColumn("flow", F.round("flow", 12) + 0.0)  # no negative zero
+    return out.withColumnsRenamed({"__g": group, "__item": item} | {f"__s{i}": s for i, s in enumerate(scores)})
 
 
 def top_items(ranked: DataFrame, k: int, group: str = "query_id", item: str = "id") -> DataFrame:

@@ -85,13 +85,15 @@ def brute_flow(items, weights, q, p):
     return flows
 
 
+@pytest.mark.parametrize("large", [1000, 20, 0])
 @pytest.mark.parametrize("q,p", [(0.0, 1.0), (0.05, 0.4), (0.0, 0.3), (0.2, 1.0)])
-def test_flow_equals_all_pairs(spark, q, p):
+def test_flow_equals_all_pairs(spark, q, p, large, monkeypatch):
+    monkeypatch.setattr(ranking, "HOT", 3)
     rng = random.Random(3)
-    rows = [(g, f"i{k}", rng.choice([None, float("nan"), rng.random(), 0.5]), rng.choice([None, rng.randrange(5) * 1e6])) for g in ("a", None, "solo") for k in range(1 if g == "solo" else 23)]
+    rows = [(g, f"i{k}", rng.choice([None, float("nan"), rng.random(), 0.5]), rng.choice([None, rng.randrange(5) * 1e6])) for g in ("a", None, "solo", "b") for k in range(1 if g == "solo" else 15 if g == "b" else 23)]
     df = spark.createDataFrame(rows, "query_id string, id string, score double, rerank_score double").withColumn("flow", F.lit(9))
-    got = {(r["query_id"], r["id"]): r["flow"] for r in ranking.outrank(df, scores={"score": 1.0, "rerank_score": 3.0}, indifference=q, preference=p).collect()}
-    for g in ("a", None, "solo"):
+    got = {(r["query_id"], r["id"]): r["flow"] for r in ranking.outrank(df, scores={"score": 1.0, "rerank_score": 3.0}, indifference=q, preference=p, large=large).collect()}
+    for g in ("a", None, "solo", "b"):
         own = [r for r in rows if r[0] == g]
         for r, f in zip(own, brute_flow([x[2:] for x in own], [1.0, 3.0], q, p)):
             assert got[g, r[1]] == pytest.approx(f, abs=1e-9)
