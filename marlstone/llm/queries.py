@@ -88,6 +88,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(groups).select("field", F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    groups = lookalike.lookalike_groups(texts(spark, d, "chunks"), "chunk_id", ["content", "content_jieba"], "content", 300)
+    return lookalike.lookalike_classes(groups).withColumnRenamed("id", "chunk_id")
+
+
 def p6_forms(spark: SparkSession, d: str) -> DataFrame:
     forms = lookalike.unify(texts(spark, d, "chunks").select("chunk_id", "content", "content_jieba"), ["content", "content_jieba"])
     return forms.select("chunk_id", "content_form", "content_jieba_form")
@@ -128,4 +133,4 @@ def p9_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_quality(texts(spark, d, "documents"), table(spark, d, "common_words"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_nearest, p2_recall, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_ranking, p5_threshold_ranking, p6_found, p6_forms, p7_found, p7_packing, p7_fill, p8_found, p8_mixture, p8_shares, p9_found, p9_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_nearest, p2_recall, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_ranking, p5_threshold_ranking, p6_found, p6_classes, p6_forms, p7_found, p7_packing, p7_fill, p8_found, p8_mixture, p8_shares, p9_found, p9_quality)}
