@@ -58,8 +58,11 @@ MACHINE = re.compile(r"(?<!\S)(?:null|undefined|nan|none|http|%|&&|0x[0-9a-f]+|i
 HEX = re.compile(r"\s*(?:[0-9a-fA-F]{2}[\s:]){6}")
 BLOB = re.compile(r"[A-Za-z0-9+/=_-]{36,}")
 BROKEN = re.compile(r"�|ï¿½|Ã.|â€|Â.|Ð.|Ñ.|å.|[\x00-\x08\x0e-\x1f]")
-#: Signs and digits between letters, and stray signs and single letters between ideographs, as damaged scans have.
-DAMAGE = re.compile(r"(?<=[^\W\d_㐀-鿿])[0-9#~^|@\\$%]+(?=[^\W\d_㐀-鿿])|(?<=[㐀-鿿，。])[#~^|@\\$_]+|[#~^|@\\$_]+(?=[㐀-鿿，。])|(?<=[㐀-鿿])[A-Za-z0](?=[㐀-鿿])|(?<=\s)[#~^|]+(?=[^\W\d_])")
+# Signs and digits between letters, and stray signs and single letters between ideographs, as damaged scans have. The character
+# itself comes first, what stands before it is looked up after it: so lines are skipped through fast.
+LETTER, IDEOGRAPH = r"[^\W\d_㐀-鿿]", "[㐀-鿿，。]"
+DAMAGE = re.compile(rf"[0-9#~^|@\\$%](?:(?<={LETTER}.)[0-9#~^|@\\$%]*(?={LETTER})|(?<=\s[#~^|])[#~^|]*(?={LETTER}))")
+DAMAGE_DENSE = re.compile(rf"[A-Za-z0-9#~^|@\\$%_](?:(?<=[㐀-鿿][A-Za-z0])(?=[㐀-鿿])|(?<={IDEOGRAPH}[#~^|@\\$_])[#~^|@\\$_]*|(?<=[#~^|@\\$_])(?={IDEOGRAPH})|(?<={LETTER}[0-9#~^|@\\$%])[0-9#~^|@\\$%]*(?={LETTER}))")
 #: Contents that stand for nothing.
 NOTHING = {"null", "none", "nan", "n/a", "undefined", "...", "…", "-", "?"}
 
@@ -148,11 +151,6 @@ def row_columns(lines: list[str]) -> int:
     return n if n > 1 and lines_with >= 0.7 * len(lines) else 0
 
 
-def steps(x: float, *bounds: float) -> int:
-    """How many of the bounds the value reaches."""
-    return sum(x >= b for b in bounds)
-
-
 def read_lines(text: str, words: WordList) -> tuple[list[tuple[int, ...]], list[int], dict[str, float]]:
     """(steps of FEATURES of each line that isn't blank, its characters, the statistics of the text)."""
     seen = []
@@ -167,14 +165,14 @@ def read_lines(text: str, words: WordList) -> tuple[list[tuple[int, ...]], list[
         digits = sum(map(len, DIGITS.findall(x)))
         hits = words.hits(x, tokens, cjk)
         count = len(tokens) + cjk
-        seen.append((x, tokens, letters, cjk, digits, hits / count if count else 0.0))
+        ends, filled = int(bool(END.search(x))), len(x) - x.count(" ")
+        seen.append((x, tokens, letters, cjk, digits, hits / count if count else 0.0, ends, filled))
         if letters:
             parts += [p.strip() for p in STOP.split(x) if len(p) > 3]
         n_words += count
         letters_all += letters
         hits_all += hits
-        ended += bool(END.search(x))
-        filled = len(x) - x.count(" ")
+        ended += ends
         solid += filled
         symbols += filled - letters - digits
     distinct = len(set(parts)) / len(parts) if parts else 0.0
@@ -183,15 +181,15 @@ def read_lines(text: str, words: WordList) -> tuple[list[tuple[int, ...]], list[
     nothing = len(seen) == 1 and (bare.lower() in NOTHING or len(bare) < 4 and not any(map(str.isalpha, bare)))
     columns = row_columns([x[0] for x in seen])
     out = []
-    for x, tokens, letters, cjk, digits, common in seen:
+    for x, tokens, letters, cjk, digits, common, ends, filled in seen:
         if repeated or nothing:  # what says nothing new is garbled, whatever its lines look like
             out.append((0, 0, 2, 0, 3, 0))
             continue
         shape = 1 if columns and delimiters(x) == columns else line_shape(x, tokens, letters, cjk, digits, common)
-        filled = max(1, len(x) - x.count(" "))
-        damage = len(DAMAGE.findall(x)) / max(1.0, len(tokens) + cjk / 3) if letters else 0.0
-        told = 4 if shape == 5 else steps(common, 1e-9, 0.1, 0.25)
-        out.append((shape, told, steps(damage, 0.05, 0.2), steps(digits / filled, 1e-9, 0.1, 0.3), steps((filled - letters - digits) / filled, 0.06, 0.15, 0.35), int(bool(END.search(x)))))
+        damage = len((DAMAGE_DENSE if cjk else DAMAGE).findall(x)) / max(1.0, len(tokens) + cjk / 3) if letters else 0.0
+        told = 4 if shape == 5 else (common > 0) + (common >= 0.1) + (common >= 0.25)
+        some, signs = digits / filled, (filled - letters - digits) / filled
+        out.append((shape, told, (damage >= 0.05) + (damage >= 0.2), (some > 0) + (some >= 0.1) + (some >= 0.3), (signs >= 0.06) + (signs >= 0.15) + (signs >= 0.35), ends))
     return out, [len(x[0]) for x in seen], {
         "n_lines": len(seen),
         "n_words": n_words,
@@ -244,12 +242,16 @@ def best_paths(docs: list[np.ndarray], model: LineModel) -> list[np.ndarray]:
 
 def count_paths(docs: list[np.ndarray], model: LineModel) -> list[np.ndarray]:
     """Counts of the steps between kinds and of each statistic by kind on the best paths."""
-    k = len(KINDS)
-    out = [np.zeros((k, k)), *[np.zeros_like(e) for e in model.emit]]
-    for d, p in zip(docs, best_paths(docs, model)):
-        np.add.at(out[0], (p[:-1], p[1:]), 1)
-        for f in range(len(model.emit)):
-            np.add.at(out[f + 1], (p, d[:, f]), 1)
+    k, paths = len(KINDS), best_paths(docs, model)
+    if not any(map(len, docs)):
+        return [np.zeros((k, k)), *[np.zeros_like(e) for e in model.emit]]
+    lines, path = np.concatenate(docs), np.concatenate(paths)
+    inside = np.ones(len(path) - 1, dtype=bool)  # steps from one document to the next don't count
+    ends = np.cumsum([len(p) for p in paths])[:-1] - 1
+    inside[ends[(ends >= 0) & (ends < len(path) - 1)]] = False
+    out = [np.bincount((path[:-1] * k + path[1:])[inside], minlength=k * k).reshape(k, k).astype(float)]
+    for f, e in enumerate(model.emit):
+        out.append(np.bincount(path * e.shape[1] + lines[:, f], minlength=e.size).reshape(e.shape).astype(float))
     return out
 
 
