@@ -3,7 +3,7 @@
 A text is the set of its character windows. Each of BUCKETS registers keeps, for the windows that fall into
 it, the smallest hash as a count of leading zeros and a few mantissa bits. Bands of registers give candidate
 pairs; their Jaccard index is estimated from the registers with a correction for chance collisions, and what
-may reach the threshold is verified on the whole texts.
+may reach the threshold is verified on the 64-bit hashes of all windows of the whole texts.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.lookalike import MAX_GROWTH, ODD, ScriptModel, consistent, digest, fit_scripts
 from marlstone.operators.components import connected_components
+from marlstone.operators.skew import hot_keys, salted_join
 from marlstone.session import materialize
 
 #: Registers of a sketch (four hash functions of 64 buckets), mantissa bits of a register.
@@ -29,6 +30,8 @@ EMPTY = np.uint16(0xFFFF)
 MARGIN = 0.12
 #: Buckets larger than this are compared block by block on their sketches, in many tasks, instead of by a join.
 JOIN_BUCKET, BLOCK = 64, 1024
+#: Hashes of windows that a task keeps while it verifies pairs.
+CACHED_WINDOWS = 2_000_000
 # Fixed value: collision constant of the HyperMinHash paper (Yu and Weber, 2017).
 COLLISION = 0.169919487159739093975
 
@@ -94,7 +97,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketched_texts(df: DataFrame, id_col: str, text_col: str, width: int, min_chars: int, model: ScriptModel) -> DataFrame:
-    """(id, text_id, text, registers, keys) of the texts with min_chars characters in normal form, written once."""
+    """(id, text_id, text, windows, registers, keys) of the texts with min_chars characters in normal form, written once."""
     src = df.where(F.col(id_col).isNotNull() & (F.length(text_col) * MAX_GROWTH >= min_chars)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,12 +108,13 @@ def sketched_texts(df: DataFrame, id_col: str, text_col: str, width: int, min_ch
                     continue
                 t = normal(raw, model)
                 if len(t) >= max(1, min_chars):
-                    regs = sketch(window_hashes(t, width))
-                    rows.append((i, int.from_bytes(digest(t)[:8], "little", signed=True), t, regs.tobytes(), bands(regs)))
-            yield pd.DataFrame(rows, columns=["id", "text_id", "text", "registers", "keys"])
+                    hashes = window_hashes(t, width)
+                    regs = sketch(hashes)
+                    rows.append((i, int.from_bytes(digest(t)[:8], "little", signed=True), t, len(hashes), regs.tobytes(), bands(regs)))
+            yield pd.DataFrame(rows, columns=["id", "text_id", "text", "windows", "registers", "keys"])
 
     id_type = src.schema["id"].dataType.simpleString()
-    return materialize(src.mapInPandas(run, f"id {id_type}, text_id long, text string, registers binary, keys array<bigint>"))
+    return materialize(src.mapInPandas(run, f"id {id_type}, text_id long, text string, windows int, registers binary, keys array<bigint>"))
 
 
 def _estimated(pairs: DataFrame, regs: DataFrame, least: float) -> DataFrame:
@@ -127,21 +131,29 @@ def _estimated(pairs: DataFrame, regs: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "ra", "rb").mapInPandas(run, "a long, b long")
 
 
-def _blocks(members: DataFrame, regs: DataFrame, least: float) -> DataFrame:
-    """Pairs of large buckets: the bucket is cut into blocks, every pair of blocks is compared by one task."""
-    own = F.pmod(F.xxhash64("text_id", F.lit(3)), F.col("n_blocks")).cast("int")
-    cut = members.withColumn("n_blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", own)
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    cut = cut.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "text_id").join(regs, "text_id")
+def _blocks(members: DataFrame, regs: DataFrame, least: float, threshold: float) -> DataFrame:
+    """Pairs of large buckets, by blocks that many tasks compare.
+
+    A block holds texts of one class of sizes: a pair of index `threshold` has sizes within that ratio, so only
+    blocks of the same and of neighbouring classes meet.
+    """
+    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    size_class = F.floor(F.log(F.col("windows").cast("double")) / float(-np.log(threshold)) + 1e-9).cast("long")
+    own = F.struct(size_class.alias("c"), F.pmod(F.xxhash64("text_id", F.lit(3)), n_blocks).cast("int").alias("s"))
+    cut = members.select("bucket", "text_id", n_blocks.alias("n"), own.alias("own"))
+    cut = cut.select("*", F.explode(F.array(*[F.col("own.c") + d for d in (-1, 0, 1)])).alias("c"))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s")).withColumn("other", F.struct("c", "s"))
+    cut = cut.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("first"), "text_id").join(regs, "text_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["text_id"].to_numpy()
         regs = np.frombuffer(b"".join(pdf["registers"]), dtype=np.uint16).reshape(len(pdf), BUCKETS)
-        x, y, own = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0]), pdf["own"].to_numpy()
-        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        alone = pdf["x"].iloc[0] == pdf["y"].iloc[0]
+        side = pdf["first"].to_numpy()
+        left, right = (np.arange(len(pdf)),) * 2 if alone else (np.flatnonzero(side), np.flatnonzero(~side))
         out = []
         for i in left:
-            others = right[ids[right] > ids[i]] if x == y else right
+            others = right[ids[right] > ids[i]] if alone else right
             good = others[estimate(regs[i], regs[others]) >= least]
             out.append(np.column_stack([np.minimum(ids[i], ids[good]), np.maximum(ids[i], ids[good])]))
         found = np.vstack(out) if out else np.empty((0, 2), dtype=np.int64)
@@ -153,30 +165,34 @@ def _blocks(members: DataFrame, regs: DataFrame, least: float) -> DataFrame:
 def similar_texts(texts: DataFrame, width: int, threshold: float, strict: bool) -> DataFrame:
     """(a, b, jaccard): verified pairs of different texts, by text_id, a < b; texts from sketched_texts."""
     regs = texts.select("text_id", "registers").dropDuplicates(["text_id"])
-    keyed = texts.select("text_id", F.explode("keys").alias("bucket")).distinct()
+    keyed = texts.select("text_id", "windows", F.explode("keys").alias("bucket")).distinct()
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(keyed.join(sizes, "bucket"))
     least = threshold - MARGIN
-    small = members.where(F.col("size") <= JOIN_BUCKET).select("bucket", "text_id")
-    pairs = small.withColumnRenamed("text_id", "a").join(small.withColumnRenamed("text_id", "b"), "bucket").where("a < b").select("a", "b").distinct()
+    small = members.where(F.col("size") <= JOIN_BUCKET)
+    a, b = (small.select("bucket", F.col("text_id").alias(n), F.col("windows").alias(f"w{n}")) for n in "ab")
+    # the index is at most the ratio of the sizes
+    pairs = a.join(b, "bucket").where((F.col("a") < F.col("b")) & (F.least("wa", "wb") >= threshold * F.greatest("wa", "wb"))).select("a", "b").distinct()
     candidates = _estimated(pairs, regs, least)
     large = members.where(F.col("size") > JOIN_BUCKET)
     if not large.isEmpty():
-        candidates = candidates.unionByName(_blocks(large, regs, least)).distinct()
+        candidates = candidates.unionByName(_blocks(large, regs, least, threshold)).distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows, cache = [], {}
+            rows, cache, held = [], {}, 0
             for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"]):
                 sets = []
                 for key, t in ((a, ta), (b, tb)):
                     s = cache.get(key)
                     if s is None:
-                        if len(cache) > 2000:
-                            cache.clear()
-                        s = cache[key] = {t[i : i + width] for i in range(max(1, len(t) - width + 1))}
+                        s = window_hashes(t, width)
+                        if held + len(s) > CACHED_WINDOWS:
+                            cache, held = {}, 0
+                        cache[key] = s
+                        held += len(s)
                     sets.append(s)
-                both = len(sets[0] & sets[1])
+                both = len(np.intersect1d(*sets, assume_unique=True))
                 j = both / (len(sets[0]) + len(sets[1]) - both)
                 if j > threshold or not strict and j == threshold:
                     rows.append((a, b, j))
@@ -198,9 +214,11 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "chunk_id", text_col: str
     texts = sketched_texts(df, id_col, text_col, width, min_chars, model or fit_scripts(df, [text_col]))
     links = similar_texts(texts, width, threshold, strict).select("a", "b")
     own = texts.select("id", "text_id").distinct()
-    a, b = own.select(F.col("id").alias("x"), F.col("text_id").alias("a")), own.select(F.col("id").alias("y"), F.col("text_id").alias("b"))
-    far = links.join(a, "a").join(b, "b").select("x", "y")
-    same = a.join(b.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y")
+    hot = hot_keys(own.groupBy("text_id").agg(F.count("*").alias("n")), ["text_id"], "n", 2000)
+    # the rows of a text of many copies are spread, its links and the other side of its pairs repeated
+    one = salted_join(own.withColumnRenamed("id", "x"), links.select(F.col("a").alias("text_id"), "b"), ["text_id"], hot, F.col("x"))
+    far = salted_join(own.withColumnRenamed("id", "y"), one.select("x", F.col("b").alias("text_id")), ["text_id"], hot, F.col("y")).select("x", "y")
+    same = salted_join(own.withColumnRenamed("id", "x"), own.withColumnRenamed("id", "y"), ["text_id"], hot, F.col("x")).where("x < y").select("x", "y")
     return far.unionByName(same).where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
