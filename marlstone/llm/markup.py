@@ -3,8 +3,12 @@
 All four notations are read into one tree of elements. Composite text density is computed for every node:
 characters per tag, corrected by how much of them are link text. The densities of a node's children are
 summed; the node of the largest sum is the main text, and the least density on the path from the body to it
-is the threshold below which a subtree of mostly links is left out as boilerplate. What is kept is written
-as plain text in which headings, lists, code blocks and formulas are still told apart.
+is the threshold. The way to the main text is kept, so is every other block at or above the threshold; a block below
+it is left out if nearly all of it is link text (headings, items and cells are short by nature, and most texts are
+excerpts), and reported. What is kept is written as plain text in which headings, lists, code blocks
+and formulas are still told apart; the structures of a text are those of its kept nodes.
+
+Every sign is found in time linear in the text, and nothing is limited in length or depth.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,7 +31,7 @@ HTML_NAMES = "a abbr acronym address article aside b big blockquote body br butt
 BLOCKS = set("address article aside blockquote body caption center dd details div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody thead tfoot tr ul head title br".split())
 VOID = {"br", "hr", "img", "input", "link", "meta", "wbr", "col", "source"}
 #: Opening one of these ends an open one of its group.
-SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "p": {"p"}, "option": {"option"}}
+SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "p": {"p"}, "option": {"option"}} | {f"h{n}": {f"h{k}" for k in range(1, 7)} for n in range(1, 7)}
 # LaTeX environments by what they hold, and commands by what they mark.
 LIST_ENVS = "itemize|enumerate|description"
 CODE_ENVS = "lstlisting|verbatim|Verbatim|minted|alltt|algorithmic"
@@ -38,46 +43,55 @@ BARE_COMMANDS = "maketitle|tableofcontents|noindent|newline|newpage|clearpage|ce
 MATH_COMMANDS = "frac|sum|prod|int|sqrt|alpha|beta|gamma|delta|epsilon|theta|lambda|mu|pi|sigma|omega|leq|geq|neq|cdot|times|infty|partial|nabla|cos|sin|tan|ln|log|exp|mathbf|mathrm|mathcal|left|right"
 
 #: A text without any of these signs holds no markup; such rows never leave the JVM.
-SIGNS = r"[<&\\$#*`~=\[{|>_\-']|\d\. "
+SIGNS = r"[<&\\$#*`~=\[{|>_\-'+]|\d\.[ \t]"
+
+# Behaviour switches of wiki pages.
+SWITCHES = "NOTOC|FORCETOC|TOC|NOEDITSECTION|NEWSECTIONLINK|NONEWSECTIONLINK|NOGALLERY|HIDDENCAT|EXPECTUNUSEDCATEGORY|NOCONTENTCONVERT|NOCC|NOTITLECONVERT|NOTC|INDEX|NOINDEX|STATICREDIRECT|DISAMBIG|NOGLOBAL"
+OPTION, BRACED = r"(?:\[[^\[\]\n]*+\])", r"(?:[^{}\n]++|\{[^{}\n]*+\})*+"
+#: A paragraph up to a sign: blank lines end it, pairs of backslashes are skipped.
+RUN = r"(?:[^\\\n]++|\\\\|\\(?![\[\]()\\])|\n(?![ \t]*\n))*+"
 
 PATTERN = re.compile(
     r"(?P<fence>^[ \t]{0,3}(?P<tick>`{3,}|~{3,})(?P<info>[^\n`~]*)\n(?P<fbody>.*?)(?:^[ \t]{0,3}(?P=tick)[`~]*[ \t]*$|\Z))"
     r"|(?P<comment><!--.*?(?:-->|\Z))"
-    rf"|(?P<texcode>\\begin\{{(?P<cenv>{CODE_ENVS})\*?\}}(?:\[[^\]\n]*\]|\{{[^}}\n]*\}})*(?P<cbody>.*?)(?:\\end\{{(?P=cenv)\*?\}}|\Z))"
-    r"|(?P<hcode><(?P<htag>pre|syntaxhighlight|source)(?=[\s>])[^<>]*>(?P<hbody>.*?)(?:</(?P=htag)\s*>|\Z))"
-    r"|(?P<script><(?P<stag>script|style)\b[^<>]*>.*?(?:</(?P=stag)\s*>|\Z))"
+    rf"|(?P<texcode>\\begin\{{(?P<cenv>{CODE_ENVS})\*?\}}(?:{OPTION}|\{{[^{{}}\n]*+\}})*(?P<cbody>.*?)(?:\\end\{{(?P=cenv)\*?\}}|\Z))"
+    r"|(?P<hcode>(?i:<(?P<htag>pre|syntaxhighlight|source)(?=[\s>])[^<>]*>(?P<hbody>.*?)(?:</(?P=htag)\s*>|\Z)))"
+    r"|(?P<script>(?i:<(?P<stag>script|style)\b[^<>]*>.*?(?:</(?P=stag)\s*>|\Z)))"
     rf"|(?P<texmath>\\begin\{{(?P<menv>{MATH_ENVS})\*?\}}(?P<mbody>.*?)(?:\\end\{{(?P=menv)\*?\}}|\Z))"
-    r"|(?P<dmath>\$\$(?=[^$])(?P<dbody>.{1,4000}?)\$\$|\\\[(?P<dbody2>.{1,4000}?)\\\]|<math\b[^<>]*>(?P<dbody3>.+?)(?:</math\s*>|\Z))"
-    r"|(?P<imath>\\\((?P<ibody>.{1,2000}?)\\\)|(?<![\\$\w])\$(?=[^\s$])(?P<ibody2>[^$\n]{0,300}?[^\s$\\])\$(?![\d$]))"
-    rf"|(?P<texlist>\\begin\{{(?:{LIST_ENVS})\*?\}}(?:\[[^\]\n]*\])?)|(?P<texlistend>\\end\{{(?:{LIST_ENVS})\*?\}})|(?P<texitem>\\item\b(?:\[[^\]\n]*\])?[ \t]*)"
-    r"|(?P<texenv>\\(?:begin|end)\{[a-zA-Z]+\*?\}(?:\[[^\]\n]*\])?)"
-    rf"|(?P<texhead>\\(?P<hcmd>{'|'.join(HEAD_COMMANDS)})\*?(?:\[[^\]\n]*\])?\{{(?P<htext>(?:[^{{}}\n]|\{{[^{{}}\n]*\}})*)\}})"
-    rf"|(?P<textext>\\(?:{TEXT_COMMANDS})\{{(?P<ttext>(?:[^{{}}\n]|\{{[^{{}}\n]*\}})*)\}})"
-    rf"|(?P<texmark>~?\\(?:{MARK_COMMANDS})\*?(?:\[[^\]\n]*\])*\{{[^{{}}\n]*\}}|\\(?:{BARE_COMMANDS})\b(?!\\))"
+    rf"|(?P<dmath>\$\$(?=[^$])(?P<dbody>(?:[^$\n]++|\$(?!\$)|\n(?![ \t]*\n))++)\$\$|\\\[(?P<dbody2>{RUN})\\\]|(?i:<math\b[^<>]*>(?P<dbody3>.+?)(?:</math\s*>|\Z)))"
+    rf"|(?P<imath>\\\((?P<ibody>{RUN})\\\)|(?<![\\$\w])\$(?=[^\s$])(?P<ibody2>[^$\n]*[^\s$\\])\$(?![\d$]))"
+    rf"|(?P<texlist>\\begin\{{(?:{LIST_ENVS})\*?\}}{OPTION}?)|(?P<texlistend>\\end\{{(?:{LIST_ENVS})\*?\}})|(?P<texitem>\\item\b{OPTION}?[ \t]*)"
+    rf"|(?P<texenv>\\(?:begin|end)\{{[a-zA-Z]+\*?\}}{OPTION}?)"
+    rf"|(?P<texhead>\\(?P<hcmd>{'|'.join(HEAD_COMMANDS)})\*?{OPTION}?\{{(?P<htext>{BRACED})\}})"
+    rf"|(?P<textext>\\(?:{TEXT_COMMANDS})\{{(?P<ttext>{BRACED})\}})"
+    rf"|(?P<texmark>~?\\(?:{MARK_COMMANDS})\*?{OPTION}*\{{[^{{}}\n]*+\}}|\\(?:{BARE_COMMANDS})\b(?!\\))"
     r"|(?P<texsign>(?<=[\s\d\w])\\,?\\?[%&#_,;]|(?<=\s)\\[%&#$](?=\s))"
     rf"|(?P<baremath>\\(?:{MATH_COMMANDS})\b(?=[\s_^{{=\\\d])[^\n。，；]*)"
     r"|(?P<wtable>^\{\|[^\n]*$)|(?P<wtableend>^\|\}[ \t]*$)|(?P<wrow>^\|-[^\n|]*$)"
-    r"|(?P<mdrule>^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$|^[ \t]*\|[ \t]*:?-{3,}:?[ \t]*\|[ \t]*$)"
-    r"|(?P<atx>(?:^[ \t]{0,3}|(?<=[.!?。！？][ \t]))(?P<hashes>#{1,6})[ \t]+(?P<atext>[^\s#][^\n]*?)(?:[ \t]+#+)?[ \t]*$)"
-    r"|(?P<whead>(?:^|(?<=[.!?。！？][ \t]))(?P<eqs>={1,6})[ \t]*(?P<wtext>[^=\s][^=\n]*?)[ \t]*(?P=eqs)[ \t]*$)"
-    r"|(?P<setext>(?:\A|(?<=\n\n))(?P<stext>[^\n\s|<>=#*\-][^\n]{0,150})\n(?P<bar>={3,}|-{3,})[ \t]*$)"
+    r"|(?P<mdrule>^[ \t]*+(?:\|[ \t]*+)?:?-{2,}+:?[ \t]*+(?:\|[ \t]*+:?-{2,}+:?[ \t]*+)+\|?[ \t]*$|^[ \t]*+\|[ \t]*+:?-{3,}+:?[ \t]*+\|[ \t]*$)"
+    r"|(?P<atx>(?:^[ \t]{0,3}|(?<=[.!?。！？][ \t]))(?P<hashes>#{1,6})[ \t]+(?P<atext>[^\s#][^\n]*)$)"
+    r"|(?P<whead>(?:^|(?<=[.!?。！？][ \t]))(?P<eqs>={1,6}+)[ \t]*+(?P<wtext>[^=\s][^=\n]*+)(?P=eqs)[ \t]*$)"
+    r"|(?P<setext>(?:\A|(?<=\n\n))(?P<stext>[^\n\s|<>=#*\-][^\n]*)\n(?P<bar>={3,}|-{3,})[ \t]*$)"
     r"|(?P<item>^(?P<lead>[ \t]*)(?P<mark>[-+]|\*{1,6}|[#:;]{2,6}|:|;|\d{1,4}\.)[ \t]+(?P<task>\[[ xX]\][ \t]+)?(?=\S))"
     r"|(?P<quote>^[ \t]{0,3}(?:>[ \t]?)*>(?:[ \t]+(?=\S)|[ \t]*$))"
-    r"|(?P<template>\{\{[^{}\n]{1,400}\}\})|(?P<magic>__[A-Z]{3,20}__)|(?P<sign>(?<!~)~{3,5}(?!~)[ \t]*$)"
-    r"|(?P<wfile>\[\[(?:File|Image|Category|Datei|Kategorie|Fichier|Catégorie|文件|图像|分类):(?:[^\[\]\n]|\[\[[^\[\]\n]*\]\])*\]\])"
-    r"|(?P<wlink>\[\[(?P<wl>[^\[\]\n|]{1,300})(?:\|(?P<wt>[^\[\]\n]*))?\]\])"
-    r"|(?P<image>!\[(?P<alt>[^\[\]\n]*)\]\([^()\s]*(?:[ ]\"[^\"\n]*\")?\))|(?P<mdlink>\[(?P<lt>[^\[\]\n]+)\]\([^()\s]*(?:[ ]\"[^\"\n]*\")?\))|(?P<reflink>\[(?P<rt>[^\[\]\n]+)\]\[[^\[\]\n]*\](?=[\s.,;]|$)(?<!\d\]))|(?P<elink>\[https?://\S+ (?P<et>[^\]\n]+)\])|(?P<autolink><(?:https?|ftp|mailto):[^<>\s]+>)"
-    r"|(?P<footnote>\[\^[^\]\s]{1,40}\]:?)"
+    rf"|(?P<template>\{{\{{(?:[^{{}}\n]++|\{{\{{[^{{}}\n]*+\}}\}})++\}}\}})|(?P<magic>__(?:{SWITCHES})__)|(?P<sign>(?<!~)~{{3,5}}(?!~)[ \t]*$)"
+    r"|(?P<wfile>\[\[(?i:File|Image|Category|Datei|Kategorie|Fichier|Catégorie|文件|图像|分类):(?:[^\[\]\n]++|\[\[[^\[\]\n]*+\]\])*+\]\])"
+    r"|(?P<wlink>\[\[(?P<wl>[^\[\]\n|]++)(?:\|(?P<wt>[^\[\]\n]*+))?\]\])"
+    r"|(?P<image>!\[(?P<alt>[^\[\]\n]*+)\]\([^()\s]*+(?:[ ]\"[^\"\n]*\")?\))|(?P<mdlink>\[(?P<lt>[^\[\]\n]++)\]\([^()\s]*+(?:[ ]\"[^\"\n]*\")?\))|(?P<reflink>\[(?P<rt>[^\[\]\n]++)\]\[[^\[\]\n]*+\](?=[\s.,;]|$)(?<!\d\]))|(?P<elink>\[https?://[^\s\[\]]++ (?P<et>[^\[\]\n]++)\])|(?P<autolink><(?i:https?|ftp|mailto):[^<>\s]+>)"
+    r"|(?P<footnote>\[\^[^\[\]\s]++\]:?)"
     r"|(?P<strike>~~(?=\S)(?P<st>[^~\n]+?)(?<=\S)~~)"
     r"|(?P<wbold>'{2,5}(?P<wb>[^'\n]+?)'{2,5})"
     r"|(?P<strong>\*\*(?=\S)(?P<sb>[^*\n]+?)(?<=\S)\*\*)|(?P<em>(?<![\w*\\/)\]])\*(?=[^\s*])(?P<eb>[^*\n]+?)(?<=[^\s*])\*(?![\w*(])|(?<=[^\x00-\x7f])\*(?=[^\s*])(?P<eb2>[^*\n]+?)(?<=[^\s*])\*(?=[^\x00-\x7f]|\s|$)|(?<=\s)\*(?=[^\s*])(?P<eb3>[^*\n]+?)(?<=[^\s*])\*(?=[^\x00-\x7f]))"
     r"|(?P<inline>(?<!`)`(?=[^\s`])(?P<ic>[^`\n]+?)`(?!`))"
-    rf"|(?P<tag></?(?P<name>{'|'.join(sorted(HTML_NAMES, key=len, reverse=True))})(?P<attrs>(?:\s+[a-zA-Z_:-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))?)*)\s*(?P<self>/)?>)"
+    rf"|(?P<tag></?(?P<name>(?i:{'|'.join(sorted(HTML_NAMES, key=len, reverse=True))}))(?P<attrs>(?:\s+[a-zA-Z_:-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))?)*)\s*(?P<self>/)?>)"
     r"|(?P<entity>&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});)",
-    re.M | re.S | re.I,
+    re.M | re.S,
 )
-#: Case matters in these notations.
-CASED = ("texhead", "textext", "texmark", "magic", "texlist", "texitem", "baremath")
+#: What an element of these names is.
+STRUCTURE_OF = {f"h{n}": "heading" for n in range(1, 7)} | dict.fromkeys(("ul", "ol", "li", "dl", "dt", "dd", "mditem"), "list") | dict.fromkeys(("pre", "syntaxhighlight"), "code") | dict.fromkeys(("formula", "math"), "formula")
+AMOUNT = re.compile(r"\d[\d.,]*(?:\s|$)")
+#: A block below the threshold is left out when more than this share of its characters is link text.
+LINK_SHARE = 0.8
 FORMULA = re.compile(r"[\\^_{}=+<>]|^[A-Za-z]$|[A-Za-z]\s*[-*/]\s*\w")
 SPACE = re.compile(r"[^\S\n]+")
 TABLE_ROW = re.compile(r"^[ \t]*\|.*\|[ \t]*$")
@@ -95,6 +109,7 @@ class Node:
     link_chars: int = 0
     link_tags: int = 0
     density: float = 0.0
+    structure: str = ""
 
     def walk(self) -> Iterator[Node]:
         todo = [self]
@@ -109,26 +124,32 @@ class Builder:
 
     def __init__(self, text: str) -> None:
         self.text, self.root = text, Node("body")
-        self.open = [self.root]
+        self.open, self.names = [self.root], Counter()
         self.marks = 0
-        self.has: set[str] = set()
+        self.line: tuple[int, int, int] = (0, -1, 0)
 
-    def leaf(self, tag: str, text: str = "", level: int = 0) -> None:
-        self.open[-1].kids.append(Node(tag, [text] if text else [], level))
+    def leaf(self, tag: str, text: str = "", level: int = 0, structure: str = "") -> None:
+        self.open[-1].kids.append(Node(tag, [text] if text else [], level, structure=structure or STRUCTURE_OF.get(tag, "")))
 
     def push(self, tag: str, level: int = 0) -> None:
-        n = Node(tag, [], level)
+        n = Node(tag, [], level, structure=STRUCTURE_OF.get(tag, ""))
         self.open[-1].kids.append(n)
-        if len(self.open) < 200:  # deeper nesting stays flat
-            self.open.append(n)
+        self.open.append(n)
+        self.names[tag] += 1
 
-    def pop(self, tags: set[str], stop: set[str] | None = None) -> None:
+    def pop(self, tags: set[str], stop: set[str] | None = None) -> bool:
+        """Close the nearest open element of one of these names, unless one of stop is nearer; was there one?"""
+        if not any(self.names[t] for t in tags):
+            return False
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in tags:
+                for n in self.open[i:]:
+                    self.names[n.tag] -= 1
                 del self.open[i:]
-                return
+                return True
             if stop and self.open[i].tag in stop:
-                return
+                return False
+        return False
 
     def end_line_item(self) -> None:
         self.pop({"mditem", "mdquote"})
@@ -159,25 +180,39 @@ class Builder:
         return self.root
 
     def _items(self) -> dict[int, bool]:
-        """For each start of a line that looks like an item: does it stand in a list?"""
+        """For each start of a line that looks like an item: does it stand in a list?
+
+        Items are kin when nothing but blank lines and indented lines stands between them and their marks agree.
+        """
         out, before = {}, None
         for m in ITEM_LINE.finditer(self.text):
             mark, strong = m["mark"], bool(m["task"]) or m["rest"].startswith(("**", "''", "[[", "[ ]", "`"))
-            kin = before is not None and before[1] + 1 >= m.start() and before[0][0] == mark[0] and (not mark[0].isdigit() or int(before[0][:-1]) + 1 == int(mark[:-1])) or before is not None and mark[0].isdigit() and before[0][0].isdigit() and int(before[0][:-1]) + 1 == int(mark[:-1]) and before[1] + 1 >= m.start()
+            near = before is not None and (before[1] + 1 >= m.start() or BETWEEN.fullmatch(self.text, before[1], m.start()) is not None)
+            counted = near and mark[0].isdigit() and before[0][0].isdigit() and int(before[0][:-1]) + 1 == int(mark[:-1])
+            kin = counted or near and not mark[0].isdigit() and before[0][0] == mark[0]
             out[m.start()] = strong or kin
             if kin and not strong:
                 out[before[2]] = True
             before = (mark, m.end(), m.start())
         return out
 
+    def _dollars(self, at: int) -> int:
+        """Dollar signs in the line of a position; lines are counted once."""
+        if not self.line[0] <= at <= self.line[1]:
+            a = self.text.rfind("\n", 0, at) + 1
+            b = self.text.find("\n", at)
+            b = len(self.text) if b < 0 else b
+            self.line = (a, b, self.text.count("$", a, b))
+        return self.line[2]
+
     def _valid(self, kind: str, m: re.Match, runs: dict[int, bool]) -> bool:
-        if kind in CASED and re.match(r"~?\\?[A-Za-z_]+", m[0])[0] not in self.text:
-            return False
         if kind == "item":
             return runs.get(m.start(), False) and m["mark"] not in (":", ";")
         if kind == "imath":
-            body = m["ibody"] or m["ibody2"] or ""
-            return m["ibody"] is not None or bool(FORMULA.search(body.strip()))
+            if m["ibody"] is not None:
+                return True
+            # an odd dollar sign in a line of amounts is an amount
+            return bool(FORMULA.search(m["ibody2"].strip())) and not (AMOUNT.match(m["ibody2"]) and self._dollars(m.start()) % 2)
         if kind == "wbold":
             return not (m["wb"].isspace() or m.start() and self.text[m.start() - 1].isalpha() and self.text[m.start() - 1].isascii() and len(m[0]) - len(m["wb"]) < 5)
         if kind == "entity":
@@ -186,6 +221,8 @@ class Builder:
             return not m["rt"].isdigit() and not self.text[max(0, m.start() - 1) : m.start()].isalnum() and " " in m["rt"]
         if kind == "whead":
             return len(m["eqs"]) > 1
+        if kind in ("texhead", "textext"):
+            return self.text[max(0, m.start() - 1) : m.start()] not in (":", "\\")
         if kind == "texmark":
             return not (m[0].startswith("\\") and m.start() and self.text[m.start() - 1] in ":\\" or re.match(r"\\[A-Za-z]+$", m[0]) and self.text[m.end() : m.end() + 1] in ("\\", "_"))
         if kind == "baremath":
@@ -197,32 +234,26 @@ class Builder:
             self.end_line_item()
             body = m["fbody"] if kind == "fence" else m["cbody"] if kind == "texcode" else html.unescape(re.sub(r"</?code\b[^<>]*>", "", m["hbody"], flags=re.I))
             self.leaf("pre", body.strip("\n"))
-            self.has.add("code")
         elif kind in ("texmath", "dmath", "imath", "baremath"):
             body = next((m[g] for g in ("mbody", "dbody", "dbody2", "dbody3", "ibody", "ibody2") if m[g] is not None), m[0])
             self.leaf("formula", " ".join(body.split()), int(kind in ("texmath", "dmath")))
-            self.has.add("formula")
         elif kind in ("atx", "whead", "setext", "texhead"):
             self.end_line_item()
             level = {"atx": lambda: len(m["hashes"]), "whead": lambda: len(m["eqs"]), "setext": lambda: 1 + (m["bar"][0] == "-"), "texhead": lambda: max(1, HEAD_COMMANDS.index(m["hcmd"].lower()) - 1)}[kind]()
             self.push(f"h{min(6, level)}", level)
-            inner(self, m["atext"] or m["wtext"] or m["stext"] or m["htext"] or "")
+            inner(self, bare_heading(m["atext"]) if m["atext"] else (m["wtext"] or m["stext"] or m["htext"] or "").strip())
             self.pop({f"h{min(6, level)}"})
-            self.has.add("heading")
         elif kind == "texlist":
             self.push("ul")
-            self.has.add("list")
         elif kind == "texlistend":
-            self.pop({"ul"})
-            self.has.add("list")
+            if not self.pop({"ul"}):
+                self.leaf("mark", structure="list")
         elif kind == "texitem":
             self.pop({"li"}, {"ul"})
             self.push("li")
-            self.has.add("list")
         elif kind == "item":
             self.end_line_item()
             self.push("mditem", len(m["lead"]) // 2 if m["mark"][0] in "-+" or len(m["mark"]) == 1 else len(m["mark"]) - 1)
-            self.has.add("list")
         elif kind == "quote":
             self.end_line_item()
             self.push("mdquote")
@@ -254,37 +285,38 @@ class Builder:
             self.leaf("mark")
 
     def _tag(self, name: str, closing: bool, alone: bool) -> None:
-        if re.fullmatch(r"h[1-6]", name):
-            self.has.add("heading")
-        elif name in ("ul", "ol", "li", "dl", "dt", "dd"):
-            self.has.add("list")
-        elif name in ("pre", "syntaxhighlight"):
-            self.has.add("code")
-        elif name == "math":
-            self.has.add("formula")
         self.end_line_item()
         if name in VOID or alone:
             self.leaf(name)
         elif closing:
-            self.pop({name})
+            if not self.pop({name}):  # an excerpt may hold the end of an element only
+                self.leaf("mark", structure=STRUCTURE_OF.get(name, ""))
         else:
             if name in SIBLINGS:
                 self.pop(SIBLINGS[name], {"ul", "ol", "dl", "table"} - SIBLINGS[name])
             self.push(name, int(name[1]) if re.fullmatch(r"h[1-6]", name) else 0)
 
 
+def bare_heading(text: str) -> str:
+    """A heading without the signs that may close it."""
+    text = text.rstrip()
+    bare = text.rstrip("#")
+    return bare.rstrip() if bare != text and bare[-1:] in (" ", "\t") else text
+
+
 def inner(builder: Builder, text: str) -> None:
     """Read the signs inside a heading, a link or an emphasis into the open node."""
     if not re.search(SIGNS, text):
         builder.open[-1].kids.append(text)
         return
     sub = Builder(text)
-    sub.has = builder.has
     builder.open[-1].kids += sub.build().kids
     builder.marks += sub.marks
 
 
 KINDS = ["fence", "comment", "texcode", "hcode", "script", "texmath", "dmath", "imath", "texlist", "texlistend", "texitem", "texenv", "texhead", "textext", "texmark", "texsign", "baremath", "wtable", "wtableend", "wrow", "mdrule", "atx", "whead", "setext", "item", "quote", "template", "magic", "sign", "wfile", "wlink", "image", "mdlink", "reflink", "elink", "autolink", "footnote", "strike", "wbold", "strong", "em", "inline", "tag", "entity"]
+#: What may stand between two items of a list: the rest of the line, blank lines, indented lines.
+BETWEEN = re.compile(r"\n(?:[ \t]*\n|[ \t]+\S[^\n]*\n)*")
 ITEM_LINE = re.compile(r"^(?P<lead>[ \t]*)(?P<mark>[-+]|\*{1,6}|[#]{2,6}|\d{1,4}\.)[ \t]+(?P<task>\[[ xX]\][ \t]+)?(?P<rest>\S[^\n]*)$", re.M)
 
 
@@ -308,67 +340,101 @@ def measure(root: Node) -> None:
         n.density = c / t * math.log(max(1.0, c / max(1, lc) * t / max(1, lt))) / max(1e-9, base) if c > 1 else 0.0
 
 
-def main_text(root: Node) -> tuple[Node, float]:
-    """The node whose children's densities sum highest, and the least density on its path from the body."""
-    best, best_sum, path_least = root, -1.0, root.density
-    todo = [(root, root.density)]
-    while todo:
-        n, least = todo.pop()
-        kids = [k for k in n.kids if isinstance(k, Node)]
-        total = sum(k.density for k in kids)
+def main_text(root: Node) -> tuple[list[Node], float]:
+    """(path, threshold): from the body to the node whose children's densities sum highest, and the least density on it."""
+    best, best_sum = root, -1.0
+    above: dict[int, Node] = {}
+    for n in root.walk():
+        total = 0.0
+        for k in n.kids:
+            if isinstance(k, Node):
+                above[id(k)] = n
+                total += k.density
         if total > best_sum:
-            best, best_sum, path_least = n, total, least
-        todo += [(k, min(least, k.density)) for k in reversed(kids) if k.chars]
-    return best, path_least
-
-
-def drop_boilerplate(root: Node) -> int:
-    """Remove subtrees off the main text that are below the threshold and mostly links; how many went."""
-    best, least = main_text(root)
-    keep = {id(n) for n in best.walk()}
-    gone, todo = 0, [root]
+            best, best_sum = n, total
+    path = [best]
+    while path[-1] is not root:
+        path.append(above[id(path[-1])])
+    return path[::-1], min(n.density for n in path)
+
+
+def select_text(root: Node) -> list[str]:
+    """Keep the main text, its way and the blocks that reach the threshold; the texts of the blocks left out."""
+    path, least = main_text(root)
+    way = {id(n) for n in path}
+    gone, todo = [], [root]
     while todo:
         n = todo.pop()
         kept = []
         for k in n.kids:
-            if isinstance(k, Node) and id(k) not in keep and k.tag in BLOCKS and k.link_tags > 1 and k.density < least and 2 * k.link_chars > k.chars and not any(n is best for n in k.walk()):
-                gone += 1
+            if isinstance(k, Node) and id(k) not in way and k.tag in BLOCKS and k.chars and k.density < least and k.link_chars > LINK_SHARE * k.chars:
+                gone.append(" ".join(render(k).split()))
             else:
                 kept.append(k)
         n.kids = kept
-        todo += [k for k in kept if isinstance(k, Node) and k is not best]
+        todo += [k for k in reversed(kept) if isinstance(k, Node)]
     return gone
 
 
-def render(node: Node, depth: int = 0) -> str:
-    out = []
-    for k in node.kids:
-        if isinstance(k, str):
-            out.append(k)
-            continue
-        tag = k.tag
-        if tag == "pre":
-            body = "".join(x for x in k.kids if isinstance(x, str))
-            out.append(f"\n```\n{body}\n```\n")
-        elif tag == "formula":
-            body = "".join(k.kids)
-            out.append(f"$${body}$$" if k.level else f"${body}$")
-        elif tag in ("mark", "script", "style"):
-            continue
-        elif re.fullmatch(r"h[1-6]", tag):
-            out.append(f"\n{'#' * int(tag[1])} {' '.join(render(k, depth).split())}\n")
-        elif tag in ("ul", "ol", "dl"):
-            out.append("\n" + render(k, depth + 1) + "\n")
-        elif tag in ("li", "dt", "dd"):
-            out.append("\n" + "  " * max(0, depth - 1) + "- " + render(k, depth).strip())
-        elif tag == "mditem":
-            out.append("  " * k.level + "- " + render(k, depth).strip())
-        elif tag in ("td", "th"):
-            out.append(render(k, depth).strip() + " | ")
-        elif tag in BLOCKS:
-            out.append("\n" + render(k, depth) + "\n")
+def structures(root: Node) -> list[str]:
+    """Kinds of structure of the nodes of a tree, in the order of STRUCTURES."""
+    has = {n.structure for n in root.walk()}
+    return [s for s in STRUCTURES if s in has]
+
+
+def _trim(out: list[str], start: int) -> None:
+    """Strip the text of out from start on, in place."""
+    while len(out) > start and not (last := out[-1].rstrip()):
+        out.pop()
+    if len(out) > start:
+        out[-1] = last
+    for i in range(start, len(out)):
+        out[i] = out[i].lstrip()
+        if out[i]:
+            return
+
+
+def render(node: Node) -> str:
+    """Plain text of a tree. One buffer and no recursion, so depth and length cost only what they hold."""
+    out: list[str] = []
+    todo: list[tuple[Node, int, int, Iterator]] = [(node, 0, 0, iter(node.kids))]
+    while todo:
+        parent, depth, start, kids = todo[-1]
+        for k in kids:
+            if isinstance(k, str):
+                out.append(k)
+                continue
+            tag = k.tag
+            if tag == "pre":
+                out.append("\n```\n" + "".join(x for x in k.kids if isinstance(x, str)) + "\n```\n")
+            elif tag == "formula":
+                sign = "$$" if k.level else "$"
+                out.append(sign + "".join(k.kids) + sign)
+            elif tag not in ("mark", "script", "style"):
+                deep = depth + (tag in ("ul", "ol", "dl"))
+                if tag in ("li", "dt", "dd"):
+                    out.append("\n" + "  " * min(max(0, depth - 1), 20) + "- ")
+                elif tag == "mditem":
+                    out.append("  " * min(k.level, 20) + "- ")
+                elif tag in BLOCKS and tag not in ("td", "th"):
+                    out.append("\n")
+                todo.append((k, deep, len(out), iter(k.kids)))
+                break
         else:
-            out.append(render(k, depth))
+            todo.pop()
+            if not todo:
+                break
+            tag = parent.tag
+            if tag in ("li", "dt", "dd", "mditem"):
+                _trim(out, start)
+            elif tag in ("td", "th"):
+                _trim(out, start)
+                out.append(" | ")
+            elif STRUCTURE_OF.get(tag) == "heading":
+                text = " ".join("".join(out[start:]).split())
+                out[start:] = [f"{'#' * int(tag[1])} {text}", "\n"]
+            elif tag in BLOCKS:
+                out.append("\n")
     return "".join(out)
 
 
@@ -385,21 +451,21 @@ def tidy(text: str) -> str:
     return "\n".join(out).strip("\n")
 
 
-def clean_markup(text: str) -> tuple[str, list[str], bool, int]:
-    """(clean text, structures in the order of STRUCTURES, is there markup, boilerplate blocks left out)."""
+def clean_markup(text: str) -> tuple[str, list[str], bool, list[str]]:
+    """(clean text, structures in the order of STRUCTURES, is there markup, texts of the blocks left out)."""
     if not re.search(SIGNS, text):
-        return text, [], False, 0
+        return text, [], False, []
     b = Builder(text)
     root = b.build()
     if not b.marks:
-        return text, [], False, 0
+        return text, [], False, []
     measure(root)
-    gone = drop_boilerplate(root)
-    return tidy(render(root)), [s for s in STRUCTURES if s in b.has], True, gone
+    gone = select_text(root)
+    return tidy(render(root)), structures(root), True, gone
 
 
 def extract_text(df: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
-    """(id, clean_text, structures, has_markup, dropped_blocks) for every row of df.
+    """(id, clean_text, structures, has_markup, dropped) for every row of df; dropped holds the texts of blocks left out.
 
     Rows without any sign of markup stay in the JVM with their text as it is; the rest are parsed where they
     are, without a shuffle. NULL text gives NULL text and no structures; empty text stays empty. Repeated rows
@@ -408,15 +474,15 @@ def extract_text(df: DataFrame, id_col: str = "chunk_id", text_col: str = "conte
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sign = F.coalesce(F.col("text").rlike(SIGNS), F.lit(False))
     none = F.array().cast("array<string>")
-    plain = src.where(~sign).select("id", F.col("text").alias("clean_text"), none.alias("structures"), F.lit(False).alias("has_markup"), F.lit(0).alias("dropped_blocks"))
+    plain = src.where(~sign).select("id", F.col("text").alias("clean_text"), none.alias("structures"), F.lit(False).alias("has_markup"), none.alias("dropped"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [clean_markup(t) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "clean_text": [g[0] for g in got], "structures": [g[1] for g in got], "has_markup": [g[2] for g in got], "dropped_blocks": [g[3] for g in got]})
+            yield pd.DataFrame({"id": pdf["id"], "clean_text": [g[0] for g in got], "structures": [g[1] for g in got], "has_markup": [g[2] for g in got], "dropped": [g[3] for g in got]})
 
     id_type = src.schema["id"].dataType.simpleString()
-    parsed = src.where(sign).mapInPandas(parse, f"id {id_type}, clean_text string, structures array<string>, has_markup boolean, dropped_blocks int")
+    parsed = src.where(sign).mapInPandas(parse, f"id {id_type}, clean_text string, structures array<string>, has_markup boolean, dropped array<string>")
     return plain.unionByName(parsed).withColumnRenamed("id", id_col)
 
 

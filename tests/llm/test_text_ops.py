@@ -19,6 +19,17 @@ MARKED = {
     r"\section{Part} text": ["heading"],
     "text\n\n- [x] one\n- [ ] two": ["list"],
     "text\n- one\n- two": ["list"],
+    "text\n+ one\n+ two": ["list"],
+    "1.\tone\n2.\ttwo": ["list"],
+    "- one\n\n- two\n  goes on\n- three": ["list"],
+    "$$" + "a_1 + " * 2000 + "b$$": ["formula"],
+    r"\(" + "a_1 + " * 2000 + r"b\)": ["formula"],
+    "$" + "x_1 + " * 200 + "y$": ["formula"],
+    "Long title " * 40 + "\n=====\n\ntext": ["heading"],
+    "[[" + "x" * 310 + "]]": [],
+    "{{" + "a|" * 400 + "}}": [],
+    "__NOTOC__ text": [],
+    "end of it</h2> text": ["heading"],
     "1. one\n2. two": ["list"],
     "* ''one'' [[A]]\n** ''two'' [[B]]": ["list"],
     "<OL>\n<LI>one\n<LI>two\n</OL>": ["list"],
@@ -52,6 +63,9 @@ PLAIN = [
     "flatten_MAX_83 is set to {executor_annotate} by default; see [3].",
     "batch (95): α = 0.33, µ = 36, Δ > 0",
     "47. One sentence only. It goes on.",
+    "Call __init__ and __main__ before __name__ is set; __FILE__ too.",
+    r"C:\Title{abc} and C:\title{abc}",
+    "Price $5 and $6 = x$ ok",
     "def f(a, limit=73):\n    return a[b] + 1\nx = y * 2  # note",
     "",
 ]
@@ -66,7 +80,7 @@ def test_structures(text):
 
 @pytest.mark.parametrize("text", PLAIN)
 def test_plain_text_stays(text):
-    assert markup.clean_markup(text) == (text, [], False, 0)
+    assert markup.clean_markup(text) == (text, [], False, [])
 
 
 def test_clean_text_keeps_structure():
@@ -77,13 +91,30 @@ def test_clean_text_keeps_structure():
 def test_boilerplate_goes():
     nav = "<div><ul>" + "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(12)) + "</ul></div>"
     page = f"<html><body>{nav}<div><p>{'The main text is long and has no links at all. ' * 12}</p><p>{'More of it. ' * 20}</p></div></body></html>"
-    clean, _, _, gone = markup.clean_markup(page)
-    assert gone and "Link 3" not in clean and "main text" in clean
+    clean, found, _, gone = markup.clean_markup(page)
+    assert "Link 3 - Link 4" in gone[0] and "Link 3" not in clean and "main text" in clean
+    assert found == []  # the only list was left out
+    two = "<ul><li><a href='/'>Home</a></li><li><a href='/about'>About us</a></li></ul><h2>Head</h2><p>" + "The body paragraph tells all there is to tell. " * 5 + "</p><ul><li>one item</li><li>two</li></ul>"
+    clean, found, _, gone = markup.clean_markup(two)
+    assert "Home" not in clean and gone == ["- Home - About us"] and "- one item" in clean and found == ["heading", "list"]
+
+
+@pytest.mark.parametrize("unit", ["<b>", "</b>", "<ul><li>", "<b></i>", "**a", "[[a", "{{a", "\\[", "\\(", "$a ", "$$a\n\n", "[^", "[http://", "\\section[", "\\section{", "''a", "<a href='", " | ", "- a\n", "# a\n", "== a", " ", "\n- a\n\n", "<td>", "`a", "[a](", "&amp", "![a]("])
+def test_markup_scans_are_linear(unit):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        text = unit * (n // len(unit)) + "x"
+        begin = time.process_time()
+        markup.clean_markup(text)
+        took.append(time.process_time() - begin)
+    assert took[1] < 8 * took[0] + 0.2
 
 
 def test_extract_text(spark):
     rows = [("a", "# T\ntext"), ("b", None), ("c", ""), ("d", "plain words"), ("a", "# T\ntext"), ("e", "<b>" * 3000 + "deep"), ("f", "long " * 50_000 + "**x**")]
-    df = spark.createDataFrame(rows, "chunk_id string, content string").withColumn("clean_text", F.lit(1)).withColumn("structures", F.lit(2))
+    df = spark.createDataFrame(rows, "chunk_id string, content string").withColumn("clean_text", F.lit(1)).withColumn("structures", F.lit(2)).withColumn("dropped", F.lit(3))
     got = {r["chunk_id"]: r for r in markup.extract_text(df).collect()}
     assert got["b"]["clean_text"] is None and not got["b"]["has_markup"] and got["c"]["clean_text"] == ""
     assert got["d"]["clean_text"] == "plain words" and got["e"]["clean_text"] == "deep" and got["f"]["has_markup"]
