@@ -25,13 +25,16 @@ def build_session(app: str = "marlstone", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Where the setting is absent (local tests) a folder of this machine is made and set.
+    Where the setting is absent a folder of this machine is made and set, on a local master only: on a cluster
+    other nodes would not see it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         have = spark.sparkContext.getCheckpointDir()
         if have:
             return have
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.sparkContext.setCheckpointDir(path)
     return path
