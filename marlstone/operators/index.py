@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,11 +61,26 @@ def build_index(docs: DataFrame, id_col: str, fields: list[str] | dict[str, str]
     return InvertedIndex(postings, lengths, corpus_stats(lengths))
 
 
-def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key: the last by order columns (NULLs first). A hot key is pre-reduced before the shuffle."""
+#: Keys with several rows up to which their set is sent to every task.
+FEW_KEYS = 500_000
+
+
+def latest(df: DataFrame, keys: list[str], order: list[str], few: int = FEW_KEYS) -> DataFrame:
+    """One row per key: the last by order columns (NULLs first). A hot key is pre-reduced before the shuffle.
+
+    Keys are counted first. Where few of them have several rows, the others stay where they are and only rows of
+    those keys are shuffled; else all rows are.
+    """
     rest = [c for c in df.columns if c not in keys]
     best = F.max_by(F.struct(*rest), F.struct(*order))
-    return df.groupBy(*keys).agg(best.alias("__row")).select(*keys, "__row.*").select(*df.columns)
+    reduced = lambda d: d.groupBy(*keys).agg(best.alias("__row")).select(*keys, "__row.*").select(*df.columns)
+    several = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+    several = materialize(several)
+    if several.count() > few:
+        return reduced(df)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    several = F.broadcast(several)  # at most `few` keys
+    return df.join(several, same, "left_anti").unionByName(reduced(df.join(several, same, "left_semi")))
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:

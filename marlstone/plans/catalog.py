@@ -731,14 +731,13 @@ def pipeline_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """Documents written as files, ingested as a stream into an upserted table, read again."""
+    """Documents ingested as a stream of files in several batches into an upserted table: the chunks of split_hierarchy, once per chunk_id."""
     from marlstone.session import shared_dir
     from marlstone.streaming import ingest
 
     root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    docs = table(spark, d, "documents").where("length(text) > 0").select(F.col("text").alias("value"), "doc_id")
-    n = max(8, docs.count() // 25)
-    docs.repartition(n, "doc_id").select("value").write.text(f"{root}/files")
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), F.col("text").alias("content"))
+    docs.repartition(8, "source").write.parquet(f"{root}/files")
     sink = ingest.TableSink(f"{root}/table")
-    ingest.ingest(spark, f"{root}/files", sink, f"{root}/checkpoint", per_trigger=max(4, n // 4)).awaitTermination()
-    return sink.read(spark).select("chunk_id", "parent_id", "chunk_level", "text_length")
+    ingest.ingest_table(spark, f"{root}/files", docs.schema, sink, f"{root}/checkpoint", ingest.chunk_and_embed, per_trigger=3).awaitTermination()
+    return sink.read(spark).select("chunk_id", "parent_id", "chunk_index", "total_chunks", "chunk_level", "text_length")

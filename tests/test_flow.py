@@ -60,10 +60,10 @@ def test_pages(spark):
 
 @pytest.mark.parametrize("per_trigger", [1, 10])
 def test_stream_equals_batch(spark, folder, per_trigger):
-    sink = ingest.TableSink(str(folder / "table"), parts=4)
+    sink = ingest.TableSink(str(folder / "table"), merge_after=3)
     run = lambda: ingest.ingest(spark, str(folder / "in"), sink, str(folder / "check"), per_trigger=per_trigger).awaitTermination()
     run()
-    batch = ingest.TableSink(str(folder / "batch"), parts=4)
+    batch = ingest.TableSink(str(folder / "batch"), merge_after=3)
     ingest.ingest_batch(loaders.read_files(spark, str(folder / "in")), batch)
     cols = ["chunk_id", "content", "chunk_level"]
     want = sorted(map(tuple, batch.read(spark).select(*cols).collect()))
@@ -79,7 +79,7 @@ def test_ingest_keeps_all_pieces(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for k in range(2):
         (tmp_path / "in" / f"{k}.txt").write_text(" ".join(f"word{i}of{k}" for i in range(2000)), encoding="utf-8")
-    sink = ingest.TableSink(str(tmp_path / "table"), parts=4)
+    sink = ingest.TableSink(str(tmp_path / "table"), merge_after=3)
     ingest.ingest(spark, str(tmp_path / "in"), sink, str(tmp_path / "check")).awaitTermination()
     files = loaders.read_files(spark, str(tmp_path / "in"))
     cols = ["chunk_id", "parent_id", "content"]
@@ -89,12 +89,13 @@ def test_ingest_keeps_all_pieces(spark, tmp_path):
 
 
 def test_sink_repeats_and_updates(spark, tmp_path):
-    sink = ingest.TableSink(str(tmp_path / "t"), "k", 3)
+    sink = ingest.TableSink(str(tmp_path / "t"), "k", 2)
     rows = lambda *r: spark.createDataFrame(r, "k string, v int")
     assert sink.read(spark) is None
     sink.write(rows(("a", 1), ("b", 1)), 0)
     sink.write(rows(("a", 2), ("c", 2)), 1)
     sink.write(rows(("a", 2), ("c", 2)), 1)  # the same batch again
+    sink.write(rows(("a", 9)), 0)  # and one that is part of the base by now
     sink.write(spark.createDataFrame([], "k string, v int"), 2)
     assert {r["k"]: r["v"] for r in sink.read(spark).collect()} == {"a": 2, "b": 1, "c": 2}
 
