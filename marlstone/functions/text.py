@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -42,6 +43,39 @@ def analyze_segmented(c: Column) -> Column:
 ANALYZERS: dict[str, Callable[[Column], Column]] = {"plain": analyze_plain, "bigrams": analyze_bigrams, "segmented": analyze_segmented}
 
 
+def dictionary_analyzer(words: list[str], mode: str = "smart", most: int = 20_000) -> Callable[[Column], Column]:
+    """An analyzer that knows words of unspaced text; other text is read as analyze_plain reads it.
+
+    smart takes the longest word at each place and goes on after it; max_word gives every word at every place.
+    Neither lower-cases nor keeps single characters. The words (at most `most`) become one pattern.
+    """
+    known = sorted({w for w in words if len(w) > 1}, key=lambda w: (-len(w), w))
+    if len(known) > most:
+        raise ValueError(f"more than {most} words")
+    if mode not in ("smart", "max_word"):
+        raise ValueError(f"unknown mode {mode!r}")
+    listed = "|".join(re.escape(w) for w in known) or r"(?!)"
+    rest = r"[\p{L}\p{N}_&&[^一-鿿]]+|[一-鿿]"
+    sizes = sorted({len(w) for w in known})
+
+    def smart(c: Column) -> Column:
+        return F.filter(F.regexp_extract_all(c, F.lit(f"({listed}|{rest})"), 1), lambda t: F.length(t) > 1)
+
+    def every(c: Column) -> Column:
+        held = F.array(*map(F.lit, known)) if known else F.array().cast("array<string>")
+        at = lambda i, n: F.substring(c, i, F.lit(n))
+        found = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.filter(F.array(*[at(i, n) for n in sizes]), lambda w: F.array_contains(held, w))))
+        other = F.filter(F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}_&&[^一-鿿]]+)"), 1), lambda t: F.length(t) > 1)
+        return F.concat(found if known else F.array().cast("array<string>"), other)
+
+    return smart if mode == "smart" else every
+
+
+def register_analyzer(name: str, analyzer: Callable[[Column], Column]) -> None:
+    """Make an analyzer known by name to indexes, queries and pipelines."""
+    ANALYZERS[name] = analyzer
+
+
 def preprocess(c: Column, analyzer: str = "plain") -> Column:
     """Tokens joined by spaces, for a pre-segmented field."""
     return F.array_join(ANALYZERS[analyzer](c), " ")
@@ -68,10 +102,10 @@ def first_number(c: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(c, r"\d+(\.\d+)?", 0), F.lit("")).try_cast("double"), F.lit(0.0))
 
 
-def mark_terms(content: Column, terms: Column) -> Column:
+def mark_terms(content: Column, terms: Column, before: str = "<mark>", after: str = "</mark>") -> Column:
     """content with every occurrence of a term (array of plain terms) between <mark> tags, longest first."""
     quoted = F.transform(F.array_sort(F.array_distinct(terms), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)), lambda t: F.regexp_replace(t, r"([\\.\[\]{}()*+?^$|])", r"\\$1"))
-    return F.when(F.size(terms) > 0, F.regexp_replace(content, F.concat(F.lit("(?i)("), F.array_join(quoted, "|"), F.lit(")")), F.lit("<mark>$1</mark>"))).otherwise(content)
+    return F.when(F.size(terms) > 0, F.regexp_replace(content, F.concat(F.lit("(?i)("), F.array_join(quoted, "|"), F.lit(")")), F.lit(f"{before}$1{after}"))).otherwise(content)
 
 
 def marked_terms(c: Column) -> Column:
@@ -85,10 +119,25 @@ def relevant_terms(found: Column, query_terms: Column) -> Column:
     return F.filter(found, lambda t: F.exists(query_terms, lambda q: F.contains(q, t) | F.contains(t, q)))
 
 
-def fragments(marked: Column, size: int = 150, number: int = 3) -> Column:
-    """The first windows of about size characters that hold a mark; cut between words, tags stay whole."""
-    parts = F.regexp_extract_all(marked, F.lit(rf"(?s)(?:<mark>.*?</mark>|.){{1,{size}}}"), 0)
-    return F.slice(F.filter(parts, lambda p: F.contains(p, F.lit("<mark>"))), 1, number)
+def fragments(marked: Column, size: int = 150, number: int = 3, before: str = "<mark>", after: str = "</mark>") -> Column:
+    """The first windows of size signs that hold a mark; a marked term counts as one sign and stays whole."""
+    parts = F.regexp_extract_all(marked, F.lit(rf"(?s)(?:{re.escape(before)}.*?{re.escape(after)}|.){{1,{size}}}"), 0)
+    return F.slice(F.filter(parts, lambda p: F.contains(p, F.lit(before))), 1, number)
+
+
+# How fields are highlighted unless they say otherwise.
+HIGHLIGHT = {"fragment_size": 150, "number_of_fragments": 3, "pre_tags": ["<mark>"], "post_tags": ["</mark>"]}
+
+
+def highlight(fields: dict[str, dict], terms: Column, defaults: dict | None = None) -> Column:
+    """A map from each field to its fragments; a field's settings go over the defaults. number_of_fragments 0 gives the whole field."""
+    parts: list[Column] = []
+    for name, own in fields.items():
+        how = HIGHLIGHT | (defaults or {}) | own
+        tags = how["pre_tags"][0], how["post_tags"][0]
+        marked = mark_terms(F.coalesce(F.col(name), F.lit("")), terms, *tags)
+        parts += [F.lit(name), fragments(marked, how["fragment_size"], how["number_of_fragments"], *tags) if how["number_of_fragments"] else F.array(marked)]
+    return F.map_filter(F.create_map(*parts), lambda _, v: F.size(v) > 0)
 
 
 def preview(c: Column, size: int = 200) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections import deque
 from collections.abc import Callable, Iterator
 from functools import cmp_to_key
 
@@ -60,35 +62,73 @@ def by_comparison(hits: DataFrame, better: Callable[[str, str, str], bool], k: i
     return hits.join(order, ["qid", "id"])
 
 
-def by_service(hits: DataFrame, answers: DataFrame, k: int = 10) -> DataFrame:
-    """Scores of a rerank service's JSON answer per query (results or data with index and relevance_score or score, or rankings).
+def by_service(hits: DataFrame, answers: DataFrame, k: int = 10, pad: bool = True) -> DataFrame:
+    """Order and scores of a rerank service's JSON answer per query: results or data with index and relevance_score or score, or rankings.
 
-    At most min(k, hits) results; hits it leaves out follow in their order.
+    The answer's order holds. Hits it leaves out follow in theirs, up to k, unless pad is off; without an answer that can be
+    read the hits stay as they are. Indexes beyond the hits are passed over.
     """
     item = "array<struct<index:int,relevance_score:double,score:double>>"
     parsed = answers.select("qid", F.from_json("answer", f"struct<results:{item},data:{item},rankings:array<int>>").alias("j"))
-    given = F.coalesce("j.results", "j.data")
-    scored = F.transform(given, lambda x: F.struct(x["index"].alias("i"), F.coalesce(x["relevance_score"], x["score"]).alias("s")))
-    places = F.transform(F.col("j.rankings"), lambda x, n: F.struct(x.alias("i"), (1 - 0.1 * n).alias("s")))
-    each = parsed.select(F.col("qid").alias("__q"), F.inline(F.coalesce(scored, places)))
+    given = F.coalesce(F.when(F.size("j.results") > 0, F.col("j.results")), F.when(F.size("j.data") > 0, F.col("j.data")))
+    scored = F.transform(given, lambda x, n: F.struct(n.alias("p"), x["index"].alias("i"), F.coalesce(x["relevance_score"], x["score"]).alias("s")))
+    places = F.transform(F.col("j.rankings"), lambda x, n: F.struct(n.alias("p"), x.alias("i"), (1 - 0.1 * n).alias("s")))
+    lists = parsed.select("qid", F.coalesce(scored, places).alias("list"))
+    each = lists.select(F.col("qid").alias("__q"), F.inline("list")).groupBy("__q", "i").agg(F.min("p").alias("p"), F.min_by("s", "p").alias("s"))
     at = hits.join(each, (F.col("qid") == F.col("__q")) & (F.col("rank") - 1 == F.col("i")), "left").drop("__q", "i").withColumnRenamed("s", "rerank_score")
-    w = Window.partitionBy("qid").orderBy(F.desc_nulls_last("rerank_score"), "rank")
-    return at.withColumn("new_rank", F.row_number().over(w)).where(F.col("new_rank") <= k)
+    if not pad:
+        read = lists.where(F.size("list") > 0).select("qid", F.lit(True).alias("__read"))
+        at = at.join(read, "qid", "left").where(F.col("__read").isNull() | F.col("p").isNotNull()).drop("__read")
+    w = Window.partitionBy("qid").orderBy(F.asc_nulls_last("p"), "rank")
+    return at.withColumn("new_rank", F.row_number().over(w)).where(F.col("new_rank") <= k).drop("p")
 
 
-def ask(df: DataFrame, prompt: str, model: Callable[[str], str], out: str = "answer", retries: int = 3) -> DataFrame:
-    """df with a model's answer per row; a failed call is tried again and raised at last. model runs on the workers."""
+def rerank_report(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(qid, documents_before, documents_after) of a reranking; queries that lost all hits have 0 after."""
+    count = lambda df, name: df.groupBy("qid").agg(F.count("*").alias(name))
+    both = count(before, "documents_before").join(count(after, "documents_after"), "qid", "left")
+    return both.select("qid", "documents_before", F.coalesce("documents_after", F.lit(0)).alias("documents_after"))
+
+
+class RateLimit:
+    """At most n calls in any `seconds` seconds of one task; more wait."""
+
+    def __init__(self, n: int, seconds: float = 1.0, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.n, self.seconds, self.clock, self.sleep = n, seconds, clock, sleep
+        self.times: deque[float] = deque()
+
+    def wait(self) -> None:
+        now = self.clock()
+        while self.times and now - self.times[0] >= self.seconds:
+            self.times.popleft()
+        if len(self.times) >= self.n:
+            self.sleep(self.seconds - (now - self.times[0]))
+            self.times.popleft()
+            now = self.clock()
+        self.times.append(now)
+
+
+def ask(df: DataFrame, prompt: str, model: Callable[[str], str], out: str = "answer", retries: int = 3, fail_open: bool = False, per_second: int | None = None) -> DataFrame:
+    """df with a model's answer per row; model runs on the workers.
+
+    A failed call is tried again and raised at last, or gives NULL with fail_open, so that what follows keeps its
+    input. per_second limits the calls of each task.
+    """
 
     @F.pandas_udf("string")
     def call(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        limit = RateLimit(per_second) if per_second else None
+
         def one(text: str | None) -> str | None:
             if text is None:
                 return None
             for i in range(retries):
                 try:
+                    if limit:
+                        limit.wait()
                     return model(text)
                 except Exception:
-                    if i == retries - 1:
+                    if i == retries - 1 and not fail_open:
                         raise
             return None
 

@@ -27,12 +27,14 @@ def check_sizes(size: int, overlap: int) -> None:
         raise ValueError("chunk_overlap must be at least 0 and less than chunk_size")
 
 
-def split_words(df: DataFrame, id_col: str, text_col: str, size: int, overlap: int = 0) -> DataFrame:
+def split_words(df: DataFrame, id_col: str, text_col: str, size: int, overlap: int = 0, keep: list[str] | None = None) -> DataFrame:
     """(id, chunk_index, chunk): windows of size words, each starting size - overlap words later. In the JVM."""
     check_sizes(size, overlap)
-    src = df.select(F.col(id_col), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
-    starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(size - overlap))
-    return src.select(id_col, "w", F.posexplode(starts).alias("chunk_index", "at")).select(id_col, "chunk_index", F.array_join(F.slice("w", F.col("at") + 1, F.lit(size)), " ").alias("chunk"))
+    kept = [c for c in keep or [] if c not in (id_col, "chunk_index", "chunk")]
+    src = df.select(F.col(id_col), words(F.col(text_col)).alias("__w"), *kept).where(F.size("__w") > 0)
+    starts = F.sequence(F.lit(0), F.size("__w") - 1, F.lit(size - overlap))
+    each = src.select(id_col, "__w", *kept, F.posexplode(starts).alias("chunk_index", "__at"))
+    return each.select(id_col, "chunk_index", F.array_join(F.slice("__w", F.col("__at") + 1, F.lit(size)), " ").alias("chunk"), *kept)
 
 
 def sentences(c: Column) -> Column:

@@ -17,9 +17,9 @@ def distinct_values(df: DataFrame, col: str, approximate: bool = False) -> DataF
 
 
 def index_stats(df: DataFrame, vector_col: str = "content_vector", text_col: str = "content") -> DataFrame:
-    """One row: rows, rows with and without vector, characters of text."""
+    """One row: rows, rows with and without vector, characters and megabytes (of 2**20 bytes) of text."""
     has = F.col(vector_col).isNotNull()
-    return df.agg(F.count("*").alias("rows"), F.count_if(has).alias("with_vector"), F.count_if(~has).alias("without_vector"), F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("characters"))
+    return df.agg(F.count("*").alias("rows"), F.count_if(has).alias("with_vector"), F.count_if(~has).alias("without_vector"), F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("characters"), F.round(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)) / (1 << 20), 4).alias("megabytes"))
 
 
 def describe_columns(df: DataFrame) -> DataFrame:
@@ -40,9 +40,12 @@ def score_stats(hits: DataFrame, by: list[str], score: str = "score") -> DataFra
 
 
 def ingest_throughput(runs: DataFrame) -> DataFrame:
-    """(status, runs, files, read, produced, consumed, seconds, tps) by cleaned status; runs without time count no seconds."""
+    """(status, runs, files, read, produced, consumed, lost, seconds, mean, longest, shortest, tps) by cleaned status.
+
+    lost is what was produced and not consumed; runs without time count no seconds.
+    """
     status = F.coalesce(F.nullif(F.lower(F.trim("status")), F.lit("")), F.lit("unknown"))
-    out = runs.groupBy(status.alias("status")).agg(F.count("*").alias("runs"), F.sum("total_files_read").alias("files"), F.sum("total_data_read").alias("read"), F.sum("total_data_produced").alias("produced"), F.sum("total_data_consumed").alias("consumed"), F.round(F.sum("total_time"), 3).alias("seconds"), F.sum(F.when(F.col("total_time") > 0, F.col("total_data_consumed"))).alias("timed"))
+    out = runs.groupBy(status.alias("status")).agg(F.count("*").alias("runs"), F.sum("total_files_read").alias("files"), F.sum("total_data_read").alias("read"), F.sum("total_data_produced").alias("produced"), F.sum("total_data_consumed").alias("consumed"), F.sum(F.greatest(F.col("total_data_produced") - F.col("total_data_consumed"), F.lit(0))).alias("lost"), F.round(F.sum("total_time"), 3).alias("seconds"), F.round(F.avg("total_time"), 3).alias("mean"), F.max("total_time").alias("longest"), F.min("total_time").alias("shortest"), F.sum(F.when(F.col("total_time") > 0, F.col("total_data_consumed"))).alias("timed"))
     return out.withColumn("tps", F.round(F.col("timed") / F.nullif(F.col("seconds"), F.lit(0.0)), 3)).drop("timed")
 
 
@@ -69,18 +72,19 @@ def requests_in_window(events: DataFrame, ts: str, by: list[str], seconds: float
 
 
 def synthetic_documents(spark, n: int, dim: int = 1024, seed: int = 42) -> DataFrame:
-    """n load-test documents: content of up to 66 words, a uniform vector, category, priority, timestamp."""
+    """n load-test documents: content of 10 to 66 words, a vector of numbers from 0 to 1, category, priority, timestamp; the same for a seed."""
     # Our own vocabulary of 22 words and the categories.
     words = "index query shard vector ranking parser token corpus cluster replica segment cache schema filter batch stream latency recall metric planner window merge".split()
     categories = ["guide", "report", "note", "manual"]
-    pick = lambda values, r: F.element_at(F.array(*map(F.lit, values)), (r * len(values)).cast("int") + 1)
-    size = (F.rand(seed) * 57 + 10).cast("int")
-    u = lambda i, salt: F.pmod(F.xxhash64(F.col("id"), i, F.lit(salt)), F.lit(1_000_003)) / 1_000_003.0
+    pick = lambda values, r: F.element_at(F.array(*map(F.lit, values)), (r % len(values)).cast("int") + 1)
+    # a linear congruence per place: plain integers, so any engine gives the same
+    draw = lambda i, salt: ((F.col("id") * 48271 + i * 16807 + salt * 69621 + 12345) % 2147483647) * 16807 % 2147483647
+    size = (draw(F.lit(0), seed) % 57 + 10).cast("int")
     return spark.range(n).select(
         F.concat(F.lit("doc_"), F.col("id").cast("string")).alias("doc_id"),
-        F.array_join(F.transform(F.sequence(F.lit(1), size), lambda i: pick(words, u(i, seed))), " ").alias("content"),
-        F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: u(i, seed + 1).cast("float")).alias("content_vector"),
-        pick(categories, F.rand(seed + 2)).alias("category"),
-        ((F.rand(seed + 3) * 5).cast("int") + 1).alias("priority"),
+        F.array_join(F.transform(F.sequence(F.lit(1), size), lambda i: pick(words, draw(i, seed + 1))), " ").alias("content"),
+        F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: (draw(i, seed + 2) / 2147483647.0).cast("float")).alias("content_vector"),
+        pick(categories, draw(F.lit(1), seed + 3)).alias("category"),
+        (draw(F.lit(2), seed + 4) % 5 + 1).cast("int").alias("priority"),
         F.current_timestamp().alias("timestamp"),
     )

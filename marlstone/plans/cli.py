@@ -6,11 +6,6 @@ import argparse
 import logging
 import logging.handlers
 
-from marlstone.operators.newwords import new_words
-from marlstone.operators.sinks import write_report
-from marlstone.session import build_session
-from marlstone.sources.loaders import read_corpus
-
 
 def setup_logging(path: str | None = None, level: int = logging.INFO) -> logging.Logger:
     """Console, and a file of 10 MB with five predecessors if a path is given."""
@@ -26,17 +21,24 @@ def setup_logging(path: str | None = None, level: int = logging.INFO) -> logging
 
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description="Find new words in the .txt files of a folder.")
-    p.add_argument("--input_dir", required=True)
-    p.add_argument("--output_file", required=True)
+    # The flags and their defaults.
+    p.add_argument("--input_dir", "-i", required=True)
+    p.add_argument("--output_file", "-o", default="new_words.txt")
     p.add_argument("--min_freq", type=int, default=5)
     p.add_argument("--min_pmi", type=float, default=3.0)
     p.add_argument("--min_entropy", type=float, default=1.0)
     p.add_argument("--top_k", type=int, default=200)
     a = p.parse_args(args)
+    from marlstone.operators.newwords import new_words
+    from marlstone.operators.sinks import write_report
+    from marlstone.session import build_session, release
+    from marlstone.sources.loaders import read_corpus
+
     spark = build_session("new-words")
     found = new_words(read_corpus(spark, a.input_dir), "content", a.min_freq, min_pmi=a.min_pmi, min_entropy=a.min_entropy, top_k=a.top_k)
     write_report(found, a.output_file, ["word", "freq", "score", "min_pmi", "min_entropy", "cohesion"])
     setup_logging().info("written to %s", a.output_file)
+    release(spark)
 
 
 if __name__ == "__main__":

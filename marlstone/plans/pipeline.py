@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import functools
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Tables = dict[str, DataFrame]
 Component = Callable[[Tables], Tables]
@@ -74,6 +76,14 @@ def _entries(config: dict[str, Any]) -> dict[str, str]:
     return {"default": e} if isinstance(e, str) else dict(e)
 
 
+class Step(dict):
+    """What one component added: its tables by name, with the component's type, the names it was given and the time."""
+
+    def __init__(self, tables: Tables, kind: str, given: list[str]) -> None:
+        super().__init__(tables)
+        self.kind, self.given, self.timestamp = kind, given, time.time()
+
+
 @dataclass
 class Pipeline:
     """Components in order of their flow. Running composes lazy tables; nothing is computed until they are used."""
@@ -84,8 +94,17 @@ class Pipeline:
     mode: str = "batch"
     settings: dict[str, Any] = field(default_factory=dict)
 
+    def get_component(self, name: str) -> Component | None:
+        return self.components.get(name)
+
+    def list_components(self) -> list[str]:
+        return list(self.components)
+
+    def get_entry_points(self) -> dict[str, str]:
+        return dict(self.entries)
+
     def chain(self, entry: str | None = None) -> list[str]:
-        """Names from the entry point on; an unknown entry point is the default one. Only one successor may follow."""
+        """Names from the entry point on; an unknown entry point is the default one. Of several successors the first is taken."""
         at = self.entries.get(entry or "", next(iter(self.entries.values()), next(iter(self.components))))
         out: list[str] = []
         while at:
@@ -93,8 +112,6 @@ class Pipeline:
                 raise ValueError(f"the flow is a circle at {at}")
             out.append(at)
             after = self.flow.get(at, [])
-            if len(after) > 1:
-                raise ValueError(f"{at} has several successors: {after}")
             at = after[0] if after else ""
         return out
 
@@ -103,14 +120,44 @@ class Pipeline:
             tables = tables | self.components[name](tables)
         return tables
 
-    def run_steps(self, tables: Tables, entry: str | None = None) -> dict[str, Tables]:
+    def run_steps(self, tables: Tables, entry: str | None = None) -> dict[str, Step]:
         """What each step adds, by name."""
-        steps: dict[str, Tables] = {}
+        steps: dict[str, Step] = {}
         for name in self.chain(entry):
-            steps[name] = self.components[name](tables)
+            parts = self.settings.get("components", {}).get(name, {})
+            steps[name] = Step(self.components[name](tables), f"{parts.get('type', '')}.{parts.get('name', '')}", sorted(tables))
             tables = tables | steps[name]
         return steps
 
+    def run_branches(self, tables: Tables, entry: str | None = None) -> dict[str, Tables]:
+        """All successors instead of the first: the tables at the end of each branch, by the names of its components joined by /."""
+        out: dict[str, Tables] = {}
+        todo = [(self.chain(entry)[0], tables, "")]
+        while todo:
+            name, given, path = todo.pop()
+            if name in path.split("/"):
+                raise ValueError(f"the flow is a circle at {name}")
+            made, path = given | self.components[name](given), f"{path}/{name}".lstrip("/")
+            after = self.flow.get(name, [])
+            if not after:
+                out[path] = made
+            todo += [(n, made, path) for n in reversed(after)]
+        return out
+
+    def run_stream(self, source: DataFrame, name: str, output: str, sink: Any, checkpoint: str, tables: Tables | None = None, entry: str | None = None) -> Any:
+        """Each batch of a streaming table goes through the components as the table of that name; the output table is written to sink.
+
+        Returns the running query; it ends when all that is there is processed. Errors end it, too.
+        """
+        step = lambda df, n: sink.write(self.run((tables or {}) | {name: df}, entry)[output], n)
+        return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def execute(self, tables: Tables, entry: str | None = None, **stream: Any) -> Any:
+        """run or run_stream, as the configuration's mode says."""
+        if self.mode == "batch":
+            return self.run(tables, entry)
+        return self.run_stream(stream.pop("source"), tables=tables, entry=entry, **stream)
+
 
 def detect_mode(config: dict[str, Any]) -> str:
     """streaming where the architecture says so or there are sections of producers and consumers, else batch."""
@@ -137,6 +184,13 @@ def load_config(path: str) -> dict[str, Any]:
         return yaml.safe_load(f) or {}
 
 
+def load_configs(folder: str) -> dict[str, dict[str, Any]]:
+    """Every YAML file of a folder by its stem."""
+    from pathlib import Path
+
+    return {p.stem: load_config(str(p)) for p in sorted(Path(folder).iterdir()) if p.suffix in (".yaml", ".yml")}
+
+
 @functools.lru_cache(maxsize=64)
 def cached_pipeline(path: str) -> Pipeline:
     """The pipeline of a config file, built once; cached_pipeline.cache_clear() forgets all."""
@@ -150,7 +204,14 @@ def cached_pipeline(path: str) -> Pipeline:
 def _file_loader(c: dict[str, Any]) -> Component:
     from marlstone.sources import loaders
 
-    return lambda t: {} if "documents" in t else {"documents": loaders.load(_session(t), c.get("path", "./data"), c.get("file_types"), c.get("enable_markdown_parsing", True))}
+    def run(t: Tables) -> Tables:
+        if "documents" in t:
+            return {}
+        spark, path, types = _session(t), c.get("path", "./data"), c.get("file_types")
+        docs = loaders.load(spark, path, types, c.get("enable_markdown_parsing", True), c.get("pdf_parser"))
+        return {"documents": loaders.with_loader_columns(docs, path, loaders.count_files(spark, path, types), c.get("batch_size"))}
+
+    return run
 
 
 @registry.register("loader", "web")
@@ -160,41 +221,73 @@ def _web_loader(c: dict[str, Any]) -> Component:
     return lambda t: {} if "documents" in t else {"documents": loaders.load_pages(t["pages"])}
 
 
-def _splitter(name: str, make: Callable[[dict[str, Any]], Callable[[DataFrame], DataFrame]]) -> None:
+Cut = Callable[[DataFrame, list[str]], DataFrame]
+
+
+def _splitter(name: str, make: Callable[[dict[str, Any]], Cut]) -> None:
     @registry.register("splitter", name)
     def factory(c: dict[str, Any]) -> Component:
         cut = make(c)
-        return lambda t: {"chunks": cut(t["documents"])}
+
+        def run(t: Tables) -> Tables:
+            docs = t["documents"]
+            chunks = cut(docs, [x for x in docs.columns if x != "content"] if c.get("include_metadata", True) else [])
+            return {"chunks": chunks.withColumnRenamed("chunk", "content") if "chunk" in chunks.columns else chunks}
+
+        return run
 
 
 def _named(docs: DataFrame) -> str:
     return next(c for c in ("source", "id", "doc_id") if c in docs.columns)
 
 
-def _text_splitter(c: dict[str, Any]) -> Callable[[DataFrame], DataFrame]:
+def _text_splitter(c: dict[str, Any]) -> Cut:
     from marlstone.operators import split
 
     size, overlap = c["chunk_size"], c.get("chunk_overlap", 0)
     split.check_sizes(size, overlap)
     how = c.get("split_method", "character")
     if how == "character":
-        return lambda d: split.split_characters(d, _named(d), "content", size, overlap)
+        return lambda d, keep: split.split_characters(d, _named(d), "content", size, overlap, keep)
     if how == "word":
-        return lambda d: split.split_words(d, _named(d), "content", size, overlap)
+        return lambda d, keep: split.split_words(d, _named(d), "content", size, overlap, keep)
     if how == "sentence":
-        return lambda d: split.split_sentences(d, _named(d), "content", size)
+        return lambda d, keep: split.split_sentences(d, _named(d), "content", size, keep)
     raise ValueError(f"unknown split_method {how!r}")
 
 
+def _semantic_splitter(c: dict[str, Any]) -> Cut:
+    """With embed, a callable from a text to its vector, sentences are compared by cosine; else by their words."""
+    from marlstone.operators import split
+
+    how = {"similar": split.embedding_similarity(c["embed"])} if c.get("embed") else {}
+    return lambda d, keep: split.split_semantic(d, _named(d), "content", c["chunk_size"], c.get("similarity_threshold", 0.5), c.get("chunk_overlap", 0), c.get("min_chunk_size", 1), c.get("max_chunk_size"), keep=keep, **how).withColumn("split_method", F.lit("semantic"))
+
+
+def _hierarchical_splitter(c: dict[str, Any]) -> Cut:
+    """fallback_config names the splitter of oversized chunks and, under secondary, a second one."""
+    from marlstone.operators import split
+
+    def pick(own: dict[str, Any] | None) -> Callable[[str], list[str]] | None:
+        if not own:
+            return None
+        size, overlap = own.get("chunk_size", c.get("max_chunk_size") or 2 * max(c.get("chunk_sizes", [512, 256]))), own.get("chunk_overlap", 0)
+        kinds = {"character": lambda t: split.character_chunks(t, size, overlap), "sentence": lambda t: split.sentence_chunks(t, size), "recursive": lambda t: split.recursive_chunks(t, size, overlap), "token": lambda t: split.token_chunks(t, size, overlap)}
+        return kinds[own.get("type", "character")]
+
+    first, second = pick(c.get("fallback_config")), pick((c.get("fallback_config") or {}).get("secondary"))
+    return lambda d, keep: split.split_hierarchy(d, _named(d), "content", c.get("chunk_sizes", [512, 256]), c.get("chunk_overlap", 50), c.get("max_chunk_size"), first, second, keep)
+
+
 def _make_splitters() -> None:
     from marlstone.operators import split
 
     _splitter("text", _text_splitter)
-    _splitter("recursive", lambda c: lambda d: split.split_recursive(d, _named(d), "content", c["chunk_size"], c.get("chunk_overlap", 0), tuple(c.get("separators", split.SEPARATORS)), c.get("keep_separator", True)))
-    _splitter("semantic", lambda c: lambda d: split.split_semantic(d, _named(d), "content", c["chunk_size"], c.get("similarity_threshold", 0.5), c.get("chunk_overlap", 0), c.get("min_chunk_size", 1), c.get("max_chunk_size")))
-    _splitter("sentence", lambda c: lambda d: split.split_tokens(d, _named(d), "content", c.get("chunk_size", 1024), c.get("chunk_overlap", 200)))
-    _splitter("hierarchical", lambda c: lambda d: split.split_hierarchy(d, _named(d), "content", c.get("chunk_sizes", [512, 256]), c.get("chunk_overlap", 50), c.get("max_chunk_size")))
-    _splitter("hierarchical_doc", lambda c: lambda d: split.split_hierarchy(d, _named(d), "content", c.get("chunk_sizes", [512, 256]), c.get("chunk_overlap", 20)))
+    _splitter("recursive", lambda c: lambda d, keep: split.split_recursive(d, _named(d), "content", c["chunk_size"], c.get("chunk_overlap", 0), tuple(c.get("separators", split.SEPARATORS)), c.get("keep_separator", True), keep))
+    _splitter("semantic", _semantic_splitter)
+    _splitter("sentence", lambda c: lambda d, keep: split.split_tokens(d, _named(d), "content", c.get("chunk_size", 1024), c.get("chunk_overlap", 200), keep))
+    _splitter("hierarchical", _hierarchical_splitter)
+    _splitter("hierarchical_doc", lambda c: lambda d, keep: split.parse_hierarchy(d, _named(d), "content", c.get("chunk_sizes", [512, 256]), c.get("chunk_overlap", 20), keep))
 
 
 _make_splitters()
@@ -220,8 +313,6 @@ def _indexer(c: dict[str, Any]) -> Component:
 
 def _asked(t: Tables) -> DataFrame:
     """The texts to search for each query: its expansions where there are several, else the query itself."""
-    from pyspark.sql import functions as F
-
     from marlstone.operators import retrieve
 
     q = t["queries"]
@@ -241,16 +332,14 @@ def _bm25_retriever(c: dict[str, Any]) -> Component:
         ix = InvertedIndex(t["postings"], t["lengths"], t["corpus"])
         each, k = _asked(t), c.get("top_k", 10)
         terms = retrieve.query_terms(each, "sub", "source_query", c.get("analyzer", "bigrams"))
-        top = retrieve.text_search(ix, terms, k, c.get("similarity_threshold"), k1=c.get("k1", 1.5), b=c.get("b", 0.75))
-        return {"hits": _with_text(retrieve.merge_sub_queries(top, each, k), t)}
+        top = retrieve.text_search(ix, terms, k, c.get("similarity_threshold"), strict=True, k1=c.get("k1", 1.5), b=c.get("b", 0.75))
+        return _found(retrieve.merge_sub_queries(top, each, k), t, "text", k)
 
     return run
 
 
 @registry.register("retriever", "hybrid")
 def _hybrid_retriever(c: dict[str, Any]) -> Component:
-    from pyspark.sql import functions as F
-
     from marlstone.functions.vectors import hash_embed
     from marlstone.operators import retrieve
     from marlstone.operators.index import InvertedIndex
@@ -280,28 +369,32 @@ def _hybrid_retriever(c: dict[str, Any]) -> Component:
         if levels:
             big = retrieve.expand_parents(hits, chunks, "parent", levels.get("score_fusion_method", "max"), k)
             return {"small_hits": retrieve.merge_sub_queries(hits, each, wanted), "hits": retrieve.merge_sub_queries(big, each, k)}
-        return {"hits": _with_text(retrieve.merge_sub_queries(hits, each, k), t)}
+        return _found(retrieve.merge_sub_queries(hits, each, k), t, kind, k)
 
     return run
 
 
+def _found(hits: DataFrame, t: Tables, kind: str, k: int) -> Tables:
+    """hits with their texts, and retrieval: how many each query has, and how they were searched."""
+    counts = t["queries"].select("qid", "query").join(hits.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left")
+    return {"hits": _with_text(hits, t), "retrieval": counts.select("qid", "query", F.coalesce("n", F.lit(0)).alias("result_count"), F.lit(kind).alias("search_type"), F.lit(k).alias("top_k"))}
+
+
 def _with_text(hits: DataFrame, t: Tables) -> DataFrame:
     """Texts are joined to the few ranked hits at the end."""
-    from pyspark.sql import functions as F
-
     return hits.join(t["chunks"].select(F.col("chunk_id").alias("id"), "content"), "id", "left")
 
 
 @registry.register("reranker", "embedding")
 def _embedding_reranker(c: dict[str, Any]) -> Component:
     from marlstone.functions.vectors import hash_embed
-    from marlstone.operators.rerank import by_embedding
+    from marlstone.operators.rerank import by_embedding, rerank_report
 
     def run(t: Tables) -> Tables:
         q = hash_embed(t["queries"].select("qid", "query"), "query", "query_vector")
         at = hash_embed(t["hits"], "content", "hit_vector").join(q, "qid")
         out = by_embedding(at.drop("rank"), "query_vector", "hit_vector", c.get("top_k", 10), c.get("similarity_metric", "cosine"), c.get("score_threshold", 0.0))
-        return {"hits": out.drop("query_vector", "hit_vector", "query")}
+        return {"hits": out.drop("query_vector", "hit_vector", "query"), "rerank_metadata": rerank_report(t["hits"], out)}
 
     return run
 
@@ -320,8 +413,6 @@ def _model_embedding(c: dict[str, Any]) -> Component:
 @registry.register("reranker", "llm")
 def _llm_reranker(c: dict[str, Any]) -> Component:
     """method listwise asks for a list per query, pointwise for a score per hit, pairwise for the better of two."""
-    from pyspark.sql import functions as F
-
     from marlstone.functions import prompts
     from marlstone.operators import rerank
 
@@ -349,14 +440,13 @@ def _llm_reranker(c: dict[str, Any]) -> Component:
 @registry.register("reranker", "service")
 def _service_reranker(c: dict[str, Any]) -> Component:
     """model takes a query and its texts as JSON and answers with a rerank service's JSON."""
-    from pyspark.sql import functions as F
-
     from marlstone.operators import rerank
 
     def run(t: Tables) -> Tables:
         texts = t["hits"].groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]).alias("documents"))
         asked = texts.join(t["queries"].select("qid", "query"), "qid").withColumn("prompt", F.to_json(F.struct("query", "documents")))
-        out = rerank.by_service(t["hits"], rerank.ask(asked, "prompt", c["model"]), c.get("top_k", 10))
+        # a service that fails keeps the first hits as they are
+        out = rerank.by_service(t["hits"], rerank.ask(asked, "prompt", c["model"], retries=c.get("max_retries", 3), fail_open=True, per_second=c.get("rate_limit_per_second")), c.get("top_k", 10))
         return {"hits": out.drop("rank").withColumnRenamed("new_rank", "rank")}
 
     return run
@@ -364,8 +454,6 @@ def _service_reranker(c: dict[str, Any]) -> Component:
 
 @registry.register("generator", "llm")
 def _llm_generator(c: dict[str, Any]) -> Component:
-    from pyspark.sql import functions as F
-
     from marlstone.operators.generate import model_answers
 
     def run(t: Tables) -> Tables:
@@ -377,8 +465,6 @@ def _llm_generator(c: dict[str, Any]) -> Component:
 
 @registry.register("generator", "template")
 def _template_generator(c: dict[str, Any]) -> Component:
-    from pyspark.sql import functions as F
-
     from marlstone.operators.generate import template_answers
 
     def run(t: Tables) -> Tables:
@@ -390,8 +476,6 @@ def _template_generator(c: dict[str, Any]) -> Component:
 
 @registry.register("query", "expansion")
 def _expansion(c: dict[str, Any]) -> Component:
-    from pyspark.sql import functions as F
-
     from marlstone.functions.understanding import expand
 
     def run(t: Tables) -> Tables:
@@ -410,8 +494,6 @@ def _expansion(c: dict[str, Any]) -> Component:
 def _heuristic(name: str, column: str, make: Callable) -> None:
     @registry.register("query", name)
     def factory(c: dict[str, Any]) -> Component:
-        from pyspark.sql import functions as F
-
         def run(t: Tables) -> Tables:
             q = t["queries"]
             answer = F.col("answer") if "answer" in q.columns else F.lit(None).cast("string")

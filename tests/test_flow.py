@@ -108,8 +108,10 @@ def test_pipeline_checks():
             pipeline.build(bad)
     with pytest.raises(KeyError):
         pipeline.build({"components": {"a": {"type": "query", "name": "none"}}})
+    forked = pipeline.build({"components": {n: {"type": "query", "name": "expansion"} for n in "abc"}, "flow": {"a": ["b", "c"]}})
+    assert forked.chain() == ["a", "b"] and forked.list_components() == ["a", "b", "c"] and forked.get_entry_points() == {"default": "a"}
     with pytest.raises(ValueError):
-        pipeline.build({"components": {"a": {"type": "query", "name": "expansion"}, "b": {"type": "query", "name": "expansion"}, "c": {"type": "query", "name": "expansion"}}, "flow": {"a": ["b", "c"]}})
+        pipeline.build({"components": {n: {"type": "query", "name": "expansion"} for n in "ab"}, "flow": {"a": ["b"], "b": ["a"]}})
     assert pipeline.detect_mode({"producer": {}, "consumer": {}}) == "streaming" and pipeline.detect_mode({"architecture": {"type": "standard"}}) == "batch"
     assert set(pipeline.registry.names("splitter")) == {"text", "recursive", "semantic", "sentence", "hierarchical", "hierarchical_doc"}
 
