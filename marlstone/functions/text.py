@@ -105,7 +105,14 @@ def first_number(c: Column) -> Column:
 def mark_terms(content: Column, terms: Column, before: str = "<mark>", after: str = "</mark>") -> Column:
     """content with every occurrence of a term (array of plain terms) between <mark> tags, longest first."""
     quoted = F.transform(F.array_sort(F.array_distinct(terms), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)), lambda t: F.regexp_replace(t, r"([\\.\[\]{}()*+?^$|])", r"\\$1"))
-    return F.when(F.size(terms) > 0, F.regexp_replace(content, F.concat(F.lit("(?i)("), F.array_join(quoted, "|"), F.lit(")")), F.lit(f"{before}$1{after}"))).otherwise(content)
+    return F.when(F.size(terms) > 0, F.regexp_replace(content, F.concat(F.lit("(?iu)("), F.array_join(quoted, "|"), F.lit(")")), F.lit(f"{before}$1{after}"))).otherwise(content)
+
+
+def word_overlap(a: Column, b: Column) -> Column:
+    """Jaccard index of the lower-case words of two texts; 1 without words."""
+    x, y = F.array_distinct(words(F.lower(a))), F.array_distinct(words(F.lower(b)))
+    either = F.size(F.array_union(x, y))
+    return F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / either)
 
 
 def marked_terms(c: Column) -> Column:

@@ -94,9 +94,12 @@ def get_document(table: DataFrame, id_col: str, value: object) -> DataFrame:
     return table.where(F.col(id_col) == F.lit(value)).limit(1)
 
 
-def swap_alias(spark: SparkSession, alias: str, table: DataFrame) -> None:
-    """Point a view name at another table."""
-    table.createOrReplaceTempView(alias)
+def swap_alias(spark: SparkSession, alias: str, table: DataFrame | str) -> None:
+    """Point a view name at another table: a view of the catalog for a table's name, one of the session for a plan."""
+    if isinstance(table, str):
+        spark.sql(f"CREATE OR REPLACE VIEW {alias} AS SELECT * FROM {table}")
+    else:
+        table.createOrReplaceTempView(alias)
 
 
 def add_segmented(table: DataFrame, text_col: str, out_col: str, analyzer: str = "segmented") -> DataFrame:

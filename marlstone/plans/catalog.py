@@ -244,9 +244,9 @@ def root_expansion(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("qid").alias("query_id"), "id", "score", F.col("source_small_chunks_count").alias("small_chunks"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT coalesce(max(chunk_level), 2) AS small_level FROM chunks")
+@query("SELECT 'chunk_level' AS field_path, coalesce(max(chunk_level), 2) AS small_level, array_to_string(list_sort(list(DISTINCT chunk_level) FILTER (chunk_level IS NOT NULL)), ',') AS levels FROM chunks")
 def small_level(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.detect_small_level(table(spark, d, "chunks"))
+    return retrieve.detect_small_level(table(spark, d, "chunks")).select("field_path", "small_level", F.array_join("available_levels", ",").alias("levels"))
 
 
 @query("SELECT query_id, id, score, rerank_score FROM hits WHERE score >= 0.1 AND recall_source = 'vector' OR score >= 20 AND recall_source = 'text'")
@@ -385,7 +385,7 @@ def terms_agg_level(spark: SparkSession, d: str) -> DataFrame:
     return stats.docs_per_value(table(spark, d, "chunks"), "chunk_level", None)
 
 
-@query('SELECT count(*) AS "rows", count(content_vector) AS with_vector, count(*) - count(content_vector) AS without_vector, coalesce(sum(length(content)), 0)::BIGINT AS characters FROM chunks')
+@query('SELECT count(*) AS "rows", count(content_vector) AS with_vector, count(*) - count(content_vector) AS without_vector, coalesce(sum(length(content)), 0)::BIGINT AS characters, round(coalesce(sum(octet_length(encode(content))), 0) / 1048576, 4) AS megabytes FROM chunks')
 def index_stats(spark: SparkSession, d: str) -> DataFrame:
     return stats.index_stats(table(spark, d, "chunks"))
 
@@ -403,7 +403,7 @@ def score_stats(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """
 SELECT coalesce(nullif(lower(trim(status)), ''), 'unknown') AS status, count(*) AS runs, sum(total_files_read)::BIGINT AS files, sum(total_data_read)::BIGINT AS read, sum(total_data_produced)::BIGINT AS produced, sum(total_data_consumed)::BIGINT AS consumed,
-  round(sum(total_time), 3) AS seconds, round(sum(CASE WHEN total_time > 0 THEN total_data_consumed END) / nullif(round(sum(total_time), 3), 0), 3) AS tps FROM ingest_stats GROUP BY 1"""
+  sum(greatest(total_data_produced - total_data_consumed, 0))::BIGINT AS lost, round(sum(total_time), 3) AS seconds, round(avg(total_time), 3) AS mean, max(total_time) AS longest, min(total_time) AS shortest, round(sum(CASE WHEN total_time > 0 THEN total_data_consumed END) / nullif(round(sum(total_time), 3), 0), 3) AS tps FROM ingest_stats GROUP BY 1"""
 )
 def ingest_throughput(spark: SparkSession, d: str) -> DataFrame:
     return stats.ingest_throughput(table(spark, d, "ingest_stats"))
@@ -424,9 +424,13 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH c AS ({LATEST_CHUNKS}) SELECT chunk_id, content, epoch_us(indexed_at) AS indexed_us FROM c")
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
-    """The chunk table after its rows, re-ingested ones included, were upserted by chunk_id."""
+    """The chunk table of the earlier half of the time, after the rows of the later half were upserted by chunk_id."""
     rows = table(spark, d, "chunks").where("chunk_id IS NOT NULL").select("chunk_id", "content", "indexed_at")
-    return index.upsert(rows.limit(0), rows, ["chunk_id"], ["indexed_at"]).select("chunk_id", "content", F.unix_micros("indexed_at").alias("indexed_us"))
+    us = F.unix_micros(F.col("indexed_at").cast("timestamp"))
+    first, last = rows.agg(F.min(us), F.max(us)).first()
+    late = F.coalesce(us > ((first or 0) + (last or 0)) // 2, F.lit(False))
+    base = index.upsert(rows.limit(0), rows.where(~late), ["chunk_id"], ["indexed_at"])
+    return index.upsert(base, rows.where(late), ["chunk_id"], ["indexed_at"]).select("chunk_id", "content", us.alias("indexed_us"))
 
 
 @query(f"WITH c AS ({LATEST_CHUNKS}) SELECT chunk_id FROM c WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT chunk_id FROM c)")
@@ -534,9 +538,7 @@ SELECT query_id, other, round(CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE len(list
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Word overlap of a query with each of its expansions."""
     e = table(spark, d, "queries").select("query_id", "query", F.explode("expanded_queries").alias("other"))
-    a, b = F.array_distinct(text.words(F.lower("query"))), F.array_distinct(text.words(F.lower("other")))
-    both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return e.select("query_id", "other", F.round(F.when(either == 0, 1.0).otherwise(both / either), 6).alias("jaccard"))
+    return e.select("query_id", "other", F.round(text.word_overlap(F.col("query"), F.col("other")), 6).alias("jaccard"))
 
 
 @query("SELECT query_id, replace(replace('Question: {q}' || chr(10) || 'Kind: {k}', '{q}', coalesce(query, '')), '{k}', coalesce(search_type, '')) AS prompt FROM queries")
@@ -580,25 +582,56 @@ def context_budget(spark: SparkSession, d: str) -> DataFrame:
     return prompts.budgeted_context(hits, 600).select(F.col("qid").alias("query_id"), "context", "used")
 
 
-@query()
+def _budget_sql(budget: int) -> str:
+    return f"""WITH {CARD_HITS}, e AS (SELECT query_id, rank, '文档' || rank || ' - ' || title || ':' || chr(10) || coalesce(content, '') AS e FROM j),
+u AS (SELECT *, sum(length(e)) OVER (PARTITION BY query_id ORDER BY rank) AS upto FROM e),
+s AS (SELECT *, min(CASE WHEN upto > {budget} THEN rank END) OVER (PARTITION BY query_id) AS stop, {budget} - (upto - length(e)) AS room FROM u),
+k AS (SELECT query_id, rank, CASE WHEN rank = stop THEN substring(e, 1, room::INT) || '...' ELSE e END AS e FROM s WHERE stop IS NULL OR rank < stop OR (rank = stop AND room > 100)),
+b AS (SELECT query_id, string_agg(e, chr(10) || chr(10) ORDER BY rank) AS context, count(*)::INT AS used FROM k GROUP BY query_id)"""
+
+
+def _filled(template: str, **values: str) -> str:
+    """SQL of a template of ours with its slots replaced."""
+    parts = prompts.SLOT.split(template)
+    return " || ".join(values[p] if i % 2 else "'" + p.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for i, p in enumerate(parts))
+
+
+@query(_budget_sql(2000) + f" SELECT query_id AS qid, query, {_filled(prompts.TEMPLATES['retrieval_prompt'], documents=chr(40) + 'coalesce(context, ' + repr(prompts.NO_DOCUMENTS) + '))', question='coalesce(query, ' + repr('') + ')')} AS answer, coalesce(used, 0) AS context_used FROM queries LEFT JOIN b USING (query_id)")
 def template_answers(spark: SparkSession, d: str) -> DataFrame:
     hits = _card_hits(spark, d).withColumn("title", text.title(F.col("filename"), F.col("source"), F.col("id")))
     return generate.template_answers(table(spark, d, "queries").select(F.col("query_id").alias("qid"), "query"), hits)
 
 
+MARKED_CTE = f"""t AS (SELECT query_id AS q, list_distinct({TOKENS.format(c='query')}) AS terms FROM queries),
+p AS (SELECT j.*, terms, '(?i)(' || array_to_string(list_transform(list_sort(list_transform(terms, lambda x: {{'n': -length(x), 'x': x}})), lambda z: z.x), '|') || ')' AS pat FROM j JOIN t ON query_id = q WHERE content IS NOT NULL),
+f AS (SELECT query_id, id, terms, list_distinct(list_transform(CASE WHEN len(terms) > 0 THEN regexp_extract_all(content, pat) ELSE [] END, lambda x: lower(x))) AS found FROM p)"""
+
+
 @query(
-    f"""WITH {CARD_HITS}, t AS (SELECT query_id AS q, list_distinct({TOKENS.format(c='query')}) AS terms FROM queries)
-SELECT query_id, id, array_to_string(list_sort(list_filter(terms, lambda x: contains(lower(content), x))), ' ') AS found FROM j JOIN t ON query_id = q WHERE content IS NOT NULL"""
+    f"""WITH {CARD_HITS}, {MARKED_CTE}
+SELECT query_id, id, array_to_string(list_sort(list_filter(found, lambda x: len(list_filter(terms, lambda t: contains(x, t) OR contains(t, x))) > 0)), ' ') AS found FROM f"""
 )
 def highlight_terms(spark: SparkSession, d: str) -> DataFrame:
     """Query terms that are found in a hit: marked, then read from the marks and matched with the query."""
-    terms = table(spark, d, "queries").select(F.col("query_id").alias("qid"), F.array_distinct(text.analyze_plain(F.col("query"))).alias("terms"))
-    at = _card_hits(spark, d).where("content IS NOT NULL").join(terms, "qid")
-    held = F.filter("terms", lambda t: F.contains(F.lower("content"), t))
-    marked = at.withColumn("marked", text.mark_terms(F.col("content"), F.col("terms")))
-    related = text.relevant_terms(text.marked_terms(F.col("marked")), F.col("terms"))
-    found = F.when(F.size(related) >= 0, F.array_join(F.array_sort(held), " "))
-    return marked.select(F.col("qid").alias("query_id"), "id", found.alias("found"))
+    at = _card_hits(spark, d).where("content IS NOT NULL").join(_query_word_lists(spark, d), "qid")
+    found = text.relevant_terms(text.marked_terms(text.mark_terms(F.col("content"), F.col("terms"))), F.col("terms"))
+    return at.select(F.col("qid").alias("query_id"), "id", F.array_join(F.array_sort(found), " ").alias("found"))
+
+
+def _query_word_lists(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "queries").select(F.col("query_id").alias("qid"), F.array_distinct(text.analyze_plain(F.col("query"))).alias("terms"))
+
+
+@query(
+    f"""WITH {CARD_HITS}, {MARKED_CTE.replace('f AS', 'g AS')},
+x AS (SELECT query_id, id, CASE WHEN len(terms) > 0 THEN regexp_replace(content, pat, '<mark>\\1</mark>', 'g') ELSE content END AS m, CASE WHEN len(terms) > 0 THEN regexp_replace(coalesce(title, ''), pat, '[\\1]', 'g') ELSE coalesce(title, '') END AS t FROM p)
+SELECT query_id, id, array_to_string(list_filter(regexp_extract_all(m, '(?s)(?:<mark>.*?</mark>|.){{1,60}}'), lambda z: contains(z, '<mark>'))[1:2], ' ~ ') AS content, t AS title FROM x"""
+)
+def highlight_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments of the text and the whole title of each hit, each field with its own settings."""
+    at = _card_hits(spark, d).where("content IS NOT NULL").withColumn("title", text.title(F.col("filename"), F.col("source"), F.col("id"))).join(_query_word_lists(spark, d), "qid")
+    marks = text.highlight({"content": {"fragment_size": 60, "number_of_fragments": 2}, "title": {"number_of_fragments": 0, "pre_tags": ["["], "post_tags": ["]"]}}, F.col("terms"))
+    return at.withColumn("m", marks).select(F.col("qid").alias("query_id"), "id", F.array_join(F.coalesce(F.col("m")["content"], F.array().cast("array<string>")), " ~ ").alias("content"), F.col("m")["title"][0].alias("title"))
 
 
 @query(
@@ -684,17 +717,23 @@ def rerank_embedding(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
-    """A stand-in for a model's answers: the same list for every query."""
-    return table(spark, d, "queries").select(F.col("query_id").alias("qid"), F.concat(F.lit("The order is [3, 1, 7]; "), F.lit("score 8.5")).alias("answer"))
+    """A stand-in for a model's answers: a list that depends on the query."""
+    first = F.length(F.coalesce("query", F.lit(""))) % 5
+    place = lambda n: ((first + n) % 5 + 1).cast("string")
+    return table(spark, d, "queries").select(F.col("query_id").alias("qid"), F.concat(F.lit("The order is ["), place(0), F.lit(", "), place(2), F.lit(", 9]; score 8.5")).alias("answer"))
+
+
+LISTED = f"""WITH {CARD_HITS.replace('<= 3', '<= 5')}, l AS (SELECT query_id AS q, length(coalesce(query, '')) % 5 AS f FROM queries),
+o AS (SELECT query_id, id, rank, CASE rank WHEN f % 5 + 1 THEN 1 WHEN (f + 2) % 5 + 1 THEN 2 END AS place FROM r LEFT JOIN l ON query_id = q)"""
 
 
-@query(f"WITH {CARD_HITS.replace('<= 3', '<= 5')} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY CASE rank WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 1000000 + rank END, id)::BIGINT AS new_rank FROM r")
+@query(LISTED + " SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(place, 1000000 + rank), id)::BIGINT AS new_rank FROM o")
 def rerank_list(spark: SparkSession, d: str) -> DataFrame:
     h = retrieve.ranked(_small_hits(spark, d), 5, ["qid"], "score", "id")
     return rerank.by_list(h, _answers(spark, d), 5).select(F.col("qid").alias("query_id"), "id", F.col("new_rank").cast("long").alias("new_rank"))
 
 
-@query(f"WITH {CARD_HITS.replace('<= 3', '<= 5')}, s AS (SELECT query_id, id, round(CASE rank WHEN 3 THEN 1.0 WHEN 1 THEN 0.9 ELSE 0.1 END, 6)::DOUBLE AS rerank_score FROM r) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, id)::BIGINT AS rank FROM s")
+@query(LISTED + ", s AS (SELECT query_id, id, round(CASE place WHEN 1 THEN 1.0 WHEN 2 THEN 0.9 ELSE 0.1 END, 6)::DOUBLE AS rerank_score FROM o) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, id)::BIGINT AS rank FROM s")
 def rerank_position_score(spark: SparkSession, d: str) -> DataFrame:
     h = retrieve.ranked(_small_hits(spark, d), 5, ["qid"], "score", "id")
     return rerank.by_position(h, _answers(spark, d), 5).select(F.col("qid").alias("query_id"), "id", "rerank_score", F.col("rank").cast("long").alias("rank"))
