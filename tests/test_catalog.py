@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from marlstone.plans import catalog
+from marlstone.plans import catalog, catalog_models, catalog_tables  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
