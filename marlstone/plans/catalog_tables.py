@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text
@@ -29,7 +29,10 @@ def _document_files(spark: SparkSession, d: str) -> str:
     return path
 
 
-DOC_ID = F.regexp_extract("source", r"doc_id=(\d+)", 1).cast("long").alias("doc_id")
+
+def _doc_id() -> Column:
+    return F.regexp_extract("source", r"doc_id=(\d+)", 1).cast("long").alias("doc_id")
+
 
 # Loaders -------------------------------------------------------------------------------------------------------
 
@@ -40,7 +43,7 @@ def load_files(spark: SparkSession, d: str) -> DataFrame:
     path = _document_files(spark, d)
     run = pipeline.registry.get("loader", "file")({"path": path, "file_types": [".txt"]})
     docs = run({})["documents"]
-    return docs.select(DOC_ID, F.md5("content").alias("text_hash"), "file_type", F.col("total_files").cast("long").alias("total_files"))
+    return docs.select(_doc_id(), F.md5("content").alias("text_hash"), "file_type", F.col("total_files").cast("long").alias("total_files"))
 
 
 @query(f"SELECT md5({stripped('text')}) AS text_hash, count(*) AS files FROM documents WHERE text IS NOT NULL AND {stripped('text')} <> '' GROUP BY 1")
@@ -56,7 +59,7 @@ def stream_files(spark: SparkSession, d: str) -> DataFrame:
     sink = ingest.TableSink(_folder(spark, "table"), "source", merge_after=3)
     files = loaders.read_files(spark, path, [".txt"], stream=True, per_trigger=300)
     files.writeStream.foreachBatch(lambda df, n: sink.write(df, n)).option("checkpointLocation", _folder(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return sink.read(spark).select(DOC_ID, F.md5("content").alias("text_hash"))
+    return sink.read(spark).select(_doc_id(), F.md5("content").alias("text_hash"))
 
 
 @query(SQL["html_to_text"].replace("SELECT chunk_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]+'", "SELECT chunk_id AS source, 'html' AS file_type, regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]+'").replace("AS plain FROM e", "AS content FROM e"))

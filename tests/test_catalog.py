@@ -42,3 +42,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("code", ["import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())", "import runpy, sys; sys.argv = ['cli', '--help']; runpy.run_module('marlstone.plans.cli', run_name='__main__')"])
+def test_imports_need_no_session(code):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
