@@ -155,6 +155,24 @@ def split_with_metadata(spark: SparkSession, d: str) -> DataFrame:
     return got.select("doc_id", "chunk_index", F.md5("chunk").alias("chunk_hash"), "lang", "source", "filename", "split_method")
 
 
+@query(f"SELECT doc_id, md5(text)[1:16] AS root_id, TRUE AS ids_differ, TRUE AS numbered, TRUE AS lengths_fit, TRUE AS levels_fit, TRUE AS parents_hold FROM documents WHERE {stripped('text')} <> ''")
+def hierarchy_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Of the hierarchical chunks of every document: ids differ, the numbers run through, lengths and levels fit, whole chunks lie in their parents."""
+    sizes = [1536, 512, 128]
+    c = split.split_hierarchy(texts(spark, d, "documents"), "doc_id", "text", sizes, 50)
+    above = c.select("doc_id", F.col("chunk_id").alias("parent_id"), F.col("content").alias("big"))
+    at = c.join(above, ["doc_id", "parent_id"], "left")
+    whole = (F.col("split_method") != "hierarchical") | F.col("parent_id").isNull() | F.contains("big", F.col("content")) | F.col("parent_id").contains("_p")
+    level = (F.col("split_method") != "hierarchical") | (F.col("chunk_level") == text.chunk_level(F.length("content"), sizes))
+    return at.groupBy("doc_id", "root_id").agg(
+        (F.countDistinct("chunk_id") == F.count("*")).alias("ids_differ"),
+        ((F.countDistinct("chunk_index") == F.max("total_chunks")) & (F.max("chunk_index") + 1 == F.count("*"))).alias("numbered"),
+        F.every((F.col("text_length") == F.length("content")) & (F.col("text_length") <= 2 * max(sizes))).alias("lengths_fit"),
+        F.every(level).alias("levels_fit"),
+        F.every(F.coalesce(whole, F.lit(False))).alias("parents_hold"),
+    )
+
+
 # Table maintenance ---------------------------------------------------------------------------------------------
 
 
