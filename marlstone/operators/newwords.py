@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import clean_corpus
-from marlstone.session import materialize
+from marlstone.session import materialize, spread
 
 CJK = "[一-鿿]"
 #: Characters of a word whose grams are cut from one piece of it.
@@ -89,10 +89,12 @@ def cohesion(counts: DataFrame, frequent: DataFrame, total: int) -> DataFrame:
 def new_words(docs: DataFrame, text_col: str, min_freq: int = 5, least: int = 2, most: int = 6, min_pmi: float = 3.0, min_entropy: float = 1.0, top_k: int = 200, require: str = CJK, strict_alpha: bool = False, known: DataFrame | None = None) -> DataFrame:
     """The top_k new words by score with all measures; known (word) holds words to leave out."""
     words, total_row = corpus_words(docs, text_col)
-    words, total = materialize(words), total_row.first()["total"] or 0
+    total = total_row.first()["total"] or 0
+    # a word without a CJK character has no gram with one
+    words = spread(materialize(words.where(F.col("w").rlike(require)) if require == CJK else words))
     grams = ngrams(words, least, most)
-    counts = materialize(gram_counts(grams, require, strict_alpha))
-    common = materialize(counts.where(F.col("freq") >= min_freq))
+    counts = spread(materialize(gram_counts(grams, require, strict_alpha)))
+    common = spread(materialize(counts.where(F.col("freq") >= min_freq)))
     frequent = common
     if known is not None:
         frequent = frequent.join(known.select(F.col("word").alias("gram")).distinct(), "gram", "left_anti")

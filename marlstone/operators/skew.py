@@ -27,6 +27,6 @@ def repeat_rows(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     return at.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts") - 1, F.lit(0))))).drop("__parts")
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame, by: Column, how: str = "inner") -> DataFrame:
-    """Equi-join on keys that aren't NULL; the rows of hot keys of big are spread by a column, those of small repeated."""
-    return spread_rows(big, hot, keys, by).join(repeat_rows(small, hot, keys), [*keys, "__salt"], how).drop("__salt")
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame, by: Column, how: str = "inner", extra: list[str] | None = None) -> DataFrame:
+    """Equi-join on keys (and extra columns) that aren't NULL; the rows of hot keys of big are spread by a column, those of small repeated."""
+    return spread_rows(big, hot, keys, by).join(repeat_rows(small, hot, keys), [*keys, *(extra or []), "__salt"], how).drop("__salt")
