@@ -60,6 +60,18 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_oversized(table(spark, d, "chunks"))
 
 
+def p3_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Do the pieces of each oversized chunk give its text again, each within the limit, neighbours sharing what is asked for?"""
+    chunks = table(spark, d, "chunks").where("chunk_id IS NOT NULL").select("chunk_id", "content", "chunk_size", "chunk_level", "chunk_overlap").distinct()
+    limit = chunking.size_limit(F.col("chunk_size"), F.col("chunk_level"))
+    keyed = chunks.withColumn("row_id", F.to_json(F.struct("chunk_id", "chunk_size", "chunk_level", "chunk_overlap")))
+    asked = keyed.select("row_id", "chunk_id", "content", F.least(F.greatest(F.coalesce("chunk_overlap", F.lit(0)), F.lit(0)), limit - 1).alias("asked"))
+    tail = F.substring("piece", F.col("overlap") + 1, F.length("piece"))
+    pieces = chunking.split_oversized(keyed, "row_id").join(asked.select("row_id", "asked"), "row_id")
+    joined = pieces.groupBy("row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", tail.alias("t")))), lambda x: x["t"]), "").alias("again"), F.every(F.length("piece") <= F.col("size_limit")).alias("within"), F.every((F.col("piece_no") == 0) | (F.col("overlap") == F.col("asked"))).alias("shared"))
+    return joined.join(asked, "row_id").select("chunk_id", F.length("content").cast("long").alias("characters"), (F.col("again") == F.col("content")).alias("joined"), "within", "shared").distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = neardup.near_duplicate_pairs(texts(spark, d, "chunks"))
     return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
@@ -152,4 +164,4 @@ def p9_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_quality(texts(spark, d, "documents"), table(spark, d, "common_words"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_nearest, p2_recall, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_ranking, p5_threshold_ranking, p6_found, p6_classes, p6_forms, p7_found, p7_packing, p7_fill, p7_checked, p8_found, p8_mixture, p8_shares, p8_checked, p9_found, p9_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_nearest, p2_recall, p3_found, p3_pieces, p3_checked, p4_found, p4_groups, p5_found, p5_ranking, p5_threshold_ranking, p6_found, p6_classes, p6_forms, p7_found, p7_packing, p7_fill, p7_checked, p8_found, p8_mixture, p8_shares, p8_checked, p9_found, p9_quality)}

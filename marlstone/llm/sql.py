@@ -46,6 +46,7 @@ WITH have AS (SELECT source, sum(coalesce(octet_length(encode(text)), 0) + 1)::B
 SELECT mix_id, m.source, coalesce(t, 0) AS available_tokens, coalesce(t, 0) * max_repeat < target_share * total_tokens AS shortfall, TRUE AS met, TRUE AS within FROM mix_targets m LEFT JOIN have USING (source)
 """,
     "p3_found": _P3,
+    "p3_checked": _P3.replace("SELECT DISTINCT chunk_id FROM", "SELECT DISTINCT chunk_id, length(content) AS characters, TRUE AS joined, TRUE AS within, TRUE AS shared FROM"),
     "p5_found": _P5 + "SELECT query_id, id FROM placed WHERE position <= 3",
     "p5_ranking": _P5 + "SELECT query_id, id, round(flow, 6) + 0.0 AS flow, position FROM placed",
     "p5_threshold_ranking": _p5(0.05, 0.5) + "SELECT query_id, id, round(flow, 6) + 0.0 AS flow, position FROM placed",

@@ -162,6 +162,18 @@ def test_disguised_text_comes_back():
         assert lookalike.consistent(want, model) == want
 
 
+@pytest.mark.parametrize("a,b", [("Москва", "Mocквa"), ("ニュース", "二ュース"), ("工", "エ"), ("口", "ロ"), ("卜", "ト"), ("index", "ındex"), ("Page", "Ꮲage"), ("cache", "cacհe"), ("List", "ꓡist"), ("token", "toκen"), ("データ", "デ一タ"), ("人工智能", "人エ智能"), ("HTTP", "НТТР"), ("ΑΒΓ", "ABΓ")])
+def test_named_look_alikes(spark, a, b):
+    from collections import Counter
+
+    tokens = Counter(t for x in [*CLEAN * 50, "Москва и ква рука", "ΑΒΓ ΑΔΕ"] for t in lookalike.ALPHA.findall(x))
+    model = lookalike.ScriptModel.of(lookalike.count_bigrams(tokens), lookalike.confusables(spark))
+    assert lookalike.consistent(a, model) == lookalike.consistent(b, model)
+    text = " ".join(CLEAN)
+    assert lookalike.consistent(f"{text} {a}", model) == lookalike.consistent(f"{text} {b}", model)
+    assert lookalike.consistent(text, model) == text.replace("，", ",") and lookalike.consistent("List of pages", model) == "List of pages"
+
+
 def test_visible_differences_stay():
     model = model_of(CLEAN)
     for a, b in (("Cafe", "café"), ("abc", "ABC"), ("a b", "a\nb"), ("x2", "x²"), ("a b", "a  b"), ("日", "目")):
