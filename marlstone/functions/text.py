@@ -94,7 +94,7 @@ def tagged_output(c: Column) -> Column:
 def rank_list(c: Column) -> Column:
     """0-based positions of a list such as [1, 3, 2]; NULL without one."""
     body = F.regexp_extract(c, r"\[([\d,\s]+)\]", 1)
-    return F.when(body != "", F.transform(F.filter(F.split(body, ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x).cast("int") - 1))
+    return F.when(body != "", F.transform(F.filter(F.split(body, ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x).try_cast("int") - 1))
 
 
 def first_number(c: Column) -> Column:

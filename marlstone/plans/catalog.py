@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import prompts, text, understanding
-from marlstone.operators import generate, index, newwords, rerank, retrieve, split, stats
-from marlstone.session import table, texts
+from marlstone.operators import generate, index, ivf, newwords, rerank, retrieve, split, stats
+from marlstone.session import shared_dir, table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -148,6 +148,15 @@ for _name, _args, _score, _where in (
     SQL[_name] = _knn_sql(_score, _where)
 
 
+@query(_knn_sql("(1 + list_cosine_similarity(q.e, v.e)) / 2"))
+def knn_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Search in a saved and loaded index of files by centroid, with as many candidates as there are vectors: exact."""
+    e, path = table(spark, d, "embeddings"), f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    ivf.VectorIndex.build(e, "vec_id", "embedding").save(path)
+    got = ivf.VectorIndex.load(spark, path).search(e.where("vec_id % 100 = 0"), 5, e.count(), "vec_id", "embedding", exclude_self=True)
+    return got.select(F.col("qid").alias("query_id"), F.col("id").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query(_knn_sql("list_inner_product(q.e, v.e)").replace("FROM v q JOIN", "FROM (SELECT -1 AS vec_id, list_transform(range(64), lambda i: 0.1::DOUBLE) AS e) q JOIN").replace("WHERE q.vec_id % 100 = 0", ""))
 def knn_constant(spark: SparkSession, d: str) -> DataFrame:
     """Smoke search with a constant vector."""
@@ -771,7 +780,6 @@ def pipeline_search(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Documents ingested as a stream of files in several batches into an upserted table: the chunks of split_hierarchy, once per chunk_id."""
-    from marlstone.session import shared_dir
     from marlstone.streaming import ingest
 
     root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"

@@ -141,3 +141,29 @@ def test_pdf_files_need_a_parser(spark, tmp_path):
     assert loaders.load(spark, str(tmp_path), [".txt"]).count() == 1
     pages = loaders.load(spark, str(tmp_path), pdf=lambda b: b.decode().split("|")).where("file_type = 'pdf'").collect()
     assert sorted(r["content"] for r in pages) == ["one", "two"]
+
+
+def test_vector_files(spark, tmp_path):
+    import numpy as np
+
+    from marlstone.operators.ivf import VectorIndex
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(0, 40, 1500)] + rng.normal(size=(1500, 16)) * 0.4
+    rows = [(f"v{i:04}", v.tolist()) for i, v in enumerate(x)] + [("n", None), ("z", [0.0] * 16), ("s", [1.0]), ("nan", [float("nan")] * 16), (None, x[0].tolist())]
+    df = spark.createDataFrame(rows, "id string, vector array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round((1 + u @ u.T) / 2, 6)
+    want = {f"v{i:04}": sorted(range(1500), key=lambda j: (-s[i, j], j))[:5] for i in range(0, 1500, 30)}
+    asked = df.where(F.substring("id", 2, 4).try_cast("int") % 30 == 0).withColumnRenamed("id", "qid")
+    ix = VectorIndex.build(df, dim=16, block=20)
+    assert ix.sizes.sum() == 1500 and ix.filed.select("block").distinct().count() > 1
+    ix.save(str(tmp_path / "ix"))
+    for candidates, least in ((1500, 1.0), (400, 0.9)):
+        got = {}
+        for r in VectorIndex.load(spark, str(tmp_path / "ix")).search(asked, 5, candidates).collect():
+            got.setdefault(r["qid"], []).append(int(r["id"][1:]))
+        assert sum(len(set(got[q]) & set(w)) for q, w in want.items()) >= least * 5 * len(want)
+    empty = VectorIndex.build(df.where("vector IS NULL"), dim=16)
+    assert empty.search(asked, 5).count() == 0
