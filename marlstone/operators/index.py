@@ -14,16 +14,17 @@ from marlstone.session import materialize
 
 @dataclass
 class InvertedIndex:
-    """postings (field, term, id, tf), lengths (field, id, dl), corpus (field, n, avgdl)."""
+    """postings (field, term, id, tf), lengths (field, id, dl), corpus (field, n, avgdl); kept: are they tables that were written?"""
 
     postings: DataFrame
     lengths: DataFrame
     corpus: DataFrame
+    kept: bool = False
 
     def stored(self) -> InvertedIndex:
         """The same index written once to the shared folder, so that searches don't analyse the texts again."""
         lengths = materialize(self.lengths)
-        return InvertedIndex(materialize(self.postings), lengths, corpus_stats(lengths))
+        return InvertedIndex(materialize(self.postings), lengths, corpus_stats(lengths), True)
 
     def save(self, path: str) -> None:
         """Three tables; postings are laid out by term, so a query reads few files' row groups."""
@@ -33,7 +34,7 @@ class InvertedIndex:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> InvertedIndex:
-        return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "corpus")))
+        return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "corpus")), True)
 
     def append(self, other: InvertedIndex) -> InvertedIndex:
         """Both indexes as one; ids that the other holds replace those of this one."""

@@ -382,7 +382,11 @@ def _found(hits: DataFrame, t: Tables, kind: str, k: int) -> Tables:
 
 def _with_text(hits: DataFrame, t: Tables) -> DataFrame:
     """Texts are joined to the few ranked hits at the end."""
-    return hits.join(t["chunks"].select(F.col("chunk_id").alias("id"), "content"), "id", "left")
+    from marlstone.operators.retrieve import lookup
+    from marlstone.session import materialize
+
+    hits = materialize(hits)
+    return hits.join(lookup(t["chunks"], hits.select("id")).select(F.col("chunk_id").alias("id"), "content"), "id", "left")
 
 
 @registry.register("reranker", "embedding")
