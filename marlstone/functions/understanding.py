@@ -62,10 +62,14 @@ def needs_abstraction(q: Column) -> Column:
     return specific | (count_held(q, PROPER) > 0) | (F.size(words(q)) > 10)
 
 
+# Fixed value: how the words that were lost are named after an answer.
+INVOLVED = " (涉及: "
+
+
 def adjust_abstraction(q: Column, answer: Column, level: str = "medium") -> Column:
     if level == "low":
         keys = F.slice(F.filter(words(q), lambda w: F.length(w) > 3), 1, 2)
-        more = F.concat(answer, F.lit(" (涉及: "), F.array_join(keys, ", "), F.lit(")"))
+        more = F.concat(answer, F.lit(INVOLVED), F.array_join(keys, ", "), F.lit(")"))
         return F.when((F.size(words(answer)) < F.size(words(q)) * 0.7) & (F.size(keys) > 0), more).otherwise(answer)
     if level == "high":
         return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), GENERAL.items(), answer)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from marlstone.functions.text import chunk_level, md5_id, strip, words
 from marlstone.operators.prefix import running_totals
+from marlstone.operators.skew import hot_keys, salted_join
 
 SENTENCE_END = r"[.!?。！？]+"
 CLAUSE = re.compile(r"[^,.;。？！]+[,.;。？！]?")
@@ -438,6 +439,24 @@ def assign_levels(chunks: DataFrame, sizes: list[int], doc: str = "root_id", ord
     return running_totals(out, [doc, "level"], [order, "chunk_id"], {"position": F.lit(1)}).withColumn("position", F.col("position") - 1)
 
 
+#: Chunks of one root above which they are spread over several tasks.
+LARGE_ROOT = 2000
+
+
+def find_parents(chunks: DataFrame, root: str = "root_id", level: str = "chunk_level", order: str = "chunk_index", id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
+    """(id, found_parent): the first chunk of the level above, in the same root, whose text contains the chunk.
+
+    Chunks without such a parent, root, level or text give no row. The chunks of a large root are spread over
+    tasks, each of which meets the chunks above them.
+    """
+    c = chunks.where(F.col(root).isNotNull() & F.col(level).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(root).alias("__r"), F.col(level).alias("__l"), F.col(order).alias("__o"), F.col(text_col).alias("__t"))
+    above = c.select("__r", (F.col("__l") + 1).alias("__l"), F.col("__id").alias("__p"), F.col("__o").alias("__po"), F.col("__t").alias("__big"))
+    hot = hot_keys(c.groupBy("__r", "__l").agg(F.count("*").alias("n")), ["__r", "__l"], "n", LARGE_ROOT)
+    pairs = salted_join(c.drop("__o"), above, ["__r", "__l"], hot, F.col("__id")).where(F.contains("__big", F.col("__t")))
+    best = F.min_by("__p", F.struct(F.coalesce("__po", F.lit(2**31 - 1)), "__p"))
+    return pairs.groupBy("__id").agg(best.alias("found_parent")).withColumnRenamed("__id", id_col)
+
+
 def node_headers(df: DataFrame, id_col: str, text_col: str, headers: str = "heading_path") -> DataFrame:
     """(id, node_type, header_text, parent_headers): header nodes are those whose text begins with #."""
     head = F.startswith(F.col(text_col), F.lit("#"))

@@ -334,10 +334,7 @@ FROM c a JOIN c b ON a.root_id = b.root_id AND b.chunk_level = a.chunk_level - 1
 )
 def hierarchy_parent(spark: SparkSession, d: str) -> DataFrame:
     """The first chunk of the level above, in the same root, whose text contains the chunk."""
-    c = latest_chunks(spark, d, "root_id", "chunk_level", "chunk_index", "content").select("chunk_id", "root_id", "chunk_level", "chunk_index", "content")
-    above = c.select(F.col("root_id").alias("r"), (F.col("chunk_level") + 1).alias("l"), F.col("chunk_id").alias("p"), F.col("chunk_index").alias("i"), F.col("content").alias("big"))
-    pairs = c.join(above, (F.col("root_id") == F.col("r")) & (F.col("chunk_level") == F.col("l")) & F.contains("big", F.col("content")))
-    return pairs.groupBy("chunk_id").agg(F.min_by("p", F.struct(F.coalesce("i", F.lit(2**31 - 1)), "p")).alias("found_parent"))
+    return split.find_parents(latest_chunks(spark, d, "root_id", "chunk_level", "chunk_index", "content"))
 
 
 @query(f"WITH c AS ({LATEST_CHUNKS}) SELECT chunk_id FROM c WHERE chunk_id NOT IN (SELECT parent_id FROM c WHERE parent_id IS NOT NULL)")

@@ -25,3 +25,14 @@ def test_search_with_frequent_terms(spark, monkeypatch):
         found.append(sorted(map(tuple, retrieve.text_search(ix, terms, 40).collect())))
     assert found[0] == found[1] and len(found[0]) == 80
     assert {r[1] for r in found[0] if r[0] == "q" and r[3] <= 8} == set(range(0, 40, 5))
+
+
+def test_parents_of_large_roots(spark, monkeypatch):
+    from marlstone.operators import split
+
+    rows = [(f"p{i}", "r", 0, i, f"text {i} and {i + 1} end") for i in range(9)] + [(f"c{i}", "r", 1, i, f"{i} and {i + 1}") for i in range(9)] + [("x", "s", 1, 0, "0 and 1"), ("n", None, 1, 0, "0 and 1"), ("e", "r", 1, 0, None)]
+    df = spark.createDataFrame(rows, "chunk_id string, root_id string, chunk_level int, chunk_index int, content string")
+    want = [(f"c{i}", f"p{i}") for i in range(9)]
+    for most in (2000, 2):
+        monkeypatch.setattr(split, "LARGE_ROOT", most)
+        assert sorted(map(tuple, split.find_parents(df).collect())) == want
