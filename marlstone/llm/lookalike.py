@@ -6,8 +6,8 @@ may be any of its look-alikes of other scripts, whichever of them is stored. The
 bigrams of single-script tokens of the whole corpus, with a price on leaving a script, replaces the token.
 Every token goes through the search, plain ones too (its result is kept per distinct token), and the lattice is the
 same for all spellings that look alike, so they end in the same form. Case, accents and line breaks are kept.
-Look-alikes are those of the table below and, where the session's JVM has the Unicode confusables (ICU), the letters
-of Greek, Cyrillic, Armenian, Cherokee, Coptic and Lisu that they call confusable with one Latin letter of the same case.
+Look-alikes are those of the table below and the letters of Greek, Cyrillic, Armenian, Cherokee, Coptic and Lisu that the
+Unicode confusables of the session's JVM (ICU) call confusable with one Latin letter of the same case; without them it is an error.
 """
 
 from __future__ import annotations
@@ -103,15 +103,18 @@ CLASS = {c: r for r in ROWS for c in r}
 
 
 def confusables(spark: SparkSession) -> dict[str, list[str]]:
-    """Letter -> its row of look-alikes: the table's, and the Unicode list's where the JVM has it. Read on the driver; some hundred letters."""
+    """Letter -> its row of look-alikes: the table's and the Unicode list's. Read on the driver; some hundred letters.
+
+    A list that cannot be read whole is an error: the table alone would lose look-alikes without a sign of it.
+    """
     rows = {r[0]: list(r) for r in ROWS}
+    letters = [c for a, b in LISTED for c in map(chr, range(a, b + 1)) if unicodedata.category(c)[0] == "L" and c not in CLASS and c not in DISTINCT and not unicodedata.decomposition(c)]
     try:
         checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
-        letters = [c for a, b in LISTED for c in map(chr, range(a, b + 1)) if unicodedata.category(c)[0] == "L" and c not in CLASS and c not in DISTINCT and not unicodedata.decomposition(c)]
-        skeletons = checker.getSkeleton("\n".join(letters)).split("\n")
-    except Exception:  # another JVM, or none
-        return CLASS
-    for c, s in zip(letters, skeletons):
+        skeletons = list(zip(letters, checker.getSkeleton("\n".join(letters)).split("\n"), strict=True))
+    except Exception as e:
+        raise RuntimeError("the Unicode confusables (ICU) of the session's JVM could not be read") from e
+    for c, s in skeletons:
         head = "I" if s == "l" and unicodedata.category(c) != "Ll" else s
         if head.isascii() and len(head) == 1 and head.isalpha() and unicodedata.category(c) in ("Lo", "Ll" if head.islower() else "Lu"):
             rows.setdefault(head, [head]).append(c)

@@ -174,6 +174,25 @@ def test_named_look_alikes(spark, a, b):
     assert lookalike.consistent(text, model) == text.replace("，", ",") and lookalike.consistent("List of pages", model) == "List of pages"
 
 
+@pytest.mark.parametrize("failing", ["no JVM", "no ICU", "list fails", "list is short"])
+def test_unread_confusables_are_an_error(spark, failing):
+    from types import SimpleNamespace
+    from unittest.mock import MagicMock
+
+    jvm = MagicMock()
+    checker = jvm.com.ibm.icu.text.SpoofChecker.Builder.return_value.build.return_value
+    if failing == "no JVM":
+        jvm = None
+    elif failing == "no ICU":
+        jvm = SimpleNamespace(com=spark._jvm.com.absent)
+    elif failing == "list fails":
+        checker.getSkeleton.side_effect = OSError("gateway lost")
+    else:
+        checker.getSkeleton.side_effect = lambda text: "\n".join(text.split("\n")[:-1])
+    with pytest.raises(RuntimeError, match="confusables"):
+        lookalike.confusables(SimpleNamespace(_jvm=jvm))
+
+
 def test_visible_differences_stay():
     model = model_of(CLEAN)
     for a, b in (("Cafe", "café"), ("abc", "ABC"), ("a b", "a\nb"), ("x2", "x²"), ("a b", "a  b"), ("日", "目")):
