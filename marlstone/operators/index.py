@@ -4,22 +4,60 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import ANALYZERS
+from marlstone.operators import topk
 from marlstone.session import materialize
 
 
+#: What postings were counted from, by their table.
+_counted_from: WeakKeyDictionary[DataFrame, tuple[DataFrame, tuple[str, ...]]] = WeakKeyDictionary()
+
+
 @dataclass
 class InvertedIndex:
-    """postings (field, term, id, tf), lengths (field, id, dl), corpus (field, n, avgdl); kept: are they tables that were written?"""
+    """postings (field, term, id, tf), lengths (field, id, dl), corpus (field, n, avgdl); kept: are they tables that were written?
+
+    analysed (id, tokens: an array for each of fields) is there for an index that is counted from texts: a search that
+    uses it once needs no postings. An index made of the postings of another one has it as well.
+    """
 
     postings: DataFrame
     lengths: DataFrame
     corpus: DataFrame
     kept: bool = False
+    analysed: DataFrame | None = None
+    fields: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        if self.analysed is not None:
+            _counted_from[self.postings] = (self.analysed, self.fields)
+        else:
+            self.analysed, self.fields = _counted_from.get(self.postings, (None, self.fields))
+
+    def holdings(self, terms: pa.Array, fields: list[str]) -> DataFrame:
+        """(id, codes, ns): how often a document holds each of the terms, and its length, coded as in topk.count_terms; all documents for texts, for tables those that hold one or are counted."""
+        if self.analysed is not None:
+            known = [self.fields.index(f) for f in fields if f in self.fields]
+            texts = self.analysed if known else self.analysed.limit(0)
+            return texts.mapInArrow(topk.count_terms(terms, known, len(self.fields)), f"id {self.analysed.schema['id'].dataType.simpleString()}, codes array<int>, ns array<int>")
+        numbers = self.postings.sparkSession.createDataFrame(pa.table({"term": terms, "__t": pa.array(range(len(terms)), pa.int32())}))
+        at = F.array_position(F.lit(fields), F.col("field")).cast("int") - 1
+        rows = self.postings.where(F.col("field").isin(fields)).join(F.broadcast(numbers), "term").select("id", (F.col("__t") * len(fields) + at).alias("codes"), F.col("tf").cast("int").alias("ns"))
+        rows = rows.unionByName(self.lengths.where(F.col("field").isin(fields)).select("id", (-1 - at).alias("codes"), F.col("dl").cast("int").alias("ns")))
+        return rows.groupBy("id").agg(F.collect_list(F.struct("codes", "ns")).alias("x")).select("id", F.col("x.codes").alias("codes"), F.col("x.ns").alias("ns"))
+
+    def vocabulary(self, fields: list[str]) -> DataFrame:
+        """(field, term, df) of every term of the fields; a term is counted once per document before anything is shuffled."""
+        if self.analysed is None:
+            return self.postings.where(F.col("field").isin(fields)).groupBy("field", "term").agg(F.count("*").alias("df"))
+        each = self.analysed.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.array_distinct(F.col("tokens")[self.fields.index(f)]).alias("terms")) for f in fields])))
+        return each.select("field", F.explode("terms").alias("term")).groupBy("field", "term").agg(F.count("*").alias("df"))
 
     def stored(self) -> InvertedIndex:
         """The same index written once to the shared folder, so that searches don't analyse the texts again."""
@@ -55,11 +93,12 @@ def build_index(docs: DataFrame, id_col: str, fields: list[str] | dict[str, str]
     counted inside the document before anything is shuffled, so a document is one row however long; ids must be unique.
     """
     kinds = fields if isinstance(fields, dict) else dict.fromkeys(fields, analyzer)
+    analysed = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.array(*[ANALYZERS[a](F.col(f)) for f, a in kinds.items()]).alias("tokens"))
     tokens = F.array(*[F.struct(F.lit(f).alias("field"), ANALYZERS[a](F.col(f)).alias("tokens")) for f, a in kinds.items()])
     per_doc = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.inline(tokens)).where(F.size("tokens") > 0)
     lengths = per_doc.select("field", "id", F.size("tokens").cast("long").alias("dl"))
     postings = per_doc.select("field", "id", F.explode("tokens").alias("term")).groupBy("field", "term", "id").agg(F.count("*").alias("tf"))
-    return InvertedIndex(postings, lengths, corpus_stats(lengths))
+    return InvertedIndex(postings, lengths, corpus_stats(lengths), analysed=analysed, fields=tuple(kinds))
 
 
 #: Keys with several rows up to which their set is sent to every task.

@@ -190,7 +190,7 @@ def _query_vectors(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
 def _parts(spark: SparkSession, d: str, *more: str) -> tuple[DataFrame, index.InvertedIndex, DataFrame]:
     """Latest chunks, the index of their texts, and the queries' vectors, each stored once."""
     chunks = materialize(latest_chunks(spark, d, "content", "content_vector", *more))
-    return chunks, index.build_index(chunks, "chunk_id", ["content"]).stored(), materialize(_query_vectors(spark, d, chunks))
+    return chunks, index.build_index(chunks, "chunk_id", ["content"]), materialize(_query_vectors(spark, d, chunks))
 
 
 @query("WITH " + bm25_sql(LATEST_CHUNKS, {"content": 1}, "chunk_id", k=20) + ", " + _vector_sql(20) + ", " + RRF + " SELECT qid AS query_id, id, score, recall_source, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::BIGINT AS rank FROM f QUALIFY rank <= 10")
