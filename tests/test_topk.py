@@ -94,7 +94,7 @@ def test_vector_tasks_keep_their_best(metric):
     assert sorted((r["qid"], r["id"], round(r["score"], 6)) for r in got) == want
 
 
-@pytest.mark.parametrize("name", ["small_to_big"])
+@pytest.mark.parametrize("name", ["bm25_okapi_topk", "small_to_big"])
 def test_queries_write_no_postings(spark, monkeypatch, name):
     from marlstone.plans import catalog, catalog_models  # noqa: F401
 
