@@ -155,7 +155,7 @@ def embed_model(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH " + bm25_sql(LATEST_CHUNKS, {"content": 1}, "chunk_id", k1=1.2) + " SELECT qid AS query_id, id AS chunk_id, score, rank::BIGINT AS rank FROM top")
 def match_field(spark: SparkSession, d: str) -> DataFrame:
     """A match on one field only."""
-    ix = index.build_index(latest_chunks(spark, d, "content"), "chunk_id", ["content"]).stored()
+    ix = index.build_index(latest_chunks(spark, d, "content"), "chunk_id", ["content"])
     return retrieve.text_search(ix, _terms(spark, d), 5, k1=1.2).select(F.col("qid").alias("query_id"), F.col("id").alias("chunk_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
