@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 FIRST_ROWS, MOST_ROWS, PAIRS = 64, 4096, 1 << 18
 #: A term that one of so many documents holds is looked up in a row for all documents.
 OFTEN = 32
+#: Rows of best documents that a task holds.
+ROWS = 1 << 19
 #: Scores are compared after rounding to four digits; what may be skipped lies this far below.
 MARGIN = 1e-4
 

@@ -343,6 +343,7 @@ def _hybrid_retriever(c: dict[str, Any]) -> Component:
     from marlstone.functions.vectors import hash_embed
     from marlstone.operators import retrieve
     from marlstone.operators.index import InvertedIndex
+    from marlstone.session import materialize
 
     def run(t: Tables) -> Tables:
         kind, k = c.get("search_type", "hybrid"), c.get("top_k", 10)
@@ -361,7 +362,8 @@ def _hybrid_retriever(c: dict[str, Any]) -> Component:
             dim = c.get("dimensions", 64)
             held = chunks.where(F.col("chunk_level") == levels.get("vector_chunk_level", 2)) if levels else chunks
             asked = hash_embed(each, "source_query", "vector", dim)
-            vector = retrieve.vector_search(held.select(F.col("chunk_id").alias("id"), F.col("content_vector").alias("vector")), asked, 2 * wanted if kind == "hybrid" else wanted, qid="sub")
+            stored = materialize(held.select(F.col("chunk_id").alias("id"), F.col("content_vector").alias("vector")))  # read for every block of queries
+            vector = retrieve.vector_search(stored, asked, 2 * wanted if kind == "hybrid" else wanted, qid="sub")
         if kind == "hybrid":
             hits = retrieve.fuse(text, vector, c.get("fusion_method", "rrf"), wanted, c.get("rrf_k", 60), c.get("text_weight", 1.0), c.get("vector_weight", 1.2))
         else:
@@ -376,16 +378,17 @@ def _hybrid_retriever(c: dict[str, Any]) -> Component:
 
 def _found(hits: DataFrame, t: Tables, kind: str, k: int) -> Tables:
     """hits with their texts, and retrieval: how many each query has, and how they were searched."""
+    from marlstone.session import materialize
+
+    hits = materialize(hits)  # read for the texts and for the counts
     counts = t["queries"].select("qid", "query").join(hits.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left")
     return {"hits": _with_text(hits, t), "retrieval": counts.select("qid", "query", F.coalesce("n", F.lit(0)).alias("result_count"), F.lit(kind).alias("search_type"), F.lit(k).alias("top_k"))}
 
 
 def _with_text(hits: DataFrame, t: Tables) -> DataFrame:
-    """Texts are joined to the few ranked hits at the end."""
+    """Texts are joined to the few ranked hits, which are stored, at the end."""
     from marlstone.operators.retrieve import lookup
-    from marlstone.session import materialize
 
-    hits = materialize(hits)
     return hits.join(lookup(t["chunks"], hits.select("id")).select(F.col("chunk_id").alias("id"), "content"), "id", "left")
 
 

@@ -74,6 +74,7 @@ def test_queries_in_blocks(spark, monkeypatch):
     found = []
     for few in (500_000, 4):
         monkeypatch.setattr(retrieve, "FEW_TERMS", few)
+        monkeypatch.setattr(topk, "ROWS", few)
         found.append(sorted(map(tuple, retrieve.text_search(ix, terms, 3).collect())))
     assert found[0] == found[1] and len(found[0]) == 27
 
