@@ -103,7 +103,7 @@ def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH " + bm25_sql(LATEST_CHUNKS, {"content_jieba": 1}, "chunk_id", queries="SELECT query_id AS qid, query AS t FROM queries", tokens=SEGMENTED) + TOP.replace("doc_id", "chunk_id"))
 def bm25_segmented(spark: SparkSession, d: str) -> DataFrame:
-    ix = index.build_index(latest_chunks(spark, d, "content_jieba"), "chunk_id", {"content_jieba": "segmented"}).stored()
+    ix = index.build_index(latest_chunks(spark, d, "content_jieba"), "chunk_id", {"content_jieba": "segmented"})
     return _named(retrieve.text_search(ix, _terms(spark, d, "segmented"), 5), "chunk_id")
 
 
