@@ -90,7 +90,7 @@ FIELDS = {"text": 2.0, "filename": 1.5, "source": 1.0}
 
 @query("WITH " + bm25_sql("SELECT doc_id, text, filename, source FROM documents", FIELDS, "doc_id", k1=1.2) + TOP)
 def bm25_multifield(spark: SparkSession, d: str) -> DataFrame:
-    ix = index.build_index(texts(spark, d, "documents"), "doc_id", list(FIELDS)).stored()
+    ix = index.build_index(texts(spark, d, "documents"), "doc_id", list(FIELDS))
     return _named(retrieve.text_search(ix, _terms(spark, d), 5, k1=1.2, boosts=FIELDS), "doc_id")
 
 
