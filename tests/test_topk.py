@@ -95,7 +95,7 @@ def test_vector_tasks_keep_their_best(metric):
     assert sorted((r["qid"], r["id"], round(r["score"], 6)) for r in got) == want
 
 
-@pytest.mark.parametrize("name", ["search_by_request", "bm25_threshold", "bm25_multifield", "multi_query_dedup", "hybrid_differential", "bm25_segmented", "bm25_filtered", "match_field", "bm25_topk", "bm25_okapi_topk", "small_to_big"])
+@pytest.mark.parametrize("name", ["hybrid_vectors", "search_by_request", "bm25_threshold", "bm25_multifield", "multi_query_dedup", "hybrid_differential", "bm25_segmented", "bm25_filtered", "match_field", "bm25_topk", "bm25_okapi_topk", "small_to_big"])
 def test_queries_write_no_postings(spark, monkeypatch, name):
     from marlstone.plans import catalog, catalog_models  # noqa: F401
 
