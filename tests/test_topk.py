@@ -104,3 +104,13 @@ def test_queries_write_no_postings(spark, monkeypatch, name):
 
     monkeypatch.setattr(index.InvertedIndex, "stored", stored)
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
+def test_pipelines_search_the_texts_of_their_index(spark, capsys):
+    from marlstone.plans import pipeline
+
+    chunks = spark.createDataFrame([("a", "red fox"), ("b", "blue sea")], "chunk_id string, content string")
+    made = pipeline.registry.get("indexer", "bm25")({"analyzer": "plain"})({"chunks": chunks})
+    ix = index.InvertedIndex(made["postings"], made["lengths"], made["corpus"])
+    ix.holdings(pa.array(["fox"]), ["content"]).explain()
+    assert "Exchange" not in capsys.readouterr().out
