@@ -114,3 +114,15 @@ def test_pipelines_search_the_texts_of_their_index(spark, capsys):
     ix = index.InvertedIndex(made["postings"], made["lengths"], made["corpus"])
     ix.holdings(pa.array(["fox"]), ["content"]).explain()
     assert "Exchange" not in capsys.readouterr().out
+
+
+def test_hits_of_a_retriever_are_stored_once(spark):
+    from marlstone.plans import pipeline
+
+    chunks = spark.createDataFrame([("a", "red fox"), ("b", "blue sea")], "chunk_id string, content string")
+    queries = spark.createDataFrame([("q", "fox"), ("r", "hill")], "qid string, query string")
+    tables = {"chunks": chunks, "queries": queries} | pipeline.registry.get("indexer", "bm25")({})({"chunks": chunks})
+    found = pipeline.registry.get("retriever", "bm25")({})(tables)
+    scans = found["retrieval"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in scans  # counted from the stored hits, not searched again
+    assert {r["qid"]: r["result_count"] for r in found["retrieval"].collect()} == {"q": 1, "r": 0}
