@@ -186,3 +186,25 @@ def test_sinks_and_cli(spark, tmp_path):
     assert next((tmp_path / "words").glob("*.csv")).read_text(encoding="utf-8").startswith("word\tfreq")
     with pytest.raises(SystemExit):
         cli.main([])
+
+
+def test_text_files_without_folders_of_their_own(spark, tmp_path):
+    from marlstone.operators import sinks
+    from marlstone.sources import loaders
+
+    rows = [(i, None if i == 3 else f"text {i}\nline é" * (i % 4)) for i in range(40)]
+    sinks.write_text_files(spark.createDataFrame(rows, "doc_id int, text string"), f"file://{tmp_path}/files", "doc_id", "text")
+    assert sum(p.is_file() for p in (tmp_path / "files").rglob("*")) == 39  # no checksums
+    got = {int(r["filename"][7:-4]): r["content"] for r in loaders.read_files(spark, f"{tmp_path}/files", [".txt"]).collect()}
+    assert got == {i: t + "\n" for i, t in rows if t is not None} and loaders.count_files(spark, f"{tmp_path}/files") == 39
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    from marlstone.sources import loaders
+
+    for i in range(300):
+        (tmp_path / f"{i}.txt").write_text("x")
+    for value, most in (("4m", 300), ("200m", 16 * 4)):
+        spark.conf.set("spark.sql.files.openCostInBytes", value)
+        assert loaders.read_files(spark, str(tmp_path)).rdd.getNumPartitions() <= most
+    spark.conf.unset("spark.sql.files.openCostInBytes")
