@@ -126,3 +126,14 @@ def test_hits_of_a_retriever_are_stored_once(spark):
     scans = found["retrieval"]._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in scans  # counted from the stored hits, not searched again
     assert {r["qid"]: r["result_count"] for r in found["retrieval"].collect()} == {"q": 1, "r": 0}
+
+
+@pytest.mark.parametrize("name", ["pipeline_steps"])
+def test_pipelines_join_no_postings(spark, monkeypatch, name):
+    from marlstone.plans import catalog, catalog_tables  # noqa: F401
+
+    def joined(*_, **__):
+        raise AssertionError("postings are not joined to queries")
+
+    monkeypatch.setattr(retrieve, "salted_join", joined)
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count()
